@@ -168,13 +168,15 @@ def fit(labelled: DataFrame, **options) -> tuple[list[str], ByteGRU | None]:
     return langs, ByteGRU(len(langs)).train([words[i] for i in pick], labels[pick])
 
 
-def predict(docs: DataFrame, langs: list[str], net: ByteGRU | None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, lang_pred, score: a row per row.
+def predict(docs: DataFrame, langs: list[str], net: ByteGRU | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs(text, kept columns) -> kept columns, lang_pred, score: a row per row.
 
     Null texts, texts without a letter (empty ones too) and, if nothing was learned, all texts are ``und`` with
     score 0. score is the mean probability of the language over all bytes of the text's words.
     """
     shared = docs.sparkSession.sparkContext.broadcast((langs, net))
+    fields = [f for f in docs.schema.fields if f.name in keep]
+    names = [f.name for f in fields]
 
     def work(batches):
         langs, net = shared.value
@@ -205,17 +207,19 @@ def predict(docs: DataFrame, langs: list[str], net: ByteGRU | None) -> DataFrame
                     best = int(total.argmax())
                     pred.append(langs[best])
                     score.append(float(min(1.0, total[best] / total.sum())))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, end - k), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(k, end - k) for n in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
                 k = end
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
+    return docs.select("text", *[n for n in names if n != "text"]).mapInArrow(work, schema)
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, lang) -> doc_id, held_out, lang_pred, score. Learns from rows whose id's checksum is not 0 modulo 5."""
+def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs(doc_id, text, lang) -> kept columns, held_out, lang_pred, score. Learns from rows whose id's checksum is not 0 modulo 5."""
     out = held_out("doc_id", 5, 0)
     langs, net = fit(docs.where(~out))
-    return predict(docs, langs, net).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    found = predict(docs, langs, net, keep)
+    return found.select(*[c for c in found.columns if c in keep], out.alias("held_out"), "lang_pred", "score")
 
 
 def op8_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:

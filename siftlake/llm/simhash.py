@@ -48,14 +48,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp (the fingerprint's bits as a signed long). Null and empty texts: zero."""
+    """docs(doc_id, text) -> doc_id, tk (xxhash64 of the text), fp (the fingerprint's bits as a signed long). Null and empty texts: zero."""
 
     def work(batches):
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(fp)], ["doc_id", "tk", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text").mapInArrow(work, "doc_id long, tk long, fp long")
 
 
 # ---- Golay keys ---------------------------------------------------------------------------------------------
@@ -138,12 +138,13 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp, component_id, n_links: one row per row of docs.
+    """docs(doc_id, text) -> doc_id, tk, fp, component_id, n_links, part: one row per row of docs.
 
     Documents link if their fingerprints differ in at most max_bits bits; component_id is the smallest doc_id that
     links reach, the document's own included. Equal fingerprints, those of empty texts too, become one node before
     any join, so groups of copies cost one row. n_links counts the links between different fingerprints. Null ids
-    are kept: a group whose ids are all null has a null component.
+    are kept: a group whose ids are all null has a null component. part, the smallest fingerprint that links reach,
+    names every group.
     """
     fps = stage(fingerprints(docs, shingle), "fingerprints")
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
@@ -152,9 +153,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
     degree = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).groupBy("fp").agg(F.count("*").alias("n_links"))
     comp = comp.join(nodes, F.col("node") == F.col("fp")).select("fp", "component", "least")
     least = comp.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = comp.join(least, "component").select("fp", "component_id").join(degree, "fp", "left")
-    of = nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id", "n_links")
+    of = comp.join(least, "component").select("fp", "component", "component_id").join(degree, "fp", "left")
+    of = nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "fp").alias("part"))
+    return fps.join(of, "fp").select("doc_id", "tk", "fp", "component_id", "n_links", "part")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs without near-duplicates: of each group the row of the smallest doc_id (nulls last) stays, of equal ids that
+    of the smallest text hash, of rows alike in both one."""
+    found = near_duplicates(docs, **options)
+    first = found.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("m")).select("m.doc_id", "m.tk")
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_tk": F.xxhash64("text")})
+    rows = rows.join(first.toDF("f_id", "f_tk"), F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_tk") == F.col("f_tk")), "left_semi")
+    return rows.dropDuplicates(["_id", "_tk"]).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

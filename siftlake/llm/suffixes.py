@@ -223,14 +223,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """docs(doc_id, text, kept columns) -> those, n_bytes, n_removed, spans, kept (the bytes that are left): a row per row.
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False, **options) -> DataFrame:
+    """docs(doc_id, text, kept columns) -> doc_id, kept columns, n_bytes, n_removed, spans, kept (the bytes that are left): a row per row.
 
     Null texts are empty. All places of a repeated string are removed, the first too. Spans are maximal runs of
-    removed bytes and may cut a character; kept is bytes for that reason.
+    removed bytes and may cut a character; kept is bytes for that reason or, if as_text, text without such characters.
     """
     found = repeats(docs, **options)
-    fields = [f for f in docs.schema.fields if f.name in {"doc_id", *keep}]
+    fields = [f for f in docs.schema.fields if f.name in {"doc_id", *keep} - {"text"}]
     names = [f.name for f in fields]
     rows = docs.select(*names, F.coalesce("text", F.lit("")).alias("text")).alias("d")
     on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.tk"))
@@ -253,10 +253,11 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> Da
                     gone.append(len(data) - len(kept[-1]))
                     spans.append([{"lo": lo, "hi": hi} for lo, hi in cut])
                 kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-                cols = [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
+                left = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                cols = [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), left]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + cols, [*names, "n_bytes", "n_removed", "spans", "kept"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept " + ("string" if as_text else "binary")])
     return rows.mapInArrow(work, schema)
 
 
