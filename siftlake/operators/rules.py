@@ -75,8 +75,8 @@ def checks() -> dict[str, Column]:
     }
 
 
-def hit(rule: Rule) -> Column:
-    """The rule fires on a row of path, line and, where there are, masks docstring, in_string (spans), comment_at, depth."""
+def hit(rule: Rule) -> tuple[Column, Column]:
+    """Whether the rule fires on a row of path and line, masks apart, and the 1-based place of its match."""
     place = F.regexp_instr("line", F.lit(f"(?U){rule.pattern}"))
     out = F.rlike("line", F.lit(f"(?U){rule.pattern}"))
     if rule.skip_path:
@@ -90,6 +90,11 @@ def hit(rule: Rule) -> Column:
     return out, place
 
 
+def _within(place: Column) -> Column:
+    """The 1-based place lies in a string of the line."""
+    return F.exists("strings", lambda s: (s["a"] <= place - 1) & (place - 1 < s["b"]))
+
+
 def scan(rows: DataFrame, rules: tuple[Rule, ...] = PYTHON, masks: bool = False, block_checks: bool = True) -> DataFrame:
     """rows(path, line_no, line) -> findings: rule-major within a line, a row for every rule that fires.
 
@@ -107,8 +112,7 @@ def scan(rows: DataFrame, rules: tuple[Rule, ...] = PYTHON, masks: bool = False,
         if masks:
             if not r.in_docstrings:
                 ok &= ~F.col("docstring")
-            inside = F.exists("strings", lambda s, p=place: (s["a"] <= p - 1) & (p - 1 < s["b"]))
-            ok &= ~inside & (F.lit(r.in_comments) | F.col("comment_at").isNull() | (place - 1 < F.col("comment_at")))
+            ok &= ~_within(place) & (F.lit(r.in_comments) | F.col("comment_at").isNull() | (place - 1 < F.col("comment_at")))
             if r.top_only:
                 ok &= F.col("depth") == 0
         if block_checks:

@@ -31,7 +31,7 @@ def read_files(spark: SparkSession, root: str, exts=EXTS, ignore=IGNORED) -> Dat
     rel = F.regexp_replace(full, "^" + re.escape(root.removeprefix("file://").rstrip("/")) + "/?", "")
     rel = F.when(rel == "", F.element_at(F.split(full, "/"), -1)).otherwise(rel)
     suffix = F.regexp_extract("path", r"(\.[^./]+)$", 1)
-    return raw.select(rel.alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"), suffix.alias("suffix")).where(F.col("suffix").isin(*exts) & ~F.rlike("path", F.lit(ignore_regex(ignore)))).drop("suffix")
+    return raw.select(rel.alias("path"), F.decode("content", "UTF-8").alias("text"), suffix.alias("suffix")).where(F.col("suffix").isin(*exts) & ~F.rlike("path", F.lit(ignore_regex(ignore)))).drop("suffix")
 
 
 def ignore_patterns(spark: SparkSession, root: str, name: str = ".auditignore") -> list[str]:
