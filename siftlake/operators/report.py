@@ -48,7 +48,7 @@ def sarif_results(f: DataFrame) -> DataFrame:
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
     score = F.when(F.col("severity") == "critical", "9.5").when(F.col("severity") == "high", "8.0").when(F.col("severity") == "medium", "5.5").otherwise("3.0")
     line = F.greatest(F.col("line_start"), F.lit(1))
-    out = f.join(F.broadcast(first_seen(f).select("rule_id", "rule_index")), "rule_id")  # one row a rule
+    out = f.join(first_seen(f).select("rule_id", "rule_index"), "rule_id")
     where = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(line.alias("startLine")).alias("region")).alias("physicalLocation"))
     message = F.substring(F.concat_ws(" ", "rule_id", "evidence") if "evidence" in f.columns else F.col("rule_id"), 1, 2000)
     result = F.to_json(F.struct(F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level.alias("level"), F.struct(message.alias("text")).alias("message"), F.array(where).alias("locations")))
