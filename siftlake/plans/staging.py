@@ -17,8 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet and read again."""
+#: Rows to a file where the number of rows is known.
+FILE_ROWS = 250_000
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df, written as Parquet and read again. rows: about how many there are, so that small tables aren't written as many files."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
