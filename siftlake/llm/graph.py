@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60) -> DataFrame:
     """edges(a, b): any order, loops and repeats allowed -> (node, component): the smallest id reachable.
 
     Large-star and small-star steps alternate: every node links its larger (then smaller) neighbours to its
     smallest one, until each component is one star. Each step is a minimum per node, which combines before the
     shuffle, and an equi-join that adaptive execution can split, so a hub never meets in one task. Nulls are
-    dropped. Nodes without edges do not appear. The rounds needed grow with the logarithm of a component's size.
+    dropped. rows: about how many edges there are. Nodes without edges do not appear. The rounds needed grow with the logarithm of a component's size.
     """
     a, b = F.col("a"), F.col("b")
-    e = stage(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
+    e = stage(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges", rows)
     print_of = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     last = print_of(e)
     for _ in range(max_rounds):
@@ -27,7 +27,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy(a.alias("k")).agg(F.min("b").alias("m"))
         small = large.join(low, a == F.col("k")).select(F.col("a"), F.col("b"), F.col("m"))
         small = small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").where("a <> b").distinct()
-        e = stage(small.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")), "edges")
+        e = stage(small.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")), "edges", last[0])
         now = print_of(e)
         if now == last:
             break

@@ -147,9 +147,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
     names every group.
     """
     fps = stage(fingerprints(docs, shingle), "fingerprints")
-    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    pairs = stage(links(nodes, max_bits), "fingerprint-links")
-    comp = components(pairs)
+    n = fps.count()
+    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes", n)
+    pairs = stage(links(nodes, max_bits), "fingerprint-links", n)
+    comp = components(pairs, pairs.count())
     degree = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).groupBy("fp").agg(F.count("*").alias("n_links"))
     comp = comp.join(nodes, F.col("node") == F.col("fp")).select("fp", "component", "least")
     least = comp.groupBy("component").agg(F.min("least").alias("component_id"))

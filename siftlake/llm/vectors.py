@@ -216,7 +216,8 @@ def _finish(rows, nodes, tiles, pairs, work) -> DataFrame:
     side = lambda s: tiles.select(F.col("tile").alias(s), *(["dims"] if s == "a" else []), F.col("ids").alias(f"i{s}"), F.col("copies").alias(f"c{s}"), F.col("vectors").alias(f"v{s}"))
     found = stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "id long, other long, n long"), "vector-links")
     n = found.groupBy("id").agg(F.sum("n").alias("n"))
-    comp = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    edges = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    comp = components(edges, edges.count())
     of = nodes.join(n, "id", "left").join(comp, nodes.id == comp.node, "left")
     of = of.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = rows.join(of, "v", "left")
