@@ -10,11 +10,12 @@ shard. Shards are written and read by Spark, so a lost executor's shards are wri
 from __future__ import annotations
 
 import os
-import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,19 +26,25 @@ from .common import stage, table
 
 #: Words of these characters, without ``<|``, can be cut into the tokenizer's words here: their lower case and
 #: letter class are plain. All others go to the tokenizer whole.
-PLAIN = re.compile(r"[\x21-\x7EÀ-įı-ɏ]+")
+PLAIN = r"^[\x21-\x7EÀ-įı-ɏ]+$"
 LETTERS = "a-zÀ-ÖØ-öø-ɏ"
-PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
+PARTS = rf"('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+)"
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at starts, one after another."""
+    return flat[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))]
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizer whose words end at white space; the ids of short words are remembered.
+    """Ids of whole texts from a tokenizer whose words end at white space; the ids of words are remembered.
 
     White space parts words in this vocabulary, and lower-casing and composition don't reach across it, so a
-    text's ids are its words' ids, one after another. Both memories are emptied when they are full.
+    text's ids are its words' ids, one after another. Words are cut, counted once and put together again as
+    columns. Two memories take turns: when the newer one is full it becomes the older, and what is used moves on.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,40 +53,63 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.limit, self.longest, self.words, self.parts = limit, longest, {"": b""}, {}
+        self.limit, self.new, self.old = limit, {"": b""}, {"": b""}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of words of the tokenizer: many in one call, told apart by the ids that end a word."""
+        out = []
         groups = [parts[k : k + 256] for k in range(0, len(parts), 256)]
         for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group):
-                self.parts.update(zip(group, (ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)), strict=True))
-            else:
-                self.parts.update(zip(group, self._whole(group), strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w]
-        cut = [PARTS.findall(w.lower()) for w in plain]
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        self._learn_parts(list({p for parts in cut for p in parts if p not in self.parts}))
-        self.words.update((w, b"".join([self.parts[p] for p in parts])) for w, parts in zip(plain, cut, strict=True))
-        rest = [w for w in words if w not in self.words]
-        self.words.update(zip(rest, self._whole(rest), strict=True))
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            out += [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)] if len(cuts) == len(group) else self._whole(group)
+        return out
+
+    def _known(self, parts: list[str]) -> list[bytes]:
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        found = [new.get(p) for p in parts]
+        miss = [i for i, x in enumerate(found) if x is None]
+        for i in miss:
+            found[i] = old.get(parts[i])
+        fresh = [i for i in miss if found[i] is None]
+        for i, x in zip(fresh, self._parts([parts[i] for i in fresh]), strict=True):
+            found[i] = x
+        new.update((parts[i], found[i]) for i in miss if len(parts[i]) <= 64)
+        return found
+
+    def _runs(self, codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lens = np.fromiter(map(len, codes), np.int64, len(codes)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(codes), self.dtype), np.cumsum(lens) - lens, lens
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in one row, and where each word's begin and how many they are."""
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        cut = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), PARTS, "\\1 "), " ")
+        parts = cut.flatten().dictionary_encode()
+        flat, start, lens = self._runs(self._known(parts.dictionary.to_pylist()))
+        use = parts.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(lens[use])))[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        rest, rest_start, rest_lens = self._runs(self._whole(words.filter(pc.invert(plain)).to_pylist()))
+        ids = np.concatenate((gather(flat, start[use], lens[use]), rest))
+        at = plain.to_numpy(zero_copy_only=False)
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[at], sizes[at] = ends[:-1], np.diff(ends)
+        starts[~at], sizes[~at] = len(ids) - len(rest) + rest_start, rest_lens
+        return ids, starts, sizes
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.limit:
-            self.words = {"": b""}
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn([w for w in set().union(*cut) if w not in self.words and len(w) <= self.longest])
-        long = list({w for words in cut for w in words if len(w) > self.longest})
-        known = dict(zip(long, self._whole(long), strict=True))
-        get = self.words.__getitem__ if not known else lambda w: known[w] if len(w) > self.longest else self.words[w]
-        return [b"".join(map(get, words)) for words in cut]
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        ids, starts, sizes = self._words(words.dictionary)
+        use = words.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes[use])))[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        out = gather(ids, starts[use], sizes[use])
+        return [out[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 @lru_cache(2)
@@ -87,7 +117,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def slices(texts: list[str], most: int = 4_000_000):
+def slices(texts: list[str], most: int = 6_000_000):
     """Runs of texts of about most characters."""
     k = size = 0
     for i, t in enumerate(texts):
@@ -205,10 +235,10 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int
     return stage(rows.mapInArrow(work, SHARD), "token-shards")
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """shards -> doc_id, shard, first (place in the shard), n_tokens, ids (little-endian 32-bit): a row per document.
+def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
+    """shards -> doc_id, shard, first (place in the shard), n_tokens, ids_crc32 and ids (little-endian 32-bit): a row per document.
 
-    Every id is looked up through the shard's index; its fingerprint has to be the stored one.
+    with_ids: else ids is null. Every id is looked up through the shard's index; its fingerprint has to be the stored one.
     """
 
     def work(batches):
@@ -225,14 +255,14 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 ends = np.array(s["ends"], np.int64)
                 first = np.concatenate(([0], ends[:-1]))[row]
                 ids = np.frombuffer(s["ids"], f"<u{s['width']}").astype("<u4")
-                names = ["doc_id", "shard", "first", "n_tokens", "ids"]
+                names = ["doc_id", "shard", "first", "n_tokens", "ids_crc32", "ids"]
                 for k in range(0, len(row), 4096):
                     r, a = row[k : k + 4096], first[k : k + 4096]
                     got = [ids[x:y].tobytes() for x, y in zip(a.tolist(), ends[r].tolist(), strict=True)]
-                    cols = [s["doc_ids"][k : k + 4096], [s["shard"]] * len(r), a, ends[r] - a]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(got, pa.binary())], names)
+                    cols = [s["doc_ids"][k : k + 4096], [s["shard"]] * len(r), a, ends[r] - a, list(map(zlib.crc32, got))]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(got if with_ids else [None] * len(r), pa.binary())], names)
 
-    return shards.mapInArrow(work, "doc_id long, shard long, first long, n_tokens long, ids binary")
+    return shards.mapInArrow(work, "doc_id long, shard long, first long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def _repeats(keys: np.ndarray) -> np.ndarray:
@@ -254,19 +284,20 @@ def lookup(shard: dict, doc_id: int) -> np.ndarray | None:
     return np.frombuffer(shard["ids"], f"<u{shard['width']}")[a:b]
 
 
-def token_table(docs: DataFrame, path: str, **options) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, start, n_tokens, ids, read back from the shards. start: ids of all documents before it."""
+def token_table(docs: DataFrame, path: str, with_ids: bool = True, **options) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, start, n_tokens, ids_crc32, ids, read back from the shards. start: ids of all documents before it."""
     shards = write_shards(docs, path, **options)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return read_shards(shards).join(starts, "shard").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
+    out = read_shards(shards, with_ids).join(starts, "shard")
+    return out.select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    out = token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op3_token_shards": op3_token_shards}
