@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stage, table
 
-WEIGHTS, SHARE, CAP, BINS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 4096, "mix-1"
+WEIGHTS, SHARE, CAP, BINS, SEED, SALTS = (5.0, 2.0, 1.0), 1.5, 2.0, 4096, "mix-1", 64
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -77,7 +77,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     key = F.struct("r.u", "r.doc_id", "r.text_key")
     inner = F.coalesce(F.floor(F.col("r.u") * bins) < F.col("c.bin"), F.lit(False)) | F.coalesce((F.floor(F.col("r.u") * bins) == F.col("c.bin")) & (key <= F.col("c.cut")), F.lit(False))
     copies = F.when(F.col("r.size") > 0, F.col("c.whole") + inner.cast("long")).otherwise(F.lit(0).cast("long"))
-    return rows.alias("r").join(cut.alias("c"), same("r", "c")).select("r.doc_id", "r.source", "r.text_key", "r.size", "c.source_size", "c.target", copies.alias("copies"))
+    # A source can hold a third of all rows: its cut goes to SALTS places, its rows to one of them.
+    cut = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.floor(F.col("u") * SALTS).cast("int"))
+    return salted.alias("r").join(cut.alias("c"), same("r", "c") & (F.col("r.salt") == F.col("c.salt"))).select("r.doc_id", "r.source", "r.text_key", "r.size", "c.source_size", "c.target", copies.alias("copies"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
