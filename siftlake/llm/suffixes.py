@@ -198,7 +198,9 @@ def repeats(docs: DataFrame, min_len: int = MIN_LEN, k: int = KMER, bucket: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
     found = stage(_anchor_rows(rows, min_len, k), "anchors")
     kmers = found.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("n > 1")
-    found = stage(found.join(kmers.select("h", (F.col("s0") != F.col("s1")).alias("open")), "h"), "repeated-anchors")
+    # Written, so that both sides of the join are dealt anew and a k-mer of many copies can be split.
+    kmers = stage(kmers.select("h", (F.col("s0") != F.col("s1")).alias("open")), "repeated-kmers")
+    found = stage(found.join(kmers, "h"), "repeated-anchors")
     settled = found.where("not open").select("doc_id", "tk", F.col("at").alias("lo"), (F.col("at") + F.col("more") + min_len).alias("hi"))
     open_ = found.where("open")
     kinds = open_.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("d"), "doc_id", "tk", "at", "more")).alias("one"))
