@@ -144,6 +144,19 @@ def test_suffix_tree(spark):
     assert suffixtree.score(df.limit(0), out).count() == 0
 
 
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """A context seen as often as before stays, however much other text is learned; all scores equal those of the tree on the driver."""
+    r = random.Random(3)
+    texts = [" ".join(f"{a}1{b}" for a, b in zip("efghijklmnop", "qrstuvwxyz()", strict=True)) * 3, "e1q É", "", None, *("".join(r.choice("abcd ") for _ in range(3000)) for _ in range(120))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = suffixtree.F.col("doc_id") % 7 == 2
+    rows, total = suffixtree.tree_rows(suffixtree.gram_counts(df.where(~out)))
+    assert total > 300_000 and ord("e") * suffixtree.UNIT + ord("1") in rows[2][0]  # seen 3 times, fewer than one symbol in 100,000
+    tree = suffixtree.Automaton(rows)
+    got = {x.doc_id: x.score for x in suffixtree.score(df, out, block=20_000).collect()}
+    assert len(got) == len(texts) and np.allclose([got[i] for i in range(len(texts))], tree.scores(texts), rtol=1e-5, atol=1e-3)
+
+
 URLS = ["https://A.example.com/en/1?x", "http://www.example.com/en/2", "no url", None, "x://b.net/es/", "x://b.net/fr", "x://net/fr/a#b", "s://example.org/en/9/..", "x://notnet/es/1", "http://h.com", "http://C.COM?a/b://c"]
 
 
