@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from siftlake.llm import graph, mixing, simhash, suffixes, vectors
+from siftlake.llm import graph, mixing, nearcopies, simhash, suffixes, vectors
 
 
 def texts():
@@ -120,3 +120,28 @@ def test_mixing(spark):
         assert abs(sum(g.copies * g.size for g in own) - own[0].target) <= 30 and all(g.copies <= 2 for g in own)
     assert abs(sum({g.source: g.target for g in got}.values()) - 1.5 * sum(g.size for g in got)) < 1e-6
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_one_of_near_copies(spark):
+    """Copies of similarity 0.8 to 1 leave one; those below stay, also where fingerprints are near."""
+    import corpus_pipeline
+
+    r = random.Random(6)
+    docs = []
+    for k in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        docs.append(" ".join(words))
+        for _ in range(k % 6):  # a replaced word takes five shingles of 196
+            words[r.randrange(20, 180)] = f"new{r.randrange(10**6)}"
+        docs.append(" ".join(words))
+    docs += [docs[0], docs[0].upper() + " ", None, "", "one", "One", "one two"]
+    sets = [nearcopies.shingles(t).tolist() for t in docs]
+    part = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            a, b = set(sets[i]), set(sets[j])
+            if len(a & b) / len(a | b) >= 0.8:
+                part = [part[j] if x == part[i] else x for x in part]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(docs)], "doc_id long, text string, source string").repartition(4)
+    got = sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == sorted({min(i for i, x in enumerate(part) if x == p) for p in part}) and 60 < len(got) < len(docs)
