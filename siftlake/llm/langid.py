@@ -6,7 +6,7 @@ words have equal outputs, so each is read once per task slice and counted as oft
 length go through together, so nothing is padded.
 
 Training is on the driver, in numpy, by backpropagation through time, on a sample of labelled rows bounded by
-PER_LANG documents a language, WORDS words a document and MAX_LANGS languages. Only text and label are looked at.
+PER_LANG distinct texts a language and WORDS words a text, for every label there is. Only text and label are looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table, utf8
 
-LONGEST, PER_LANG, WORDS, MAX_LANGS = 48, 200, 200, 64
+LONGEST, PER_LANG, WORDS = 48, 200, 200
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -131,18 +131,16 @@ def cut(text: str) -> list[bytes]:
     return words
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG, words: int = WORDS, max_langs: int = MAX_LANGS) -> DataFrame:
-    """docs(text, lang), labelled -> lang, words: per_lang documents of each of the max_langs most frequent languages at most.
+def sample(docs: DataFrame, per_lang: int = PER_LANG, words: int = WORDS) -> DataFrame:
+    """docs(text, lang), labelled -> lang, words: per_lang distinct texts of each language, all where there are fewer.
 
-    Documents come in the order of a hash of their text; so do a document's words. What stands near the bound is
-    cut by that hash before any ranking, so the ranking of a language sees few more rows than it keeps.
+    Texts come in the order of a hash of theirs; so do a text's words. Copies are one text before any is counted;
+    of each language every task hands on per_lang hashes at most.
     """
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.where("lang is not null and text is not null").select("lang", "text", h.alias("h"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    rows = rows.join(F.broadcast(top), "lang").where(F.col("h") * F.col("count") <= 2 * per_lang + 50)
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    rows = rows.select("lang", "text", n.alias("n")).where(F.col("n") <= per_lang)
+    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    n = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    first = rows.select("lang", "h").distinct().withColumn("n", n).where(F.col("n") <= per_lang).select("lang", "h")
+    rows = rows.join(first, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def pick(batches):
         import xxhash
@@ -161,7 +159,8 @@ def fit(labelled: DataFrame, **options) -> tuple[list[str], ByteGRU | None]:
     if not langs:
         return [], None
     words = [w for _, ws in rows for w in ws]
-    labels = np.array([langs.index(lang) for lang, ws in rows for _ in ws])
+    at = {lang: k for k, lang in enumerate(langs)}
+    labels = np.array([at[lang] for lang, ws in rows for _ in ws])
     # every language has the same weight: draw from the smaller ones more often
     r, most = np.random.default_rng(5), np.bincount(labels).max()
     pick = np.concatenate([r.choice(np.flatnonzero(labels == k), most) for k in range(len(langs))])

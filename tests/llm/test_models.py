@@ -108,6 +108,14 @@ def test_language(spark):
     assert [(r.lang_pred, r.score) for r in langid.identify(odd).collect()] == [("und", 0.0)] * 3
 
 
+def test_language_sample(spark):
+    """Every label gets its distinct texts, however many copies there are and whatever their hashes; so do labels past the 64th."""
+    rows = [(f"one text {k} of many copies", f"c{k}") for k in range(12) for _ in range(700)] + [(f"few {k} {i}", f"l{k}") for k in range(70) for i in range(3)]
+    rows += [(f"mixed {i}", "m") for i in range(30) for _ in range(20)]
+    got = langid.sample(spark.createDataFrame(rows, "text string, lang string").repartition(4), per_lang=10).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in got} == {f"c{k}": 1 for k in range(12)} | {f"l{k}": 3 for k in range(70)} | {"m": 10}
+
+
 def test_suffix_tree(spark):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(["abc", "abd", "bcd", "Xyz"]) for _ in range(r.randrange(0, 40)))) for i in range(150)] + [(7, None), (None, "zz qq")]
