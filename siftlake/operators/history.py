@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ def diff(old: DataFrame, new: DataFrame, drift: int = 5) -> DataFrame:
     """old, new(path, rule_id, line_start, pos) -> path, rule_id, old_line, new_line, status (kept, moved, added, removed).
 
     Rows of a key collapse, the later pos wins. Leftovers of a rule and path are matched one to one, nearest first
-    (then by old and new line), within drift lines; only such leftovers meet in a group.
+    (then by old and new line), within drift lines. Gaps wider than drift cut them into islands; only the leftovers of
+    an island that has both old and new ones meet in a group, and there only those within drift form pairs.
     """
     last = lambda d, name: d.groupBy("path", "rule_id", F.col("line_start").alias(name)).agg(F.max("pos").alias("pos")).drop("pos")
     o, n = last(old, "old_line"), last(new, "new_line")
@@ -25,18 +28,25 @@ def diff(old: DataFrame, new: DataFrame, drift: int = 5) -> DataFrame:
         a = sorted(x for x in t.column("old_line").to_pylist() if x is not None)
         b = sorted(x for x in t.column("new_line").to_pylist() if x is not None)
         pairs, used_a, used_b = [], set(), set()
-        for d, x, y in sorted((abs(x - y), x, y) for x in a for y in b if abs(x - y) <= drift):
+        for _, x, y in sorted((abs(x - y), x, y) for x in a for y in b[bisect_left(b, x - drift) : bisect_right(b, x + drift)]):
             if x not in used_a and y not in used_b:
                 used_a.add(x)
                 used_b.add(y)
                 pairs.append((x, y, "moved"))
         rows = pairs + [(x, None, "removed") for x in a if x not in used_a] + [(None, y, "added") for y in b if y not in used_b]
-        path, rule = (k.as_py() for k in key)
+        path, rule, _ = (k.as_py() for k in key)
         cols = [[path] * len(rows), [rule] * len(rows), *([r[i] for r in rows] for i in range(3))]
         return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()], strict=True)], ["path", "rule_id", "old_line", "new_line", "status"])
 
-    rest = rest.select("path", "rule_id", F.col("old_line").cast("int"), F.col("new_line").cast("int"))
-    return kept.unionByName(rest.groupBy("path", "rule_id").applyInArrow(match, "path string, rule_id string, old_line int, new_line int, status string"))
+    rest = rest.select("path", "rule_id", F.col("old_line").cast("int"), F.col("new_line").cast("int"), F.coalesce("old_line", "new_line").cast("int").alias("line"))
+    along = Window.partitionBy("path", "rule_id").orderBy("line")
+    begins = F.coalesce((F.col("line") - F.lag("line").over(along) > drift).cast("int"), F.lit(0))
+    rest = rest.withColumn("begins", begins).withColumn("island", F.sum("begins").over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    island = Window.partitionBy("path", "rule_id", "island")
+    rest = rest.withColumn("mixed", (F.count("old_line").over(island) > 0) & (F.count("new_line").over(island) > 0))
+    alone = rest.where("not mixed").select("path", "rule_id", "old_line", "new_line", F.when(F.col("old_line").isNull(), "added").otherwise("removed").alias("status"))
+    found = rest.where("mixed").select("path", "rule_id", "island", "old_line", "new_line").groupBy("path", "rule_id", "island").applyInArrow(match, "path string, rule_id string, old_line int, new_line int, status string")
+    return kept.unionByName(alone).unionByName(found)
 
 
 def key_sets(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:

@@ -273,6 +273,25 @@ def diff_reports(spark, d):
     return history.diff(day(3), day(4)).select("path", "rule_id", missing("old_line"), missing("new_line"), "status")
 
 
+# All findings of both runs; the recursion goes through a path's and rule's near pairs in order and keeps the lines used.
+@query("""WITH RECURSIVE $F, k AS (SELECT DISTINCT path, rule_id, line_start // 24 AS day, (line_start % 24)::INT AS line FROM f WHERE line_start // 24 IN (3, 4)),
+o AS (SELECT * FROM k WHERE day = 3), n AS (SELECT * FROM k WHERE day = 4),
+kept AS (SELECT path, rule_id, line FROM o JOIN n USING (path, rule_id, line)), a AS (SELECT path, rule_id, line FROM o ANTI JOIN kept USING (path, rule_id, line)), b AS (SELECT path, rule_id, line FROM n ANTI JOIN kept USING (path, rule_id, line)),
+p AS (SELECT path, rule_id, a.line AS x, b.line AS y, row_number() OVER (PARTITION BY path, rule_id ORDER BY abs(a.line - b.line), a.line, b.line) AS i FROM a JOIN b USING (path, rule_id) WHERE abs(a.line - b.line) <= 5),
+r AS (SELECT path, rule_id, i, [x] AS xs, [y] AS ys FROM p WHERE i = 1 UNION ALL
+SELECT p.path, p.rule_id, p.i, CASE WHEN list_contains(xs, x) OR list_contains(ys, y) THEN xs ELSE list_append(xs, x) END, CASE WHEN list_contains(xs, x) OR list_contains(ys, y) THEN ys ELSE list_append(ys, y) END
+FROM r JOIN p ON p.path = r.path AND p.rule_id = r.rule_id AND p.i = r.i + 1),
+m AS (SELECT path, rule_id, unnest(arg_max(xs, i)) AS x, unnest(arg_max(ys, i)) AS y FROM r GROUP BY path, rule_id)
+SELECT path, rule_id, line AS old_line, line AS new_line, 'kept' AS status FROM kept UNION ALL SELECT path, rule_id, x, y, 'moved' FROM m
+UNION ALL SELECT path, rule_id, line, -1, 'removed' FROM a ANTI JOIN m ON a.path = m.path AND a.rule_id = m.rule_id AND a.line = m.x
+UNION ALL SELECT path, rule_id, -1, line, 'added' FROM b ANTI JOIN m ON b.path = m.path AND b.rule_id = m.rule_id AND b.line = m.y""")
+def diff_findings(spark, d):
+    k = findings(spark, d).withColumn("day", F.expr("line_start div 24"))
+    day = lambda n: k.where(F.col("day") == n).select("path", "rule_id", (F.col("line_start") - 24 * n).cast("int").alias("line_start"), "pos")
+    missing = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return history.diff(day(3), day(4)).select("path", "rule_id", missing("old_line"), missing("new_line"), "status")
+
+
 @query("""WITH $F, r AS (SELECT (line_start // 24)::BIGINT AS day, count(*)::BIGINT AS n FROM f GROUP BY 1) SELECT count(*)::BIGINT AS runs, arg_min(n, day) AS first, arg_max(n, day) AS last, arg_max(n, day) - arg_min(n, day) AS delta, max(n) AS largest FROM r""")
 def trend_points(spark, d):
     runs = findings(spark, d).groupBy(F.expr("line_start div 24").alias("day")).agg(F.count("*").alias("n"))

@@ -1,5 +1,7 @@
 """Rules, masks and taint: each exemption beside a case that must still fire."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from siftlake import schema
@@ -76,6 +78,28 @@ def test_diff(spark):
     assert got == [("added", None, 13), ("kept", 1, 1), ("moved", 10, 12), ("removed", 50, None)]
 
 
+def test_diff_of_many(spark):
+    """Islands of a hot key against greedy matching of all its pairs; the pairs formed stay few."""
+    r = random.Random(8)
+    sides = [{k: sorted(r.sample(range(6000 if k == "hot" else 40), 1500 if k == "hot" else 12)) for k in ("hot", "b", "c")} for _ in range(2)]
+    row = "path string, rule_id string, line_start int, pos int"
+    old, new = (spark.createDataFrame([(k, "r", x, 1) for k in s for x in s[k]], row) for s in sides)
+    want = []
+    for k in sides[0]:
+        both = set(sides[0][k]) & set(sides[1][k])
+        a, b = (sorted(set(s[k]) - both) for s in sides)
+        want += [(k, x, x, "kept") for x in both]
+        for _, x, y in sorted((abs(x - y), x, y) for x in list(a) for y in list(b) if abs(x - y) <= 5):
+            if x in a and y in b:
+                a.remove(x)
+                b.remove(y)
+                want.append((k, x, y, "moved"))
+        want += [(k, x, -1, "removed") for x in a] + [(k, -1, y, "added") for y in b]
+    got = history.diff(old, new).na.fill(-1)
+    assert "island" in got._jdf.queryExecution().toString()
+    assert sorted((x.path, x.old_line, x.new_line, x.status) for x in got.collect()) == sorted(want)
+
+
 def test_merge_and_gate(spark):
     f = spark.createDataFrame([("a", "k", 1, 5, 1, 0.5), ("a", "k", 4, 9, 2, 0.6), ("a", "k", 11, None, 3, 0.9)], "path string, key string, line_start int, line_end int, pos int, confidence double")
     assert sorted((r.line_start, r.line_end, r.merged) for r in validate.merge_intervals(f).collect()) == [(1, 9, 2), (11, 11, 1)]
