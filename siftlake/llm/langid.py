@@ -12,16 +12,23 @@ PER_LANG distinct texts a language and WORDS words a text, for every label there
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table, utf8
+from .common import held_out, own_name, part_batches, renamed, table, tidy, utf8
 
-LONGEST, PER_LANG, WORDS = 48, 200, 200
-LETTER = re.compile(r"[^\W\d_]")
+LONGEST, PER_LANG, WORDS, KNOWN = 48, 200, 200, 1 << 17  # KNOWN: words that a task remembers
+
+
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter; numerals such as ½ or Ⅷ and marks are none."""
+    if any("a" <= c <= "z" for c in text[:64]):
+        return True
+    return any(unicodedata.category(c)[0] == "L" for c in set(text))
 
 
 def sigmoid(x):
@@ -123,9 +130,19 @@ class ByteGRU:
         return out
 
 
-def cut(text: str) -> list[bytes]:
+def chunks(text: str, most: int = 1 << 20):
+    """The words of a text in order, in lists of about most bytes."""
+    data, at, space = utf8(text), 0, re.compile(rb"\s")
+    while at < len(data):
+        end = space.search(data, at + most) if at + most < len(data) else None
+        end = end.start() if end else len(data)
+        yield cut(data[at:end])
+        at = end
+
+
+def cut(text: str | bytes) -> list[bytes]:
     """The words of a text in order; those above LONGEST bytes in pieces of that."""
-    words = utf8(text).split()
+    words = (text if isinstance(text, bytes) else utf8(text)).split()
     if words and max(map(len, words)) > LONGEST:
         return [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
     return words
@@ -167,58 +184,72 @@ def fit(labelled: DataFrame, **options) -> tuple[list[str], ByteGRU | None]:
     return langs, ByteGRU(len(langs)).train([words[i] for i in pick], labels[pick])
 
 
+OWN = ("held_out", "lang_pred", "score")
+
+
 def predict(docs: DataFrame, langs: list[str], net: ByteGRU | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs(text, kept columns) -> kept columns, lang_pred, score: a row per row.
 
     Null texts, texts without a letter (empty ones too) and, if nothing was learned, all texts are ``und`` with
-    score 0. score is the mean probability of the language over all bytes of the text's words.
+    score 0. score is the mean probability of the language over all bytes of the text's words. Texts of any length are
+    read whole; of languages that are equally likely the first by name is taken; rows that repeat get equal results; an
+    empty table gives no rows. A kept column named like a result (or held_out) gets an underscore.
     """
     shared = docs.sparkSession.sparkContext.broadcast((langs, net))
     fields = [f for f in docs.schema.fields if f.name in keep]
-    names = [f.name for f in fields]
+    names = renamed(fields, OWN)
+    text = next((n for f, n in zip(fields, names, strict=True) if f.name == "text"), "text")
 
     def work(batches):
         langs, net = shared.value
         place: dict[bytes, int] = {}
-        known = np.zeros((0, len(langs)), np.float32)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            k = 0
-            while k < len(texts):
-                end, size = k, 0
-                while end < len(texts) and size < 4_000_000:
-                    size += len(texts[end] or "")
-                    end += 1
-                pred, score = [], []
-                words = [cut(t) if net and t and LETTER.search(t) else [] for t in texts[k:end]]
-                if len(place) > 300_000:
-                    place, known = {}, known[:0]
-                new = [w for w in set().union(*words) if w not in place]
+        known = np.empty((KNOWN, len(langs)), np.float32)
+        for batch in part_batches(batches, column=text):
+            texts = batch.column(text).to_pylist()
+            total, some, size = np.zeros((len(texts), len(langs))), [], 0
+
+            def read():
+                nonlocal place, known
+                words = set().union(*(ws for _, ws in some))
+                new = [w for w in words if w not in place]
+                if len(place) + len(new) > len(known):
+                    place, new = {}, list(words)
+                    known = known if len(new) <= len(known) else np.empty((len(new), len(langs)), np.float32)
                 if new:
+                    known[len(place) : len(place) + len(new)] = net.pooled(new)
                     place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-                    known = np.concatenate((known, net.pooled(new)))
-                for ws in words:
-                    if not ws:
-                        pred.append("und")
-                        score.append(0.0)
-                        continue
-                    total = known[np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64)
-                    best = int(total.argmax())
-                    pred.append(langs[best])
-                    score.append(float(min(1.0, total[best] / total.sum())))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(k, end - k) for n in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
-                k = end
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
-    return docs.select("text", *[n for n in names if n != "text"]).mapInArrow(work, schema)
+                for i, ws in some:
+                    total[i] += known[np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64)
+
+            for i, t in enumerate(texts):
+                for ws in chunks(t) if net and t and has_letter(t) else ():
+                    some.append((i, ws))
+                    size += len(ws)
+                    if size >= KNOWN:
+                        read()
+                        some, size = [], 0
+            read()
+            best, told = (total.argmax(1), total.sum(1) > 0) if langs else (None, None)
+            pred = [langs[k] if ok else "und" for k, ok in zip(best.tolist(), told.tolist(), strict=True)] if langs else ["und"] * len(texts)
+            score = np.where(told, total.max(1) / np.where(told, total.sum(1), 1), 0.0).clip(0, 1) if langs else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+
+    schema = ", ".join([*(f"`{n}` {f.dataType.simpleString()}" for f, n in zip(fields, names, strict=True)), "lang_pred string, score double"])
+    rows = docs.select(*(F.col(f"`{f.name}`").alias(n) for f, n in zip(fields, names, strict=True)), *([] if text in names else ["text"]))
+    return rows.mapInArrow(tidy(work), schema)
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs(doc_id, text, lang) -> kept columns, held_out, lang_pred, score. Learns from rows whose id's checksum is not 0 modulo 5."""
+    """docs(doc_id, text, lang) -> kept columns, held_out, lang_pred, score: a row per row, see predict.
+
+    Learns from rows with text and label whose id's checksum is not 0 modulo 5 (a null id's is that of the empty string).
+    """
     out = held_out("doc_id", 5, 0)
     langs, net = fit(docs.where(~out))
-    found = predict(docs, langs, net, keep)
-    return found.select(*[c for c in found.columns if c in keep], out.alias("held_out"), "lang_pred", "score")
+    mark = own_name("held_out", docs.columns)
+    found = predict(docs.withColumn(mark, out), langs, net, (*keep, mark))
+    names = renamed([f for f in docs.schema.fields if f.name in keep], OWN)
+    return found.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{found.columns[-3]}`").alias("held_out"), "lang_pred", "score")
 
 
 def op8_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import own_name, part_batches, renamed, table, tidy
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -136,62 +136,56 @@ def load(path: str) -> Pieces:
     return Pieces([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())], sp.unk_id())
 
 
-def slices(texts: list[str], most: int = 4_000_000):
-    k = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield texts[k : i + 1]
-            k, size = i + 1, 0
-    if k < len(texts):
-        yield texts[k:]
-
-
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), memory: int = 300_000, longest: int = 48) -> DataFrame:
     """docs(text, kept columns) -> kept columns, ids array<int>: a row per row. Null and empty texts: no ids.
 
-    path: the model file. Up to memory short parts are remembered by each task.
+    path: the model file. Up to memory short parts are remembered by each task. Texts of any length are encoded whole;
+    rows that repeat get equal ids; an empty table gives no rows. A kept column named ids gets an underscore.
     """
     fields = [f for f in docs.schema.fields if f.name in keep]
+    names = renamed(fields, ("ids",))
+    text = next((n for f, n in zip(fields, names, strict=True) if f.name == "text"), own_name("text", names))
 
     def work(batches):
         model, known = load(path), {}
-        for batch in batches:
-            k = 0
-            for texts in slices([t or "" for t in batch.column("text").to_pylist()]):
-                cut = [model.parts(t) for t in texts]
-                if len(known) > memory:
-                    known = {}
-                found = model.encode_parts([p for p in set().union(*cut) if p not in known])
-                known.update((p, ids) for p, ids in found.items() if len(p) <= longest)
-                long = {p: ids for p, ids in found.items() if len(p) > longest}
-                get = (lambda p: long[p] if len(p) > longest else known[p]) if long else known.__getitem__
-                rows = [np.frombuffer(b"".join(map(get, parts)), model.dtype).astype(np.int32) for parts in cut]
-                ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([batch.column(f.name).slice(k, len(texts)) for f in fields] + [ids], [*(f.name for f in fields), "ids"])
-                k += len(texts)
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>"])
-    return docs.select("text", *[f.name for f in fields if f.name != "text"]).mapInArrow(work, schema)
+        for batch in part_batches(batches, 2_000_000, text):
+            cut = [model.parts(t or "") for t in batch.column(text).to_pylist()]
+            if len(known) > memory:
+                known = {}
+            found = model.encode_parts([p for p in set().union(*cut) if p not in known])
+            known.update((p, ids) for p, ids in found.items() if len(p) <= longest)
+            long = {p: ids for p, ids in found.items() if len(p) > longest}
+            get = (lambda p: long[p] if len(p) > longest else known[p]) if long else known.__getitem__
+            rows = [np.frombuffer(b"".join(map(get, parts)), model.dtype).astype(np.int32) for parts in cut]
+            ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [ids], [*names, "ids"])
+
+    schema = ", ".join([*(f"`{n}` {f.dataType.simpleString()}" for f, n in zip(fields, names, strict=True)), "ids array<int>"])
+    rows = docs.select(*(F.col(f"`{f.name}`").alias(n) for f, n in zip(fields, names, strict=True)), *([] if text in names else [F.col("text").alias(text)]))
+    return rows.mapInArrow(tidy(work), schema)
 
 
 def decode(coded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """coded(ids, kept columns) -> kept columns, text. Null ids: null text; ids outside the model raise IndexError."""
+    """coded(ids, kept columns) -> kept columns, text. Null ids: null text; ids outside the model raise IndexError. A kept
+    column named text gets an underscore; ids can be kept."""
     fields = [f for f in coded.schema.fields if f.name in keep]
+    names = renamed(fields, ("text",))
+    own = next((n for f, n in zip(fields, names, strict=True) if f.name == "ids"), own_name("ids", names))
 
     def work(batches):
         model = load(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                ids = part.column("ids")
+                ids = part.column(own)
                 flat, ends = np.asarray(ids.values), np.asarray(ids.offsets)
                 text = [model.decode(flat[a:b]) if ok else None for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), ids.is_valid().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + [pa.array(text, pa.string())], [*(f.name for f in fields), "text"])
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(text, pa.string())], [*names, "text"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "text string"])
-    return coded.select("ids", *[f.name for f in fields if f.name != "ids"]).mapInArrow(work, schema)
+    schema = ", ".join([*(f"`{n}` {f.dataType.simpleString()}" for f, n in zip(fields, names, strict=True)), "text string"])
+    rows = coded.select(*(F.col(f"`{f.name}`").alias(n) for f, n in zip(fields, names, strict=True)), *([] if own in names else [F.col("ids").alias(own)]))
+    return rows.mapInArrow(tidy(work), schema)
 
 
 def model_path() -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, utf8
+from .common import own_name, part_batches, stage, table, tidy, utf8
 from .graph import components
 
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1 generates the code
@@ -47,15 +47,23 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of some shingles' hashes: bits that over half of them have."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[k : k + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs(doc_id, text) -> doc_id, tk (xxhash64 of the text), fp (the fingerprint's bits as a signed long). Null and empty texts: zero."""
 
     def work(batches):
-        for batch in batches:
+        for batch in part_batches(batches):
             fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(fp)], ["doc_id", "tk", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text").mapInArrow(work, "doc_id long, tk long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text").mapInArrow(tidy(work), "doc_id long, tk long, fp long")
 
 
 # ---- Golay keys ---------------------------------------------------------------------------------------------

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, utf8
+from .common import part_batches, release, renamed, stage, table, tidy, utf8
 
-MIN_LEN, KMER, BUCKET, HEAVY = 200, 32, 1 << 20, 8192
+MIN_LEN, KMER, BUCKET, HEAVY = 200, 32, 1 << 18, 8192
 BASE = 0x9E3779B97F4A7C15
-POS = 24
+POS, STRIDE = 24, 1 << 18
 
 
 @lru_cache(1)
@@ -67,13 +67,11 @@ def anchors(texts: list[bytes], min_len: int = MIN_LEN, k: int = KMER) -> tuple[
     n = len(data)
     if n < min_len:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
-    room = 1 << max(21, int(n).bit_length())
-    value, up, down = _powers(room)
+    value, up, down = _powers(1 << max(19, int(n).bit_length()))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value[data] * up[:n], out=total[1:])
     kmers = _mix((total[k:] - total[:-k]) * down[: n - k + 1])
-    # The leftmost smallest: the hash's high bits, then the place. Places fit by the size of a batch, or a text alone
-    # is so long that it is taken in strides.
+    # The leftmost smallest: the hash's high bits, then the place.
     w, starts = min_len - k + 1, np.concatenate(([0], np.cumsum(sizes)))
     at = np.empty(n - min_len + 1, np.int64)
     for a in range(0, n - min_len + 1, 1 << (POS - 1)):
@@ -93,25 +91,37 @@ def anchors(texts: list[bytes], min_len: int = MIN_LEN, k: int = KMER) -> tuple[
     return own, first - starts[own], more, kmers[at[first]], segment
 
 
+def strides(data: bytes, min_len: int, most: int = STRIDE) -> list[tuple[int, bytes]]:
+    """A text as pieces of about most bytes, with where they begin; each window of min_len bytes lies in one piece."""
+    return [(a, data[a : a + most + min_len - 1]) for a in range(0, max(1, len(data) - min_len + 1), most)]
+
+
 def _anchor_rows(docs: DataFrame, min_len: int, k: int) -> DataFrame:
+    """Long texts are cut into strides; an anchor whose windows lie in two of them gives two segments, which changes nothing
+    but how its windows are grouped."""
     names = ["doc_id", "tk", "at", "more", "h", "s"]
 
+    def rows(pieces, ids, tk):
+        own, at, more, h, s = anchors([d for _, _, d in pieces], min_len, k)
+        of, base = np.array([i for i, _, _ in pieces], np.int64), np.array([a for _, a, _ in pieces], np.int64)
+        at, row = at + base[own], pa.array(of[own])
+        cols = [ids.take(row), tk.take(row), pa.array(at.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(s.view(np.int64))]
+        return pa.RecordBatch.from_arrays(cols, names)
+
     def work(batches):
-        for batch in batches:
-            texts, ids, tk = [utf8(t) for t in batch.column("text").to_pylist()], batch.column("doc_id"), batch.column("tk")
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and size < 1_500_000:
-                    size += len(texts[b])
-                    b += 1
-                own, at, more, h, s = anchors(texts[a:b], min_len, k)
-                own = pa.array(own + a)
-                cols = [ids.take(own), tk.take(own), pa.array(at.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(s.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names)
-                a = b
-
-    return docs.mapInArrow(work, "doc_id long, tk long, at int, more int, h long, s long")
+        for batch in part_batches(batches, STRIDE):
+            ids, tk, pieces, size = batch.column("doc_id"), batch.column("tk"), [], 0
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                for a, d in strides(utf8(t), min_len):
+                    pieces.append((i, a, d))
+                    size += len(d)
+                    if size >= STRIDE:
+                        yield rows(pieces, ids, tk)
+                        pieces, size = [], 0
+            if pieces:
+                yield rows(pieces, ids, tk)
+
+    return docs.mapInArrow(tidy(work), "doc_id long, tk long, at int, more int, h long, s long")
 
 
 # ---- suffix arrays ------------------------------------------------------------------------------------------
@@ -180,6 +190,7 @@ def _compare(segs: DataFrame, min_len: int, bucket: int, heavy: int) -> DataFram
         rows = [(i, lo, hi) for i, m in enumerate(found) for lo, hi in runs(m)]
         at = pa.array([r[0] for r in rows], pa.int64())
         cols = [t.column("h").take(at), t.column("s").take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())]
+        release()
         return pa.table(cols, ["h", "s", "lo", "hi"])
 
     light = segs.where(F.col("kinds") <= heavy).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
@@ -225,42 +236,45 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+OWN = ("n_bytes", "n_removed", "spans", "kept")
+
+
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False, **options) -> DataFrame:
     """docs(doc_id, text, kept columns) -> doc_id, kept columns, n_bytes, n_removed, spans, kept (the bytes that are left): a row per row.
 
-    Null texts are empty. All places of a repeated string are removed, the first too. Spans are maximal runs of
-    removed bytes and may cut a character; kept is bytes for that reason or, if as_text, text without such characters.
+    Null and empty texts are empty; a text of any length is taken whole, in strides; rows that repeat are copies of
+    each other; an empty table gives no rows. All places of a repeated string are removed, the first too. Spans are
+    maximal runs of removed bytes and may cut a character; kept is bytes for that reason or, if as_text, text without
+    such characters. A kept column named like one of the results gets an underscore.
     """
     found = repeats(docs, **options)
     fields = [f for f in docs.schema.fields if f.name in {"doc_id", *keep} - {"text"}]
-    names = [f.name for f in fields]
-    rows = docs.select(*names, F.coalesce("text", F.lit("")).alias("text")).alias("d")
+    names = renamed(fields, (*OWN, "text"))
+    rows = docs.select(*(F.col(f"`{f.name}`").alias(n) for f, n in zip(fields, names, strict=True)), F.coalesce("text", F.lit("")).alias("text"))
     on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.tk"))
-    rows = rows.join(found.alias("s"), on, "left").select(*[f"d.`{n}`" for n in names], "d.text", "s.spans")
+    rows = rows.alias("d").join(found.alias("s"), on, "left").select(*[f"d.`{n}`" for n in names], "d.text", "s.spans")
 
     def work(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                size, gone, spans, kept = [], [], [], []
-                for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    data, at, left = utf8(text), 0, []
-                    cut = merged([(s["lo"], s["hi"]) for s in found or []])
-                    for lo, hi in cut:
-                        left.append(data[at:lo])
-                        at = hi
-                    left.append(data[at:])
-                    kept.append(b"".join(left))
-                    size.append(len(data))
-                    gone.append(len(data) - len(kept[-1]))
-                    spans.append([{"lo": lo, "hi": hi} for lo, hi in cut])
-                kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-                left = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-                cols = [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), left]
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + cols, [*names, "n_bytes", "n_removed", "spans", "kept"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept " + ("string" if as_text else "binary")])
-    return rows.mapInArrow(work, schema)
+        for part in part_batches(batches):
+            size, gone, spans, kept = [], [], [], []
+            for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                data, at, left = utf8(text), 0, []
+                cut = merged([(s["lo"], s["hi"]) for s in found or []])
+                for lo, hi in cut:
+                    left.append(data[at:lo])
+                    at = hi
+                left.append(data[at:])
+                kept.append(b"".join(left))
+                size.append(len(data))
+                gone.append(len(data) - len(kept[-1]))
+                spans.append([{"lo": lo, "hi": hi} for lo, hi in cut])
+            kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+            left = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            cols = [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), left]
+            yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + cols, [*names, *OWN])
+
+    schema = ", ".join([*(f"`{n}` {f.dataType.simpleString()}" for f, n in zip(fields, names, strict=True)), "n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept " + ("string" if as_text else "binary")])
+    return rows.mapInArrow(tidy(work), schema)
 
 
 def brute_force(texts: list[str | None], min_len: int = MIN_LEN) -> list[tuple[int, int, int, str]]:
