@@ -1,12 +1,16 @@
 """SimHash near-duplicates through Golay-code keys (operator 9).
 
-A fingerprint's 64 bits are cut into segments of 23, 23 and 18 bits. If two fingerprints differ in at most three
-bits, the segments cannot all hold many errors: either the first two hold one error at most each, or one of them
-holds two or more and the other two segments hold one error at most together. Each such case is a key: a segment
-is taken exactly, or within one error through the perfect binary Golay code (23, 12, 7). One side of the join takes the codeword nearest to its
-segment; the other takes every codeword within four bits of its own, one to six of them. Words one bit apart
-always share such a codeword, because the one's nearest codeword lies within three bits of it, so within four of
-the other. Candidates are verified by the population count of the XOR.
+A fingerprint's 64 bits are cut into segments of 23, 23 and 18 bits. If two fingerprints differ in at most three bits,
+one of these holds, and each is a key of 30 bits or more:
+
+* the third segment is equal, and the first or the second holds one error at most;
+* the first or the second is equal, and one of the other two holds one error at most;
+* each segment holds just one error: then of the second and of the third one half is equal.
+
+A segment is taken exactly, or within one error through the perfect binary Golay code (23, 12, 7). One side of the join
+takes the codeword nearest to its segment; the other takes every codeword within four bits of its own, one to six of
+them. Words one bit apart always share such a codeword, because the one's nearest codeword lies within three bits of
+it, so within four of the other. Candidates are verified by the population count of the XOR.
 """
 
 from __future__ import annotations
@@ -98,24 +102,35 @@ def codewords(segment: np.ndarray, wide: bool) -> np.ndarray:
     return np.where(errors < 0, -1, (segment[:, None] ^ errors) >> 11)
 
 
-#: Bits of the three segments, and the keys: for each, which segment is fuzzy and which is exact.
+#: Bits of the three segments, and the keys: for each, how the segments are taken (left out where None).
 CUTS = ((41, 23), (18, 23), (0, 18))
-KEYS = (("fuzzy", "fuzzy", None), ("fuzzy", None, "exact"), ("exact", None, "fuzzy"), (None, "fuzzy", "exact"), (None, "exact", "fuzzy"))
+KEYS = (("fuzzy", None, "exact"), (None, "fuzzy", "exact"), ("exact", None, "fuzzy"), (None, "exact", "fuzzy"), ("exact", "fuzzy", None), ("fuzzy", "exact", None))
+KEYS += tuple(("fuzzy", x, y) for x in ("low", "high") for y in ("low", "high"))
+
+
+def taken(part: np.ndarray, bits: int, how: str, wide: bool) -> tuple[np.ndarray, int]:
+    """A segment taken one way: a row of values for each fingerprint (-1 fills up), and the bits they need."""
+    half = bits // 2
+    if how == "fuzzy":
+        return codewords(part, wide), 12
+    if how == "exact":
+        return part[:, None], bits
+    return ((part & (1 << half) - 1)[:, None], half) if how == "low" else ((part >> half)[:, None], bits - half)
 
 
 def keys(fps: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
     """All keys of each fingerprint: positions in fps, and keys as 64-bit integers that also name the kind of key."""
     bits = fps.view(np.uint64)
-    parts = [(bits >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in CUTS]
+    parts = [((bits >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64), n) for at, n in CUTS]
     rows, out = [], []
     for kind, plan in enumerate(KEYS):
         key, ok = np.full((len(fps), 1), kind, np.int64), np.ones((len(fps), 1), bool)
-        for part, how in zip(parts, plan, strict=True):
+        for (part, n), how in zip(parts, plan, strict=True):
             if how is None:
                 continue
-            new = codewords(part, wide) if how == "fuzzy" else part[:, None]
+            new, need = taken(part, n, how, wide)
             ok = (ok[:, :, None] & (new >= 0)[:, None, :]).reshape(len(fps), -1)
-            key = ((key << (12 if how == "fuzzy" else 23))[:, :, None] | np.maximum(new, 0)[:, None, :]).reshape(len(fps), -1)
+            key = ((key << need)[:, :, None] | np.maximum(new, 0)[:, None, :]).reshape(len(fps), -1)
         at, col = np.nonzero(ok)
         rows.append(at)
         out.append(key[at, col])
@@ -132,7 +147,7 @@ def _key_rows(nodes: DataFrame, wide: bool) -> DataFrame:
                 at, key = keys(fps[k : k + CHUNK], wide)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[k : k + CHUNK][at])], ["key", name])
 
-    return nodes.select("fp").mapInArrow(work, f"key long, {name} long")
+    return nodes.select("fp").mapInArrow(tidy(work), f"key long, {name} long")
 
 
 def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
@@ -152,29 +167,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
     links reach, the document's own included. Equal fingerprints, those of empty texts too, become one node before
     any join, so groups of copies cost one row. n_links counts the links between different fingerprints. Null ids
     are kept: a group whose ids are all null has a null component. part, the smallest fingerprint that links reach,
-    names every group.
+    names every group. Texts are read whole, whatever their length; rows that repeat are rows of the
+    result each; other columns of docs are not read; an empty table gives no rows.
     """
     fps = stage(fingerprints(docs, shingle), "fingerprints")
     n = fps.count()
-    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes", n)
+    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "fingerprint-nodes", n)
     pairs = stage(links(nodes, max_bits), "fingerprint-links", n)
     comp = components(pairs, pairs.count())
     degree = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).groupBy("fp").agg(F.count("*").alias("n_links"))
     comp = comp.join(nodes, F.col("node") == F.col("fp")).select("fp", "component", "least")
     least = comp.groupBy("component").agg(F.min("least").alias("component_id"))
     of = comp.join(least, "component").select("fp", "component", "component_id").join(degree, "fp", "left")
-    of = nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "fp").alias("part"))
-    return fps.join(of, "fp").select("doc_id", "tk", "fp", "component_id", "n_links", "part")
+    of = nodes.join(of, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "fp").alias("part"))
+    of = stage(of, "fingerprint-groups", n)
+    # A fingerprint of more than a 1024th of all rows: there are fewer than 1024 of these, which may be sent everywhere,
+    # so that their rows need not meet in one task.
+    hot = of.where(F.col("copies") * 1024 > n).drop("copies")
+    rest = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(of.drop("copies"), "fp")
+    return rest.unionByName(fps.join(F.broadcast(hot), "fp")).select("doc_id", "tk", "fp", "component_id", "n_links", "part")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without near-duplicates: of each group the row of the smallest doc_id (nulls last) stays, of equal ids that
-    of the smallest text hash, of rows alike in both one."""
+    of the smallest text hash, of rows alike in both one. All columns of docs come back as they were."""
     found = near_duplicates(docs, **options)
-    first = found.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("m")).select("m.doc_id", "m.tk")
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_tk": F.xxhash64("text")})
-    rows = rows.join(first.toDF("f_id", "f_tk"), F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_tk") == F.col("f_tk")), "left_semi")
-    return rows.dropDuplicates(["_id", "_tk"]).select(*docs.columns)
+    first = found.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("m")).select(F.col("m.doc_id").alias("f_id"), F.col("m.tk").alias("f_tk"))
+    id_, tk = own_name("_id", docs.columns), own_name("_tk", docs.columns)
+    rows = docs.withColumns({id_: F.col("doc_id").cast("long"), tk: F.xxhash64("text")}).alias("r")
+    rows = rows.join(first.alias("f"), F.col(f"r.{id_}").eqNullSafe(F.col("f.f_id")) & (F.col(f"r.{tk}") == F.col("f.f_tk")), "left_semi")
+    return rows.dropDuplicates([id_, tk]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
