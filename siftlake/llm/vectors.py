@@ -8,7 +8,9 @@ the threshold any more are given up. Those that stay are decided by the cosine o
 precision.
 
 Axes and tree come from a bounded sample; only the speed depends on it. Each vector meets every vector whose tile
-is near, so the work is that of an exact join. Only counts and a spanning forest leave a pair of tiles.
+is near, so the work is that of an exact join. Tiles travel in groups: a task takes two groups and compares all their
+near pairs, so a tile is sent once per pair of groups, not once per pair of tiles. Only counts and a spanning forest
+leave a task.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import release, stage, table, tidy
 from .graph import components
 
-SAMPLE, TILE, MAX_TILES, BOX = 4096, 2048, 65_536, 12
+SAMPLE, TILE, MAX_TILES, BOX, GROUP = 4096, 2048, 65_536, 12, 32_000_000  # GROUP: bytes of a group of tiles
 STEPS = (8, 16, 32)
 
 
@@ -127,7 +129,7 @@ def _tiles(nodes: DataFrame, axes: dict[int, Axes], rows: int) -> DataFrame:
                 out[own] = shared.value[int(d)].leaf(unit(_matrix(batch.column("v").take(pa.array(own)), d)) @ shared.value[int(d)].turn)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "dims", "copies")), pa.array(out)], ["id", "v", "dims", "copies", "leaf"])
 
-    leafed = stage(nodes.mapInArrow(leaves, "id long, v array<double>, dims int, copies long, leaf long"), "vector-leaves")
+    leafed = stage(nodes.mapInArrow(tidy(leaves), "id long, v array<double>, dims int, copies long, leaf long"), "vector-leaves")
     parts = leafed.groupBy("dims", "leaf").agg(F.ceil(F.count("*") / rows).cast("long").alias("parts"))
     salted = leafed.join(parts, ["dims", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
 
@@ -143,17 +145,21 @@ def _tiles(nodes: DataFrame, axes: dict[int, Axes], rows: int) -> DataFrame:
     return stage(salted.groupBy("dims", "leaf", "part").applyInArrow(pack, "tile string, dims int, ids binary, copies binary, vectors binary, box array<double>"), "vector-tiles")
 
 
-def _pairs(tiles: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of tiles of equal dims whose boxes are near enough, each once, a tile with itself too.
+def _near(box: np.ndarray, boxes: np.ndarray, least: float) -> np.ndarray:
+    """Which boxes are near enough to box that unit vectors in them can have a cosine of least."""
+    gap = np.maximum(0, np.maximum(boxes[:, 0] - box[1], box[0] - boxes[:, 1]))
+    return (gap * gap).sum(1) <= 2 - 2 * least + 1e-9
+
+
+def _meetings(tiles: DataFrame, least: float, group: int) -> DataFrame:
+    """tile, ga, gb: the pairs of groups of tiles, ga <= gb, in which a tile meets another that is near, or itself.
 
     Every tile is held against all boxes; the tiles are few by their size, MAX_TILES or so at most.
     """
-    boxes = tiles.select("tile", "dims", "box").orderBy("tile").collect()
-    names, dims = [b.tile for b in boxes], np.array([b.dims for b in boxes])
-    wide = np.full((len(boxes), 2, BOX), 0.0)
+    boxes = tiles.select("tile", "dims", "box").orderBy("dims", "tile").collect()
+    names, dims, wide = [b.tile for b in boxes], np.array([b.dims for b in boxes]), np.zeros((len(boxes), 2, BOX))
     for i, b in enumerate(boxes):
         wide[i, :, : len(b.box) // 2] = np.array(b.box).reshape(2, -1)
-    far = 2 - 2 * least + 1e-9  # squared distance of unit vectors with that cosine
     shared = tiles.sparkSession.sparkContext.broadcast((names, dims, wide))
 
     def near(batches):
@@ -162,11 +168,12 @@ def _pairs(tiles: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             for t in batch.column("tile").to_pylist():
                 i = place[t]
-                gap = np.maximum(0, np.maximum(wide[i:, 0] - wide[i, 1], wide[i, 0] - wide[i:, 1]))
-                hit = np.flatnonzero(((gap * gap).sum(1) <= far) & (dims[i:] == dims[i])) + i
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(hit)), pa.array([names[j] for j in hit.tolist()], pa.string())], ["a", "b"])
+                other = np.unique(np.flatnonzero(_near(wide[i], wide, least) & (dims == dims[i])) // group)
+                n, own = len(other), np.full(len(other), i // group)
+                cols = [pa.array([t] * n, pa.string()), pa.array([i] * n, pa.int64()), pa.array(np.minimum(own, other), pa.int64()), pa.array(np.maximum(own, other), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["tile", "number", "ga", "gb"])
 
-    return tiles.select("tile").mapInArrow(near, "a string, b string")
+    return tiles.select("tile").mapInArrow(near, "tile string, number long, ga long, gb long")
 
 
 def near_vectors(table_: DataFrame, least: float = 0.9, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
@@ -175,54 +182,77 @@ def near_vectors(table_: DataFrame, least: float = 0.9, tile: int = TILE, sample
     Two rows link if their cosine is at least least. Rows whose vector is null, empty or zero, or holds nulls or
     components that aren't finite, and rows of different lengths, link with nothing. Equal vectors are compared
     once, whatever their number. Rows that share a vec_id are one node of the component graph, and their links add
-    up. sample: rows that axes and tree are taken from, of each length of vectors.
+    up. Null ids link like others but name no component: one of null ids alone has a null component_id, and a row
+    without id is never kept. Other columns are not read; an empty table gives no rows. sample: rows that axes and tree
+    are taken from, of each length of vectors.
     """
     rows = table_.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.select("vec_id", F.when(finite, F.col("v")).alias("v"))
-    copies = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    nodes = stage(copies.select("id", "v", F.size("v").alias("dims"), "copies"), "vectors")
+    copies = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes = stage(copies.select(F.monotonically_increasing_id().alias("id"), "least", "v", F.size("v").alias("dims"), "copies"), "vectors")
     counts = {r.dims: r.n for r in nodes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
     size, axes = max(tile, -(-sum(counts.values()) // MAX_TILES)), {}
     for dims, n in counts.items():
-        seen = nodes.where(F.col("dims") == dims).select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).select("v").toArrow()
+        seen = nodes.where(F.col("dims") == dims).select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).select("v").toArrow()
         axes[dims] = Axes(unit(_matrix(seen.column("v").combine_chunks(), dims)), -(-n // size))
     if not counts:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        own = F.col("vec_id")
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), own.alias("component_id"), own.isNotNull().alias("kept"))
     tiles = _tiles(nodes.select("id", "v", "dims", "copies"), axes, size)
-    shared = nodes.sparkSession.sparkContext.broadcast({d: x.turn for d, x in axes.items()})
-
-    def work(batches):
-        for batch in batches:
-            for p in batch.to_pylist():
-                x, y = (np.frombuffer(p[k], "<f8").reshape(-1, p["dims"]) for k in ("va", "vb"))
-                a, b = (np.frombuffer(p[k], "<i8") for k in ("ia", "ib"))
-                linked = compare(x, y, shared.value[p["dims"]], least)
-                if p["a"] == p["b"]:
+    turns = nodes.sparkSession.sparkContext.broadcast({d: x.turn for d, x in axes.items()})
+    group = max(1, GROUP // (8 * size * max(counts)))
+
+    def pair(one: dict, two: dict, same: bool):
+        """Links of two tiles, block by block: ids with counts of links, and edges."""
+        for i in range(0, len(one["ids"]), TILE):
+            for j in range(i if same else 0, len(two["ids"]), TILE):
+                a, b = slice(i, i + TILE), slice(j, j + TILE)
+                linked = compare(one["vectors"][a], two["vectors"][b], turns.value[one["dims"]], least)
+                if twin := same and i == j:
                     np.fill_diagonal(linked, False)
-                edges = forest(linked)
-                na, nb = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-                wa, wb = (np.frombuffer(p[k], "<i8") for k in ("ca", "cb"))
-                ends = [(a[na], (linked[na] @ wb))] + ([(b[nb], linked[:, nb].T @ wa)] if p["a"] != p["b"] else [])
-                ids = np.concatenate([e[0] for e in ends] + [a[[e[0] for e in edges]] if edges else np.empty(0, np.int64)])
-                n = np.concatenate([e[1] for e in ends] + [np.zeros(len(edges), np.int64)]).astype(np.int64)
-                other = [None] * (len(ids) - len(edges)) + [int(b[e[1]]) for e in edges]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(other, pa.int64()), pa.array(n)], ["id", "other", "n"])
-
-    return _finish(rows, nodes, tiles, _pairs(tiles, least), work)
-
-
-def _finish(rows, nodes, tiles, pairs, work) -> DataFrame:
-    side = lambda s: tiles.select(F.col("tile").alias(s), *(["dims"] if s == "a" else []), F.col("ids").alias(f"i{s}"), F.col("copies").alias(f"c{s}"), F.col("vectors").alias(f"v{s}"))
-    found = stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "id long, other long, n long"), "vector-links")
+                rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+                ids, others = one["ids"][a], two["ids"][b]
+                yield ids[rows], None, linked[rows] @ two["copies"][b]
+                if not twin:
+                    yield others[cols], None, linked[:, cols].T @ one["copies"][a]
+                if edges := forest(linked):
+                    yield ids[[e[0] for e in edges]], others[[e[1] for e in edges]], np.zeros(len(edges), np.int64)
+
+    def work(key, t):
+        ga, gb = (k.as_py() for k in key)
+        found = sorted(t.to_pylist(), key=lambda p: p["number"])
+        for p in found:
+            p["vectors"] = np.frombuffer(p["vectors"], "<f8").reshape(-1, p["dims"])
+            p["ids"], p["copies"], p["box"] = np.frombuffer(p["ids"], "<i8"), np.frombuffer(p["copies"], "<i8"), np.array(p["box"]).reshape(2, -1)
+        parts = []
+        for k, one in enumerate(found):
+            if one["number"] // group == ga:
+                for two in found[k:]:
+                    if two["number"] // group == gb and one["dims"] == two["dims"] and _near(one["box"], two["box"][None], least)[0]:
+                        parts += pair(one, two, one is two)
+        cols = [[x for p in parts for x in p[0].tolist()], [x for p in parts for x in (p[1].tolist() if p[1] is not None else [None] * len(p[0]))], [int(x) for p in parts for x in p[2].tolist()]]
+        release()
+        return pa.table([pa.array(c, pa.int64()) for c in cols], ["id", "other", "n"])
+
+    dealt = _meetings(tiles, least, group).join(tiles, "tile").groupBy("ga", "gb")
+    return _finish(rows, nodes, stage(dealt.applyInArrow(work, "id long, other long, n long"), "vector-links"))
+
+
+def _finish(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    of = stage(rows.join(nodes.select("id", "v"), "v", "left").select("vec_id", "id"), "vector-rows")
     n = found.groupBy("id").agg(F.sum("n").alias("n"))
     edges = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    # a vec_id on several vectors joins them
+    shared = of.where("id is not null and vec_id is not null").groupBy("vec_id").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    edges = edges.union(of.where("id is not null").join(shared, "vec_id").where("id <> least").select("least", "id").distinct())
     comp = components(edges, edges.count())
-    of = nodes.join(n, "id", "left").join(comp, nodes.id == comp.node, "left")
-    of = of.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(of, "v", "left")
-    own = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (own == F.col("vec_id")).alias("kept"))
+    of_node = nodes.select("id", "least", "copies").join(n, "id", "left").join(comp, F.col("id") == F.col("node"), "left")
+    of_node = of_node.select("id", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("part"))
+    names = of_node.groupBy("part").agg(F.min("least").alias("component_id"))
+    out = of.join(of_node.join(names, "part").select("id", "n_links", "component_id"), "id", "left")
+    own = F.when(F.col("id").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,9 @@ def test_vectors(spark):
     assert [got[i].component_id for i in range(len(x))] == comp
     assert [got[i].n_links for i in range(900, 907)] == [0, 0, 0, 0, 1, 0, 1] and got[906].component_id == 904
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    lone = [(None, [1.0, 0.0]), (None, [1.0, 0.01]), (7, [0.0, 1.0]), (8, [0.01, 1.0]), (8, [-1.0, 0.0]), (None, [-1.0, 0.01]), (None, None)]
+    got = vectors.near_vectors(spark.createDataFrame([(*x, "n") for x in lone], "vec_id long, embedding array<double>, least string"))
+    assert sorted((g.vec_id or 0, g.n_links, g.component_id or 0, g.kept) for g in got.collect()) == [(0, 0, 0, False), (0, 1, 0, False), (0, 1, 0, False), (0, 1, 7, False), (7, 1, 7, True), (8, 1, 7, False), (8, 1, 7, False)]
 
 
 def test_mixing(spark):
