@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -177,12 +178,71 @@ def test_urls(spark):
     assert urltree.judge(df.limit(0)).count() == 0
 
 
+def tree_by_hand(urls, min_children=8, variable=0.5, z=2.33):
+    """urls: (host, shape, label) -> {(host, shape): template}, segment by segment, in plain Python."""
+    out = {}
+
+    def grow(rows, prefix):  # rows: (segments left, shape, label) of one host and node
+        out.update({shape: prefix for left, shape, _ in rows if not left})
+        rows = [r for r in rows if r[0]]
+        kids = {}
+        for left, shape, label in rows:
+            kids.setdefault(left[0], []).append((left[1:], shape, label))
+        cats = {s: Counter(("." if not left else "/") + "/".join(left) for left, _, _ in own) for s, own in kids.items()}
+        labels = {s: Counter(label for _, _, label in own) for s, own in kids.items()}
+        mode = {s: max((n, c) for c, n in own.items())[1] for s, own in cats.items()}
+        branch = {}
+        for m in set(mode.values()):
+            pool, told = Counter(), Counter()
+            for s in kids:
+                if mode[s] == m:
+                    pool += cats[s]
+                    told += labels[s]
+            total, alike = sum(pool.values()), []
+            for s in (s for s in kids if mode[s] == m):
+                n = sum(cats[s].values())
+                chi, df = sum((k - n * pool[c] / total) ** 2 / (n * pool[c] / total) for c, k in ((c, cats[s][c]) for c in pool)), len(pool) - 1
+                own, every = labels[s]["block"] + labels[s]["allow"], told["block"] + told["allow"]
+                if told["block"] and told["allow"] and own:
+                    chi += sum((labels[s][x] - own * told[x] / every) ** 2 / (own * told[x] / every) for x in ("block", "allow"))
+                    df += 1
+                if chi <= df + z * math.sqrt(2 * df) + 1e-6:
+                    alike.append(s)
+            branch |= {s: "~" + min(alike) if s in alike and len(alike) > 1 else s for s in kids if mode[s] == m}
+        if len(kids) >= min_children and len(kids) >= variable * len(rows):
+            branch = dict.fromkeys(kids, "*")
+        groups = {}
+        for s, own in kids.items():
+            groups.setdefault(branch[s], []).extend(own)
+        for name, own in groups.items():
+            grow(own, f"{prefix}/{name}")
+
+    for host in {h for h, _, _ in urls}:
+        out = {}
+        grow([(shape.split("/"), shape, label) for h, shape, label in urls if h == host], "")
+        yield from (((host, shape), t) for shape, t in out.items())
+
+
 def test_url_tree(spark):
     rows = [("a.net", f"/{s}/{i}.html", "block" if s in ("es", "fr") else "none") for s in ("es", "fr", "de", "en") for i in range(40)]
     rows += [("b.org", f"/item/slug-{chr(97 + i % 26)}{'xyz'[i % 3]}{'q' * (i // 26)}", "none") for i in range(60)]
-    got = {(r.host, r.path): r.template for r in urltree.templates(spark.createDataFrame(rows, "host string, path string, label string")).collect()}
-    assert {k[1]: v for k, v in got.items() if k[0] == "a.net"} == {"es/#.html": "/~es/#.html", "fr/#.html": "/~es/#.html", "de/#.html": "/~de/#.html", "en/#.html": "/~de/#.html"}
+    rows += [("c.com", "/" + "/".join(["deep"] * 300 + [x]), "none") for x in ("a", "b", "a/b")] + [("c.com", f"/{s}/x{i % 3}", x) for s, x in (("m", "block"), ("n", "allow"), ("o", "none")) for i in range(30)]
+    got = {(r.host, r.shape): r.template for r in urltree.templates(spark.createDataFrame(rows, "host string, path string, label string")).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "a.net"} == {f"{s}/#.html": "/~de/#.html" for s in ("es", "fr", "de", "en")}
     assert {v for k, v in got.items() if k[0] == "b.org"} == {"/item/*"}
+    r = random.Random(5)
+    names = ["a", "b", "c", "dd", "ee", *(f"v{chr(97 + k)}" for k in range(20))]
+    rows += [(f"h{r.randrange(4)}", "/" + "/".join(r.choice(names[: r.choice((2, 5, 25))]) for _ in range(r.randrange(0, 5))), r.choice(("none", "none", "block", "allow"))) for _ in range(900)]
+    got = {(x.host, x.shape): x.template for x in urltree.templates(spark.createDataFrame(rows, "host string, path string, label string")).collect()}
+    assert got == dict(tree_by_hand([(h, __import__("re").sub("[0-9]+", "#", p)[1:], x) for h, p, x in rows]))
+
+
+def test_url_tree_decides(spark):
+    """URLs without a rule get the verdict of their template: blocked where its labelled URLs are."""
+    urls = [f"http://x.net/{s}/{i}" for s in ("es", "fr", "en") for i in range(9)] + [f"http://y.net/en/{i}" for i in range(9)] + ["http://x.net/about", "http://x.net/en/3?q"]
+    got = urltree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {(r.host, r.verdict) for r in got if not r.by_rule and "/en/" in r.path} == {("x.net", "block"), ("y.net", "allow")}
+    assert all(r.verdict == "block" and r.rule for r in got if "/es/" in r.path) and [r.verdict for r in got if r.path == "/about"] == ["allow"]
 
 
 @pytest.mark.parametrize("name", ["language", "near_duplicates", "repeats", "mix", "encode"])
