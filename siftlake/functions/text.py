@@ -31,3 +31,23 @@ def short_hash(col: Column, n: int = 16) -> Column:
 
 def prompt_key(model: Column, prompt: Column) -> Column:
     return F.substring(F.sha2(F.concat(model, F.lit("\0"), prompt), 256), 1, 32)
+
+
+def masked_setting(col: Column) -> Column:
+    """A secret setting as its first six and last four characters; short ones as stars."""
+    return F.when(F.length(col) > 12, F.concat(F.substring(col, 1, 6), F.lit("..."), F.substring(col, -4, 4))).when(F.length(col) > 0, "***").otherwise("")
+
+
+def knowledge_text(title: Column, tags: Column, triggers: Column, pattern: Column, fix: Column) -> Column:
+    """What of an item is embedded, cut to 1500 characters."""
+    return F.substring(F.concat_ws(" ", title, F.array_join(tags, " "), F.array_join(triggers, " "), pattern, fix), 1, 1500)
+
+
+def valid_id(col: Column) -> Column:
+    """2 to 64 letters, digits, dots, dashes and underscores, the first a letter or digit."""
+    return F.rlike(col, F.lit(r"^[A-Za-z0-9][A-Za-z0-9_.\-]{1,63}$"))
+
+
+def checksum(col: Column) -> Column:
+    """The first 32 hexadecimal digits of the sha256."""
+    return F.substring(F.sha2(col, 256), 1, 32)

@@ -44,7 +44,7 @@ def against_baseline(truth: DataFrame, hits: DataFrame, on: list[str]) -> DataFr
 
 
 def jaccard(runs: DataFrame, run: str, key: str) -> DataFrame:
-    """For every two runs that share a key: shared, all keys of both, and their ratio."""
+    """For every two runs that share a key: shared, all keys of both, and their ratio. Others have 0; consistency() counts them."""
     d = runs.select(run, key).distinct()
     n = d.groupBy(run).agg(F.count("*").alias("n"))
     shared = d.alias("a").join(d.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{run}") < F.col(f"b.{run}")))
@@ -54,6 +54,111 @@ def jaccard(runs: DataFrame, run: str, key: str) -> DataFrame:
     return out.select("run_a", "run_b", "shared", either.alias("either"), F.round(F.col("shared") / either, 6).alias("jaccard"))
 
 
+def consistency(runs: DataFrame, run: str, key: list[str], rule: str, all_runs: DataFrame | None = None) -> DataFrame:
+    """One row: runs, avg_pairwise (the mean Jaccard similarity of every two runs) and stable_rules (rules of keys that all runs have).
+
+    Pairs without a common key count 0 and aren't formed; two empty runs count 1. all_runs(run): the runs, where some may
+    have no row. A single run has the similarity 1, none 0.
+    """
+    whole = F.struct(*key)
+    d = runs.select(run, whole.alias("_key"), F.col(rule).alias("_rule")).distinct()
+    names = (runs if all_runs is None else all_runs).select(run).distinct()
+    n = names.join(d.groupBy(run).agg(F.count("*").alias("n")), run, "left").agg(F.count("*").alias("runs"), F.count_if(F.col("n").isNull()).alias("empty"))
+    near = jaccard(d.select(run, "_key"), run, "_key").agg(F.coalesce(F.sum(F.col("shared") / F.col("either")), F.lit(0.0)).alias("total"))
+    common = d.groupBy("_key", "_rule").agg(F.count("*").alias("_n")).crossJoin(n.select("runs")).where("_n = runs")  # one row
+    stable = common.agg(F.array_sort(F.collect_set("_rule")).alias("stable_rules"))
+    pairs, empties = F.col("runs") * (F.col("runs") - 1) / 2, F.col("empty") * (F.col("empty") - 1) / 2
+    mean = F.when(F.col("runs") == 0, 0.0).when(F.col("runs") == 1, 1.0).otherwise(F.round((F.col("total") + empties) / pairs, 3))
+    return n.crossJoin(near).crossJoin(stable).select("runs", mean.alias("avg_pairwise"), "stable_rules")  # one row each
+
+
+DEFECTS = ("security", "logic")
+
+
+def score_run(f: DataFrame, expected: DataFrame, reach: int = 2) -> DataFrame:
+    """f(path, line_start, line_end, pos, key, category), expected(path, key, line, ord) -> one row: tp, fp, fn, advisory, precision, recall, f1.
+
+    Findings of a file that lie within reach + 1 lines of the one before are a cluster. A cluster takes the first
+    expected row of its file, one of its keys and its lines, reach wider; more clusters may take the same. One that takes
+    none is false if it has a security or logic finding, else advice. tp: expected rows taken, fn: the others.
+    """
+    c = clusters(f, reach + 1).groupBy("path", "cluster").agg(
+        F.min("line_start").alias("lo"), F.max(F.coalesce("line_end", "line_start")).alias("hi"), F.collect_set("key").alias("keys"), F.max(F.col("category").isin(*DEFECTS)).alias("defect"),
+    )
+    m = first_match(c, expected, reach)
+    left = c.join(m.select("path", "cluster"), ["path", "cluster"], "left_anti")
+    n = m.agg(F.countDistinct("ord").alias("tp")).crossJoin(left.agg(F.count_if("defect").alias("fp"), F.count_if(~F.col("defect")).alias("advisory"))).crossJoin(expected.agg(F.count("*").alias("expected")))  # one row each
+    n = n.selectExpr("tp", "fp", "expected - tp fn", "advisory")
+    p, r, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return n.select("*", F.round(p, 3).alias("precision"), F.round(r, 3).alias("recall"), F.round(f1, 3).alias("f1"))
+
+
+def average_runs(scores: DataFrame, same: list[str]) -> DataFrame:
+    """scores, a row a run -> runs, the means of precision, recall and f1, and whether all runs agree in the columns of same."""
+    return scores.agg(F.count("*").alias("runs"), *(F.round(F.avg(c), 3).alias(c) for c in ("precision", "recall", "f1")), (F.countDistinct(F.struct(*same)) == 1).alias("stable"))
+
+
+def planted(manifest: DataFrame, hits: DataFrame, located: DataFrame | None = None) -> DataFrame:
+    """manifest(id, lib, file, start, end, expect), hits(lib, file, line, rule, evidence) -> id, expect, result.
+
+    Hits in the planted lines, one wider, count. hit_located: one is of the rule expected and its evidence holds a word
+    of located(rule, word); hit_unlocated: the rule only; MISS: none. Rows whose expect begins with TRAP, not widened,
+    are trap_clean or TRAP_BREACH. Lines are spread over the planted ones, so the join is on equal keys.
+    """
+    trap = F.startswith("expect", F.lit("TRAP"))
+    pad = F.when(trap, 0).otherwise(1)
+    spread = manifest.select("id", "lib", "file", "expect", F.explode(F.sequence(F.col("start") - pad, F.col("end") + pad)).alias("line"))
+    near_ = spread.join(hits, ["lib", "file", "line"])
+    if located is None:
+        near_ = near_.withColumn("named", F.lit(False))
+    else:
+        words = located.groupBy("rule").agg(F.collect_set("word").alias("words"))
+        near_ = near_.join(words, "rule", "left").withColumn("named", F.coalesce(F.exists("words", lambda w: F.contains("evidence", w)), F.lit(False)))
+    right = F.col("rule") == F.col("expect")
+    got = near_.groupBy("id").agg(F.max(right).alias("hit"), F.max(right & F.col("named")).alias("at"), F.count("*").alias("n"))
+    result = F.when(trap, F.when(F.coalesce("n", F.lit(0)) > 0, "TRAP_BREACH").otherwise("trap_clean")).when(F.col("at"), "hit_located").when(F.col("hit"), "hit_unlocated").otherwise("MISS")
+    return manifest.join(got, "id", "left").select("id", "expect", result.alias("result"))
+
+
+def planted_recall(results: DataFrame) -> DataFrame:
+    """results of planted -> expect, n, hit, located for every rule that was planted; traps don't count."""
+    rows = results.where(~F.startswith("expect", F.lit("TRAP")))
+    return rows.groupBy("expect").agg(F.count("*").alias("n"), F.count_if(F.startswith("result", F.lit("hit"))).alias("hit"), F.count_if(F.col("result") == "hit_located").alias("located"))
+
+
+def adjudication_rows(hits: DataFrame, truth: DataFrame, rules: DataFrame, graded: list[str]) -> DataFrame:
+    """hits(file, line, rule, evidence) whose rule begins with one of graded or DISCOVERED-CWE -> hits + title, why, gt, pattern.
+
+    gt is the verdict of truth(file, line, rule, verdict, pattern), O without one; a rule without title has its id.
+    """
+    kept = hits.where(F.exists(F.array(*map(F.lit, [*graded, "DISCOVERED-CWE"])), lambda p: F.startswith("rule", p)))
+    out = kept.join(truth.select("file", "line", "rule", F.col("verdict").alias("gt"), "pattern"), ["file", "line", "rule"], "left").join(rules.select("rule", "title", "why"), "rule", "left")
+    fill = {"title": F.col("rule"), "why": F.lit(""), "gt": F.lit("O"), "pattern": F.lit("")}
+    return out.withColumns({c: F.coalesce(c, v) for c, v in fill.items()})
+
+
+def adjudication_summary(rows: DataFrame) -> DataFrame:
+    """rows(gt, real: kept by the model) -> one row: T, F and precision before and after, fp_killed, lost_t, novel_kept."""
+    is_ = lambda v, real=None: F.count_if((F.col("gt") == v) & (F.lit(True) if real is None else F.coalesce("real", F.lit(False)) == real))
+    p = lambda t, f: F.round(F.try_divide(t, t + f), 3)
+    return rows.agg(
+        F.count("*").alias("n"), is_("T").alias("t_before"), is_("F").alias("f_before"), p(is_("T"), is_("F")).alias("precision_before"),
+        is_("T", True).alias("t_after"), is_("F", True).alias("f_after"), p(is_("T", True), is_("F", True)).alias("precision_after"),
+        is_("F", False).alias("fp_killed"), is_("T", False).alias("lost_t"), is_("O", True).alias("novel_kept"),
+    )
+
+
+def tool_totals(rows: DataFrame) -> DataFrame:
+    """rows(tool, lib, findings, t, f) -> per tool the sums over libs and t / (t + f)."""
+    t, f = F.sum("t"), F.sum("f")
+    return rows.groupBy("tool").agg(F.sum("findings").alias("findings"), t.alias("t"), f.alias("f"), F.round(F.try_divide(t, t + f), 3).alias("precision"))
+
+
+def decision_counts(rows: DataFrame, decisions: tuple[str, ...] = ("pending", "adopt", "reject")) -> DataFrame:
+    """rows(decision) -> one row: total and the count of each decision."""
+    return rows.agg(F.count("*").alias("total"), *(F.count_if(F.col("decision") == d).alias(d) for d in decisions))
+
+
 def flips(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """a, b(on, verdict): how many common rows, and how many changed."""
     pair = a.select(*on, F.col("verdict").alias("va")).join(b.select(*on, F.col("verdict").alias("vb")), on)

@@ -20,17 +20,51 @@ def definitions(facts: DataFrame) -> DataFrame:
     return d.select(F.concat_ws(".", module_name(F.col("path")), "scope").alias("fqn"), "path", "line", F.col("names").alias("args"))
 
 
-def call_edges(facts: DataFrame) -> DataFrame:
-    """caller, callee, path, line: calls whose name, through the file's aliases, its own module or class, is a definition; no self calls."""
-    defs = definitions(facts).select(F.col("fqn").alias("callee")).distinct()
+def _targets(facts: DataFrame) -> DataFrame:
+    """Calls with the dotted name they mean, through the file's aliases, its own module or class: caller, callee, path, line, name."""
     mod = module_name(F.col("path"))
-    alias = facts.where("kind = 'alias'").select("path", F.col("name").alias("root"), F.ltrim(F.col("target"), F.lit(".")).alias("full"))
+    parts = F.split(mod, r"\.")
+    package = F.rlike("path", F.lit(r"(^|[/\\])__init__\.py$"))
+    # a relative import starts at the module's package and goes up a package for each further dot
+    kept = F.greatest(F.size(parts) - (F.col("pos") - 1) - F.when(package, 0).otherwise(1), F.lit(0))
+    base = F.when(F.col("pos") > 0, F.array_join(F.slice(parts, 1, kept), ".")).otherwise("")
+    full = F.when(base == "", F.col("target")).otherwise(F.concat_ws(".", base, "target"))
+    alias = facts.where("kind = 'alias'").groupBy("path", F.col("name").alias("root")).agg(F.max_by(full, "line").alias("full"))
     calls = facts.where("kind = 'call'").select("path", mod.alias("mod"), "scope", "klass", "name", "line", F.substring_index("name", ".", 1).alias("root"))
-    calls = calls.join(alias.dropDuplicates(["path", "root"]), ["path", "root"], "left")
+    calls = calls.join(alias, ["path", "root"], "left")
     rest = F.when(F.contains("name", F.lit(".")), F.concat(F.lit("."), F.expr("substring(name, length(root) + 2)"))).otherwise("")
     callee = F.when(F.col("full").isNotNull(), F.concat("full", rest)).when((F.col("root") == "self") & (F.col("klass") != ""), F.concat_ws(".", "mod", "klass", F.expr("substring(name, 6)"))).otherwise(F.concat_ws(".", "mod", "name"))
-    out = calls.select(F.concat_ws(".", "mod", "scope").alias("caller"), callee.alias("callee"), "path", "line")
-    return out.join(defs, "callee", "left_semi").where("caller <> callee").select("caller", "callee", "path", "line")
+    return calls.select(F.concat_ws(".", "mod", "scope").alias("caller"), callee.alias("callee"), "path", "line", "name")
+
+
+def call_edges(facts: DataFrame) -> DataFrame:
+    """caller, callee, path, line: calls that mean a definition of these files; no self calls."""
+    defs = definitions(facts).select(F.col("fqn").alias("callee")).distinct()
+    return _targets(facts).join(defs, "callee", "left_semi").where("caller <> callee").select("caller", "callee", "path", "line")
+
+
+def graph_stats(facts: DataFrame) -> DataFrame:
+    """One row: files, defs, edges, unresolved (calls that mean no definition)."""
+    defs = definitions(facts).select(F.col("fqn").alias("callee")).distinct().withColumn("known", F.lit(True))
+    t = _targets(facts).join(defs, "callee", "left").agg(F.count_if(F.col("known") & (F.col("caller") != F.col("callee"))).alias("edges"), F.count_if(F.col("known").isNull()).alias("unresolved"))
+    return facts.agg(F.countDistinct("path").alias("files"), F.countDistinct(F.when(F.col("kind") == "def", F.struct("path", "scope"))).alias("defs")).crossJoin(t)  # one row each
+
+
+def calls_of(facts: DataFrame, path: str, name: str, limit: int = 8) -> DataFrame:
+    """One row: callers ("fqn(file:line)") and callees of a file's function, as text, in order of name and line.
+
+    The module's own function of that name is looked up first, then methods of that name; the first with any edge counts.
+    callees are distinct and cut to 200 characters, callers are limit at most.
+    """
+    edges = call_edges(facts)
+    mine = definitions(facts).where((F.col("path") == path) & (F.substring_index("fqn", ".", -1) == name))
+    mine = mine.select("fqn", F.when(F.col("fqn") == F.concat_ws(".", module_name(F.lit(path)), F.lit(name)), 0).otherwise(1).alias("rank")).distinct()
+    row = F.concat(F.col("caller"), F.lit("("), F.element_at(F.split("path", r"[/\\]"), -1), F.lit(":"), F.col("line").cast("string"), F.lit(")"))
+    into = edges.join(mine, F.col("callee") == F.col("fqn")).select("rank", "fqn", F.struct("caller", "line", row.alias("text")).alias("into"), F.lit(None).cast("struct<line:int,callee:string>").alias("out"))
+    out = edges.join(mine, F.col("caller") == F.col("fqn")).select("rank", "fqn", F.lit(None).cast(into.schema["into"].dataType).alias("into"), F.struct("line", "callee").alias("out"))
+    found = into.union(out).groupBy("rank", "fqn").agg(F.array_sort(F.collect_list("into")).alias("into"), F.array_sort(F.collect_list("out")).alias("out")).orderBy("rank", "fqn").limit(1)
+    callers = F.array_join(F.transform(F.slice("into", 1, limit), lambda x: x["text"]), "; ")
+    return found.select("fqn", callers.alias("callers"), F.substring(F.array_join(F.array_distinct(F.transform("out", lambda x: x["callee"])), "; "), 1, 200).alias("callees"))
 
 
 def external_callers(edges: DataFrame, prefix: str, n: int = 12) -> DataFrame:
@@ -56,31 +90,122 @@ def reach(edges: DataFrame, seeds: DataFrame, rounds: int = 6) -> DataFrame:
     return found
 
 
-# Where foreign data comes in, and the calls it must not reach, with their weakness.
-SOURCES = ("input", "request.args.get", "request.form.get", "request.get_json", "sys.argv", "os.environ.get", "request.values.get")
-SINKS = {"os.system": "CWE-78", "subprocess.call": "CWE-78", "subprocess.run": "CWE-78", "eval": "CWE-95", "exec": "CWE-95", "open": "CWE-22", "send_file": "CWE-22", "pickle.loads": "CWE-502", "yaml.load": "CWE-502", "cursor.execute": "CWE-89", "requests.get": "CWE-918"}
+# Where foreign data comes in, and the calls it must not reach, with their weakness; what tells an expression
+# that holds foreign data; string literals; builtins that count by their bare name only; checks of a path; calls that
+# need a shell to be dangerous.
+SOURCES = (
+    "input", "raw_input", "os.getenv", "request.args.get", "request.form.get", "request.get_json", "request.data", "request.values.get", "request.cookies.get", "request.headers.get",
+    "sys.argv", "socket.recv", "urllib.request.urlopen", "requests.get", "requests.post",
+)
+SINKS = {
+    "os.system": "CWE-78", "os.popen": "CWE-78", "subprocess.run": "CWE-78", "subprocess.Popen": "CWE-78", "subprocess.call": "CWE-78", "eval": "CWE-95", "exec": "CWE-95",
+    "cursor.execute": "CWE-89", "cur.execute": "CWE-89", "conn.execute": "CWE-89", "db.execute": "CWE-89", "session.execute": "CWE-89", "pickle.loads": "CWE-502", "pickle.load": "CWE-502",
+    "yaml.load": "CWE-502", "open": "CWE-22", "send_file": "CWE-22", "render_template_string": "CWE-94", "Markup": "CWE-79", "redirect": "CWE-601",
+}
+EXTERNAL = (
+    r"\b(?:request|flask|argv|environ|getenv|stdin)\b|os\.environ|os\.getenv|\binput\s*\(|sys\.stdin"
+    r"|(?:request|req|flask|self\.request|ctx\.request|environ|os\.environ)\.(?:args|form|json|data|values|cookies|headers|query_params|GET|POST)\b"
+)
+STRINGS = r"""(?s)\"\"\".*?\"\"\"|'''.*?'''|"[^"\n]*"|'[^'\n]*'"""
+BARE, CHECKED, SHELLED = ("open", "eval", "exec"), ("isfile", "exists", "isabs", "is_dir", "safe_join"), ("run", "Popen", "call", "check_output", "check_call")
+
+
+def strip_strings(text):
+    """A text whose string literals are empty."""
+    return F.regexp_replace(text, STRINGS, '""')
+
+
+def external(text):
+    """The expression, strings apart, takes foreign data."""
+    return F.rlike(strip_strings(text), F.lit(f"(?U){EXTERNAL}"))
+
+
+def catalogued(name, entries):
+    """The first entry that a dotted name is, ends in or begins with; null without one."""
+    out = F.lit(None).cast("string")
+    for e in reversed(list(entries)):
+        out = F.when((name == e) | F.endswith(name, F.lit("." + e)) | F.startswith(name, F.lit(e + ".")), F.lit(e)).otherwise(out)
+    return out
+
+
+def inapplicable(name, flags):
+    """Why a call that is named like a sink is none: bare, buffer, noshell; null if it is one."""
+    last = F.substring_index(name, ".", -1)
+    bare = last.isin(*BARE) & F.contains(name, F.lit(".")) & ~F.startswith(name, F.lit("builtins."))
+    buffer = F.endswith(name, F.lit("send_file")) & F.array_contains(flags, "buffer")
+    quiet = last.isin(*SHELLED) & F.startswith(name, F.lit("subprocess")) & ~F.array_contains(flags, "shell")
+    return F.when(bare, "bare").when(buffer, "buffer").when(quiet, "noshell")
+
 
+def taint_paths(facts: DataFrame, rounds: int = 6, keep_cli: bool = False, sources=SOURCES, sinks=SINKS) -> DataFrame:
+    """path, fn, line, sink, cwe, pos, vars, external, origin, reason: sink arguments that foreign data may reach.
 
-def taint(facts: DataFrame, rounds: int = 6) -> DataFrame:
-    """path, scope, line, sink, cwe, var: sink arguments that foreign data reaches through assignments and call arguments.
+    reason is null for those that count; else what takes it out: bare, buffer, noshell (no sink, whether data reaches it
+    or not), cli (only from the command line's parser), guard (the path is checked in the function).
 
     Variables are nodes (function, name); an assignment leads from the names on its right to the one on its left, a
-    call from an argument's names to the callee's parameter. Sources and parameters so reached seed the rounds.
+    call from an argument's names to the callee's parameter. Assignments of foreign data seed the rounds, those that
+    hold __file__ don't. Data that went through a parameter counts as foreign whatever it was before. origin: source or
+    external with file and line of the first assignment, else the first two callers that pass it, else direct.
     """
     fn = F.concat_ws(".", module_name(F.col("path")), "scope")
     node = lambda f, v: F.concat_ws("#", f, v)
-    external = "|".join(s.replace(".", r"\.") for s in SOURCES)
-    assign = facts.where("kind = 'assign'").select(fn.alias("fn"), "name", "target", "names")
-    seeds = assign.where(F.rlike("target", F.lit(rf"(?<![\w.])({external})\b"))).select(node(F.col("fn"), F.col("name")).alias("node"))
+    base = F.element_at(F.split("path", r"[/\\]"), -1)
+    bare = strip_strings(F.col("target"))
+    is_source = catalogued(F.col("flags")[0], sources).isNotNull()
+    assign = facts.where("kind = 'assign'").select(
+        "path", fn.alias("fn"), "name", "names", "line", is_source.alias("source"), external(F.col("target")).alias("ext"), F.contains(bare, F.lit("parse_args(")).alias("cli"), F.contains(bare, F.lit("__file__")).alias("own"),
+    )
+    seeds = assign.where("source or ((ext or cli) and not own)").select(node(F.col("fn"), F.col("name")).alias("node"), (F.col("cli")).alias("cli"))
     within = assign.select("fn", "name", F.explode("names").alias("used")).select(node(F.col("fn"), F.col("used")).alias("src"), node(F.col("fn"), F.col("name")).alias("dst"))
-    args = facts.where("kind = 'arg'").select(fn.alias("fn"), "path", "line", "name", "pos", F.explode("names").alias("used"))
+    args = stage(facts.where("kind = 'arg'").select(fn.alias("fn"), "path", "line", "name", "pos", "target", "names", "flags"), "taint-args")
     edges = call_edges(facts).select("callee", F.col("path").alias("p"), F.col("line").alias("l"), F.col("caller").alias("c"))
-    params = definitions(facts).select(F.col("fqn").alias("callee"), F.posexplode("args").alias("pos", "param"))
-    passed = args.join(edges, (args.path == edges.p) & (args.line == edges.l) & (args.fn == edges.c)).join(params, ["callee", "pos"])
-    across = passed.select(node(F.col("fn"), F.col("used")).alias("src"), node(F.col("callee"), F.col("param")).alias("dst"))
-    hot = reach(within.unionByName(across), seeds, rounds).select("node")
-    sink = F.lit(None).cast("string")
-    for name, cwe in SINKS.items():
-        sink = F.when((F.col("name") == name) | F.endswith("name", F.lit("." + name)), F.lit(cwe)).otherwise(sink)
-    sinks = args.withColumn("cwe", sink).where("cwe is not null").withColumn("node", node(F.col("fn"), F.col("used")))
-    return sinks.join(hot, "node", "left_semi").select("path", "fn", "line", F.col("name").alias("sink"), "cwe", F.col("used").alias("var"))
+    params = definitions(facts).select(F.col("fqn").alias("callee"), F.posexplode(F.filter("args", lambda a: ~a.isin("self", "cls"))).alias("pos", "param"))
+    used = args.select("fn", "path", "line", "name", "pos", F.explode("names").alias("used"))
+    passed = used.join(edges, (used.path == edges.p) & (used.line == edges.l) & (used.fn == edges.c)).join(params, ["callee", "pos"])
+    across = stage(passed.select(node(F.col("fn"), F.col("used")).alias("src"), node(F.col("callee"), F.col("param")).alias("dst"), F.concat(F.col("fn"), F.lit("("), base, F.lit(":"), F.col("line").cast("string"), F.lit(")")).alias("via")).distinct(), "taint-across")
+    flow = within.union(across.select("src", "dst"))
+    hot = stage(reach(flow, seeds.select("node"), rounds).select("node"), "taint-hot")
+    entered = across.join(hot, F.col("src") == F.col("node"), "left_semi")
+    foreign = reach(flow, seeds.where("not cli").select("node").union(entered.select(F.col("dst").alias("node"))), rounds).select("node")
+    hot = hot.join(foreign.distinct().withColumn("foreign", F.lit(True)), "node", "left")
+    cwe = F.lit(None).cast("string")
+    entry = catalogued(F.col("name"), sinks)
+    for name, c in sinks.items():
+        cwe = F.when(entry == name, F.lit(c)).otherwise(cwe)
+    at = ["path", "fn", "line", "sink", "pos"]
+    sink = args.withColumn("cwe", cwe).where("cwe is not null").withColumnRenamed("name", "sink")
+    hits = sink.select(*at, F.explode("names").alias("var")).join(hot.withColumnRenamed("node", "h"), node(F.col("fn"), F.col("var")) == F.col("h"))
+    hits = hits.groupBy(*at).agg(F.array_sort(F.collect_set("var")).alias("vars"), F.max(F.coalesce("foreign", F.lit(False))).alias("foreign"))
+    guards = args.where(F.substring_index("name", ".", -1).isin(*CHECKED)).select("fn", F.explode("names").alias("g")).groupBy("fn").agg(F.collect_set("g").alias("guards"))
+    none = F.array().cast("array<string>")
+    out = sink.join(hits, at, "left").join(guards, "fn", "left").withColumns({"vars": F.coalesce("vars", none), "guards": F.coalesce("guards", none), "external": external(F.col("target"))})
+    idents = F.regexp_extract_all("target", F.lit("[A-Za-z_][A-Za-z0-9_]*"), 0)
+    cli = (F.size("vars") > 0) & ~F.col("foreign") & ~F.col("external") & F.lit(not keep_cli)
+    guarded = F.substring_index("sink", ".", -1).isin("open", "send_file") & (F.size("guards") > 0) & ((F.size(F.array_except("vars", "guards")) == 0) | F.arrays_overlap(idents, "guards"))
+    reason = F.coalesce(inapplicable(F.col("sink"), F.col("flags")), F.when(cli, "cli").when(guarded, "guard"))
+    out = out.withColumn("reason", reason).where((F.size("vars") > 0) | F.col("external") | F.col("reason").isin("bare", "buffer", "noshell"))
+    told = assign.where("source or ext").select("fn", F.col("name").alias("var"), F.struct("line", F.when(F.col("source"), "source").otherwise("external").alias("kind"), F.concat(base, F.lit(":"), F.col("line").cast("string")).alias("where")).alias("o"))
+    from_assign = out.select(*at, F.explode("vars").alias("var")).join(told, ["fn", "var"]).groupBy(*at).agg(F.min("o").alias("o"))
+    evidence = entered.groupBy("dst").agg(F.array_sort(F.collect_set("via")).alias("via"))
+    from_call = out.select(*at, F.explode("vars").alias("var")).join(evidence, node(F.col("fn"), F.col("var")) == F.col("dst")).groupBy(*at).agg(F.min_by("via", "var").alias("via"))
+    out = out.join(from_assign, at, "left").join(from_call, at, "left")
+    origin = F.when(F.col("o").isNotNull(), F.concat_ws(" ", "o.kind", "o.where")).when(F.col("via").isNotNull(), F.concat(F.lit("callers: "), F.array_join(F.slice("via", 1, 2), "; "))).otherwise("direct")
+    return out.select("path", "fn", "line", "sink", "cwe", "pos", "vars", "external", origin.alias("origin"), "reason")
+
+
+def taint(facts: DataFrame, rounds: int = 6, **options) -> DataFrame:
+    """The sink arguments of taint_paths that count: path, fn, line, sink, cwe, pos, vars, external, origin; distinct."""
+    return taint_paths(facts, rounds, **options).where("reason is null").drop("reason").distinct()
+
+
+def taint_stats(paths: DataFrame) -> DataFrame:
+    """paths of taint_paths -> reason (paths for those that count), count."""
+    return paths.groupBy(F.coalesce("reason", F.lit("paths")).alias("reason")).agg(F.count("*").alias("count"))
+
+
+def evidence_of(paths: DataFrame, path: str, name: str = "", limit: int = 0) -> DataFrame:
+    """The first paths of a file (8) or of a function in it (5), by line."""
+    own = paths.where(F.col("path") == path)
+    own = own.where(F.endswith("fn", F.lit("." + name))) if name else own
+    return own.orderBy("line", "sink", "pos").limit(limit or (5 if name else 8))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def diff(old: DataFrame, new: DataFrame, drift: int = 5) -> DataFrame:
+def diff(old: DataFrame, new: DataFrame, drift: int = 3) -> DataFrame:
     """old, new(path, rule_id, line_start, pos) -> path, rule_id, old_line, new_line, status (kept, moved, added, removed).
 
     Rows of a key collapse, the later pos wins. Leftovers of a rule and path are matched one to one, nearest first
@@ -90,3 +90,42 @@ def review(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     """queue(key, ...) with each key's latest decision; pending without one."""
     last = latest(decisions, "key", [F.desc("ts"), F.desc("decision")], 1).select("key", "decision")
     return queue.join(last, "key", "left").withColumn("decision", F.coalesce("decision", F.lit("pending")))
+
+
+def stamped(rows: DataFrame, ts: str, by: str, tie: str) -> DataFrame:
+    """rows with ts raised where needed so that it rises strictly within by: each is its own or the one before plus a millisecond.
+
+    As a running maximum: of ts - k milliseconds over the rows so far, k their number, plus k again.
+    """
+    w = Window.partitionBy(by).orderBy(ts, tie)
+    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    k = F.row_number().over(w)
+    rows = rows.withColumns({"_k": k, "_ms": ms})
+    top = F.max(F.col("_ms") - F.col("_k")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_k")
+    return rows.withColumn("stamp", F.timestamp_millis(top)).drop("_k", "_ms")
+
+
+#: Fixed value: what the id of a stored run looks like.
+RUN_ID = r"^\d{8}-\d{6}-[0-9a-f]{6}$"
+
+
+def run_by_id(runs: DataFrame, run_id: str) -> DataFrame:
+    """The stored run of an id; none for an id that isn't one."""
+    return runs.where((F.col("id") == run_id) & F.rlike("id", F.lit(RUN_ID)))
+
+
+def diff_runs(findings: DataFrame, old_id: str, new_id: str, drift: int = 3) -> DataFrame:
+    """findings(id, path, rule_id, line_start, pos) of stored runs -> the diff of two of them."""
+    one = lambda i: run_by_id(findings, i).select("path", "rule_id", "line_start", "pos")
+    return diff(one(old_id), one(new_id), drift)
+
+
+def of_target(points: DataFrame, target: str) -> DataFrame:
+    """Points whose target ends in the same path segment."""
+    tail = lambda c: F.element_at(F.split(F.regexp_replace(c, r"[/\\]+$", ""), r"[/\\]"), -1)
+    return points.where(tail(F.col("target")) == tail(F.lit(target)))
+
+
+def proposal_id(rule, key):
+    """FP-<rule>-<six hexadecimal digits of the key's sha1>."""
+    return F.concat(F.lit("FP-"), rule, F.lit("-"), F.substring(F.sha1(key), 1, 6))

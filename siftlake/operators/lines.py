@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 
 
+def split_lines(text: Column) -> Column:
+    """The lines of a text, as an array; a last empty one isn't a line."""
+    parts = F.split(text, BREAK)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def lines(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """texts -> path, line_no (from 1), line; a last empty line isn't one."""
-    parts = F.split(F.col(text), BREAK)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    out = texts.select(F.col(path).alias("path"), F.posexplode(parts).alias("i", "line"))
+    out = texts.select(F.col(path).alias("path"), F.posexplode(split_lines(F.col(text))).alias("i", "line"))
     return out.select("path", (F.col("i") + 1).alias("line_no"), "line")
 
 

@@ -24,20 +24,23 @@ def split_lines(source: str) -> list[str]:
 
 
 def docstring_lines(source: str, lines: list[str]) -> set[int]:
+    """Lines strictly inside a string of several lines: its first and last line hold code too. By counted quotes where
+    the source doesn't parse."""
     try:
         inside = set()
         for node in ast.walk(ast.parse(source)):
-            if isinstance(node, ast.Constant) and isinstance(node.value, str) and node.end_lineno > node.lineno:
-                inside.update(range(node.lineno, node.end_lineno + 1))
+            if isinstance(node, ast.Constant) and isinstance(node.value, str):
+                inside.update(range(node.lineno + 1, node.end_lineno))
         return inside
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         inside, open_ = set(), ""
         for i, line in enumerate(lines, 1):
-            was = open_
-            for quotes in re.findall(r'"""|\'\'\'', line):
-                open_ = "" if open_ == quotes else open_ or quotes
-            if was or open_:
+            if open_:
                 inside.add(i)
+                open_ = "" if line.count(open_) % 2 else open_
+            else:
+                code = line.split("#", 1)[0]
+                open_ = next((q for q in ('"' * 3, "'" * 3) if code.count(q) % 2), "")
         return inside
 
 
@@ -130,8 +133,8 @@ def file_units(files: DataFrame) -> DataFrame:
     return _per_file(files, UNIT, unit_of)
 
 
-# Facts for the call graph and for taint: kind is def, alias, call, assign, source, sink.
-FACT = "path string, kind string, scope string, klass string, name string, target string, pos int, line int, names array<string>"
+# Facts for the call graph and for taint: kind is def, alias, call, arg or assign; flags are what else is known of the row.
+FACT = "path string, kind string, scope string, klass string, name string, target string, pos int, line int, names array<string>, flags array<string>"
 
 
 def dotted(node) -> str:
@@ -142,8 +145,30 @@ def dotted(node) -> str:
     return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else ""
 
 
+def _own(fn):
+    """The nodes of a function, without those of functions, classes and lambdas inside it."""
+    todo = list(ast.iter_child_nodes(fn))
+    while todo:
+        node = todo.pop(0)
+        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+            yield node
+            todo[:0] = ast.iter_child_nodes(node)
+
+
+def _functions(node, klass: str = ""):
+    """Every function below node with its class; one inside a function counts as its neighbour."""
+    for child in ast.iter_child_nodes(node):
+        if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            yield child, klass
+            yield from _functions(child, klass)
+        elif isinstance(child, ast.ClassDef):
+            yield from _functions(child, child.name)
+        else:
+            yield from _functions(child, klass)
+
+
 def facts_of(path: str, text: str):
-    """Definitions (of modules and of classes, one level), import aliases, calls with their arguments' names, assignments."""
+    """Import aliases, definitions, and each function's own calls with their arguments and assignments to a name."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
@@ -152,24 +177,25 @@ def facts_of(path: str, text: str):
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
             for a in node.names:
-                yield path, "alias", "", "", a.asname or a.name.split(".")[0], a.name, 0, node.lineno, []
+                yield path, "alias", "", "", a.asname or a.name.split(".")[0], a.name, 0, node.lineno, [], []
         elif isinstance(node, ast.ImportFrom):
             for a in node.names:
                 if a.name != "*":
-                    yield path, "alias", "", "", a.asname or a.name, f"{'.' * node.level}{node.module or ''}{'.' if node.module else ''}{a.name}", 0, node.lineno, []
-    todo = [(n, "") for n in tree.body] + [(m, c.name) for c in tree.body if isinstance(c, ast.ClassDef) for m in c.body]
-    for node, klass in todo:
-        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            continue
+                    yield path, "alias", "", "", a.asname or a.name, f"{node.module or ''}{'.' if node.module else ''}{a.name}", node.level, node.lineno, [], []
+    for node, klass in _functions(tree):
         scope = f"{klass}.{node.name}" if klass else node.name
-        yield path, "def", scope, klass, node.name, "", 0, node.lineno, [a.arg for a in node.args.args]
-        for x in ast.walk(node):
+        yield path, "def", scope, klass, node.name, "", 0, node.lineno, [a.arg for a in node.args.args], []
+        for x in _own(node):
             if isinstance(x, ast.Call) and (name := dotted(x.func)):
-                yield path, "call", scope, klass, name, "", -1, x.lineno, []
+                flags = ["shell"] if any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in x.keywords) else []
+                if x.args and isinstance(x.args[0], ast.Call) and dotted(x.args[0].func).rpartition(".")[2] in ("BytesIO", "StringIO"):
+                    flags.append("buffer")
+                yield path, "call", scope, klass, name, "", -1, x.lineno, [], flags
                 for i, arg in enumerate(x.args):
-                    yield path, "arg", scope, klass, name, ast.unparse(arg), i, x.lineno, ids(arg)
+                    yield path, "arg", scope, klass, name, ast.unparse(arg), i, x.lineno, ids(arg), flags
             elif isinstance(x, ast.Assign) and len(x.targets) == 1 and isinstance(x.targets[0], ast.Name):
-                yield path, "assign", scope, klass, x.targets[0].id, ast.unparse(x.value), 0, x.lineno, ids(x.value)
+                called = dotted(x.value.func) if isinstance(x.value, ast.Call) else ""
+                yield path, "assign", scope, klass, x.targets[0].id, ast.unparse(x.value), 0, x.lineno, ids(x.value), [called]
 
 
 def facts(files: DataFrame) -> DataFrame:

@@ -5,9 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import base_name, mask_secrets
 from ..schema import severity_rank
 
 
+def scan_order(f: DataFrame) -> DataFrame:
+    """Findings as a scan gives them: by path, rule and line."""
+    return f.orderBy("path", "rule_id", "line_start")
+
+
+def redacted(f: DataFrame) -> DataFrame:
+    """Findings to be shared: file names without folders, secrets masked in the texts. What is not there is not masked."""
+    texts = [c for c in ("evidence", "analysis", "impact", "fix") if c in f.columns]
+    return f.withColumns({"path": base_name(F.col("path")), **{c: mask_secrets(F.col(c)) for c in texts}})
+
+
+def brief(f: DataFrame) -> DataFrame:
+    """Markdown list rows in report order, bars in titles as slashes."""
+    title = F.replace("title", F.lit("|"), F.lit("/"))
+    return ordered(f).select(F.format_string("- **%s** %s (%s:%d)", F.upper("severity"), title, base_name(F.col("path")), "line_start").alias("text"))
+
+
+def diff_markdown(d: DataFrame) -> DataFrame:
+    """Rows of history.diff as Markdown in the order added, removed, moved, kept: a head with the count, then a row each, kept ones only counted."""
+    rank = F.when(F.col("status") == "added", 0).when(F.col("status") == "removed", 1).when(F.col("status") == "moved", 2).otherwise(3)
+    head = d.groupBy(rank.alias("r"), "status").agg(F.count("*").alias("n")).select("r", F.lit(0).alias("part"), F.lit("").alias("path"), F.lit(0).alias("line"), F.format_string("## %s (%d)", "status", "n").alias("text"))
+    line = F.coalesce("new_line", "old_line")
+    where = F.when(F.col("status") == "moved", F.format_string("%d -> %d", "old_line", "new_line")).otherwise(line.cast("string"))
+    body = d.where("status <> 'kept'").select(rank.alias("r"), F.lit(1).alias("part"), "path", line.alias("line"), F.format_string("- %s %s:%s", "rule_id", "path", where).alias("text"))
+    return head.unionByName(body).orderBy("r", "part", "path", "line", "text").select("text")
+
+
+def payload(f: DataFrame, target: str, most: int = 10) -> DataFrame:
+    """One row: what a notification carries, target, total, counts by severity and the first findings of report order."""
+    n = f.agg(F.count("*").alias("total"), *(F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")))
+    top = ordered(f).limit(most).agg(F.collect_list(F.struct("rule_id", "severity", "path", "line_start")).alias("top"))
+    return n.crossJoin(top).select(F.lit(target).alias("target"), "*")  # one row each
+
+
 def ordered(f: DataFrame) -> DataFrame:
     return f.orderBy(severity_rank(F.col("severity")), "path", "line_start", "pos")
 
@@ -32,9 +67,9 @@ def at_least(f: DataFrame, severity: str) -> DataFrame:
     return f.where(rank.isNull() | (rank <= SEVERITIES.index(severity)))
 
 
-def preset(f: DataFrame, categories: list[str], disabled: DataFrame) -> DataFrame:
-    """Findings of the categories, without those whose rule is switched off."""
-    return f.where(F.col("category").isin(*categories)).join(disabled.select("rule_id").distinct(), "rule_id", "left_anti")
+def preset(f: DataFrame, categories: DataFrame, disabled: DataFrame) -> DataFrame:
+    """Findings of the categories(category), without those whose rule is switched off."""
+    return f.join(categories.select("category").distinct(), "category", "left_semi").join(disabled.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
 def first_seen(f: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lines as L
@@ -50,28 +50,75 @@ JS_EXT = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")
 JS = (
     Rule("JS-SEC-001", "critical", "security", r"(?<![.\w])eval\s*\(", exts=JS_EXT),
     Rule("JS-SEC-002", "critical", "security", r"new\s+Function\s*\(", exts=JS_EXT),
-    Rule("JS-SEC-004", "high", "security", r"document\.write(ln)?\s*\(", exts=JS_EXT),
+    Rule("JS-SEC-003", "high", "security", r"\.innerHTML\s*=(?!=)", ('= ""', "= ''", "= ``"), exts=JS_EXT),
+    Rule("JS-SEC-004", "high", "security", r"document\.write(?:ln)?\s*\(", exts=JS_EXT),
+    Rule("JS-SEC-005", "critical", "security", r"""child_process\.exec\s*\(|(?<![.\w])exec\s*\(\s*[`"'].*\$\{""", exts=JS_EXT),
+    Rule("JS-SEC-006", "critical", "security", r"(?:query|execute)\s*\(\s*`[^`]*\$\{", exts=JS_EXT),
     Rule("JS-SEC-007", "high", "security", r"Math\.random\s*\(", ("// non-security", "// visual", "// animation"), exts=JS_EXT),
-    Rule("JS-LOG-001", "medium", "logic", r"catch\s*(\([^)]*\))?\s*\{\s*\}", exts=JS_EXT),
-    Rule("JS-ENG-001", "low", "engineering", r"(?<![.\w])debugger\s*;?\s*$", exts=JS_EXT),
+    Rule("JS-SEC-008", "high", "security", r"""rejectUnauthorized\s*:\s*false|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['"]?0""", exts=JS_EXT),
+    Rule("JS-SEC-009", "high", "security", r"""(?i)(?:api_?key|apikey|secret|password|passwd|token)\s*[:=]\s*["'][A-Za-z0-9_\-]{16,}["']""", ("process.env", "example", "placeholder", "xxxx"), exts=JS_EXT),
+    Rule("JS-LOG-001", "medium", "logic", r"catch\s*(?:\([^)]*\))?\s*\{\s*\}", exts=JS_EXT),
+    Rule("JS-LOG-002", "low", "logic", r"[^=!<>]==[^=]", ("=== ", "!=="), exts=JS_EXT),
+    Rule("JS-ENG-001", "low", "engineering", r"(?<![.\w])debugger\s*;?", exts=JS_EXT),
 )
-SUPPRESS = r"#\s*(noqa|nosec|pylint:\s*disable)"
-JS_SUPPRESS = r"//\s*(eslint-disable-line|nosec)"
-JS_NEXT = r"eslint-disable-next-line"
+SUPPRESS = r"#\s*(noqa|nosec|pylint:\s*disable)\b"
+JS_SUPPRESS = r"//\s*(eslint-disable|nosec|noqa)\b"
+JS_NEXT = r"//\s*eslint-disable-next-line\b"
+# Guards, the lines that protect what stands near them: (pattern, weaknesses, a pattern the file must hold too).
+GUARDS = (
+    (r"yaml\.safe_load|SafeLoader", ("CWE-502",), ""),
+    (r"startswith\(|os\.path\.commonpath|relative_to\(", ("CWE-22",), "realpath|abspath"),
+    (r"""execute\(\s*["'][^"']*[?%][^"']*["']\s*,""", ("CWE-89",), ""),
+    (r"shell\s*=\s*False|subprocess\.(run|Popen|call|check_output)\s*\(\s*\[", ("CWE-78",), ""),
+    (r"with\s+\w*[Ll]ock|with self\._lock|Lock\(\)", ("LOG-003", "CWE-362"), ""),
+    (r"with\s+sqlite3\.connect", ("LOG-004", "CWE-404"), ""),
+    (r"with\s+.*open\(", ("LOG-004", "CWE-404", "ENG-001"), ""),
+    (r"\.get\([^)]*,[^)]*\)", ("LOG-012", "CWE-476"), ""),
+    (r"if\s+\w+\s+else", ("LOG-001", "LOG-013"), ""),
+    (r":=.*\.get\(|is not None and", ("LOG-012", "CWE-476"), ""),
+    (r"len\([^)]*\)\s*==\s*\d+\s+and\b|\band\s+len\([^)]*\)\s*[=!<>]", ("LOG-001", "LOG-012"), ""),
+    (r"environ\.get\(|environ\[", ("CWE-798", "CWE-532", "ENG-010"), ""),
+    (r"md5\(|sha1\(", ("CWE-327",), "cache|dedup|checksum|etag|fingerprint|integrity"),
+    (r"""(?i)(password|secret|token|api_key)[^=]*=\s*["'][A-Z][A-Z0-9_]+["']""", ("CWE-798", "CWE-532"), "environ"),
+)
+
+
+def guard_points(texts: DataFrame, guards: tuple = GUARDS) -> DataFrame:
+    """texts(path, text) -> path, key, line: lines of a guard, once for every weakness it protects from. What a guard
+    requires is looked for in the whole file, in any case."""
+    needs = {g[2] for g in guards if g[2]}
+    have = texts.select("path", "text", *(F.rlike("text", F.lit(f"(?iU){n}")).alias(f"need{i}") for i, n in enumerate(sorted(needs))))
+    rows = have.select("path", *(f"need{i}" for i in range(len(needs))), F.posexplode(L.split_lines(F.col("text"))).alias("i", "line"))
+    order = sorted(needs)
+    found = [F.when(F.rlike("line", F.lit(f"(?U){p}")) & (F.col(f"need{order.index(need)}") if need else F.lit(True)), F.array(*map(F.lit, keys))) for p, keys, need in guards]
+    out = rows.select("path", (F.col("i") + 1).alias("line"), F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*found))))).alias("key"))
+    return out.select("path", "key", "line")
+
+
+# A statement that only falls back, a call that reports, and what opens a block.
+PROBE = r"""^(continue|return\s+(False|True|None|default|-?\d+|["'][^"']*["'])\s*$|return\s*$|\w+\s*=\s*(None|False|True|\[\]|\{\}|["'][^"']*["']?)\s*(#.*)?$)"""
+LOGGED = (
+    r"\b(?:logger|logging|log|self\.log)\s*\.\s*(?:debug|info|warning|warn|error|exception|critical)\s*\(|\b[A-Z][A-Z0-9_]*_?LOGGER\b\s*\.\s*\w+\s*\("
+    r"|\bwarnings\s*\.\s*warn(?:ing)?\s*\(|\btraceback\s*\.\s*print|\.showtraceback\s*\(|exc_info\s*=\s*True"
+)
+OPENS = r"^(raise|try|if|for|while|with)"
 
 
 def checks() -> dict[str, Column]:
     """Named exemptions over the block that follows a line; true keeps the hit."""
-    body = L.block(39)
-    tail = F.regexp_extract("line", r":\s*(.+)$", 1)
-    probe = r"^\s*(pass|return( None| False| True)?|continue|[A-Za-z_]\w*\s*=\s*(None|False|True|0|''|\"\"))\s*$"
-    short = F.filter(L.block(7), lambda x: F.trim(x) != "")
-    name = F.regexp_extract("line", r"([A-Za-z_]\w*)\s*=\s*", 1)
+    code = lambda n: F.filter(L.block(n), lambda x: (F.trim(x) != "") & ~F.startswith(F.ltrim(x), F.lit("#")))
+    like = lambda x, p: F.rlike(x, F.lit(f"(?U){p}"))
+    tail = F.regexp_extract("line", r":(.*)$", 1)
+    short = F.transform(code(7), lambda x: F.trim(x))
+    explicit = like(F.trim("line"), r"^except\s+Exception(\s+as\s+\w+)?\s*:\s*(#.*)?$")
+    caught = like(F.trim("line"), r"^except\s+(:|Exception|BaseException)(\s+as\s+\w+)?\s*:")
+    held = F.regexp_extract("line", r"^\s*(\w+)\s*=\s*(?:[^\n]*\b(?:open|connect)\s*\()", 1)
+    close = F.concat(F.lit(r"(?U)\b"), held, F.lit(r"\.close\s*\("))
     return {
-        "no_reraise": ~(F.rlike(tail, F.lit(r"\braise\b")) | F.exists(body, lambda x: F.rlike(x, F.lit(r"^\s*raise\b")))),
-        "not_probe": ~(F.rlike("line", F.lit(r"except Exception( as \w+)?:\s*$")) & (F.size(short) > 0) & F.forall(short, lambda x: F.rlike(x, F.lit(probe)))),
-        "not_logged": ~F.exists(L.block(11), lambda x: F.rlike(x, F.lit(r"\b(log(ger|ging)?|warnings)\.\w+\("))),
-        "not_closed": ~F.exists(L.following(F.col("line"), 39), lambda x: F.contains(x, F.concat(name, F.lit(".close(")))),
+        "no_reraise": ~(like(tail, r"\braise\b") | F.exists(code(39), lambda x: like(F.trim(x), r"^raise(\s|$|from\b|,)"))),
+        "not_probe": ~(explicit & (F.size(short) > 0) & F.forall(short, lambda x: like(x, PROBE) & ~like(x, OPENS))),
+        "not_logged": ~(caught & F.exists(L.block(11), lambda x: like(x, LOGGED))),
+        "not_closed": ~((held != "") & F.exists(L.following(F.col("line"), 39), lambda x: F.rlike(x, close))),
     }
 
 
@@ -124,12 +171,18 @@ def scan(rows: DataFrame, rules: tuple[Rule, ...] = PYTHON, masks: bool = False,
 
 
 def js_comment_mask(rows: DataFrame) -> DataFrame:
-    """rows(path, line_no, line) + comment: a ``//`` line, or one inside a block comment, by whether more were opened than closed before it."""
-    from pyspark.sql import Window
+    """rows(path, line_no, line) + comment: a ``//`` line, one that begins with ``/*``, or one below that up to ``*/``.
 
-    opened = F.regexp_count("line", F.lit(r"/\*")) - F.regexp_count("line", F.lit(r"\*/"))
-    before = F.coalesce(F.sum(opened).over(Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("comment", F.startswith(F.ltrim("line"), F.lit("//")) | (before > 0) | F.startswith(F.ltrim("line"), F.lit("/*")))
+    A block is open after a line that begins it and doesn't end it, until a line that holds ``*/``: the last line that
+    decides either way tells, but lines inside a block decide nothing by their beginning; as a line that ends a block
+    ends it whatever it begins with, the last decision is that of the last such line.
+    """
+    t = F.trim("line")
+    opens = F.startswith(t, F.lit("/*")) & ~F.contains(F.expr("substring(trim(line), 3)"), F.lit("*/"))
+    decides = F.when(opens, True).when(F.contains("line", F.lit("*/")), False)
+    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.last(decides, ignorenulls=True).over(w), F.lit(False))
+    return rows.withColumn("comment", F.startswith(t, F.lit("//")) | F.startswith(t, F.lit("/*")) | inside)
 
 
 def scan_js(rows: DataFrame, rules: tuple[Rule, ...] = JS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .functions import text as T
-from .operators import entropy, evaluate, graph, history, kb, lines, report, rules, validate
+from .operators import cache, entropy, evaluate, graph, history, kb, lines, masks, replies, report, rules, store, validate
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -84,6 +84,44 @@ def rule_scan_counts(spark, d):
     return rules.counts(found, rules.dimension(spark))
 
 
+_RE2_JS = {
+    "JS-SEC-001": r"(^|[^.\w])eval\s*\(", "JS-SEC-003": r"\.innerHTML\s*=([^=]|$)", "JS-SEC-005": r"""child_process\.exec\s*\(|(^|[^.\w])exec\s*\(\s*[`"'].*\$\{""", "JS-ENG-001": r"(^|[^.\w])debugger\s*;?",
+}
+_J_SQL = f"""l2 AS (SELECT *, trim(line, ' ') AS t, lag(line) OVER (PARTITION BY path ORDER BY line_no) AS before FROM l),
+j AS (SELECT *, last_value(CASE WHEN starts_with(t, '/*') AND NOT contains(substr(t, 3), '*/') THEN true WHEN contains(line, '*/') THEN false END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM l2),
+s AS (SELECT path, line_no, line, string_split(line, '//')[1] AS code FROM j WHERE NOT (starts_with(t, '//') OR starts_with(t, '/*') OR coalesce(inside, false)) AND NOT regexp_matches(line, '{rules.JS_SUPPRESS}') AND NOT coalesce(regexp_matches(before, '{rules.JS_NEXT}'), false))"""
+
+
+def _js_sql(r: rules.Rule) -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    cond = [f"regexp_matches(code, {q(_RE2_JS.get(r.id, r.pattern))})", *(f"NOT contains(line, {q(x)})" for x in r.exclude)]
+    return f"SELECT {q(r.id)} AS rule_id, count(*)::BIGINT AS hits, count(DISTINCT path)::BIGINT AS files FROM s WHERE {' AND '.join(cond)} HAVING count(*) > 0"
+
+
+@query("WITH $L, " + _J_SQL + " " + " UNION ALL ".join(map(_js_sql, rules.JS)))
+def js_scan_counts(spark, d):
+    rows = lines.lines(table(spark, d, "documents").selectExpr("concat(doc_id, '.js') path", "text"))
+    return rules.scan_js(rows).groupBy("rule_id").agg(F.count("*").alias("hits"), F.countDistinct("path").alias("files"))
+
+
+def _guard_sql(g: tuple) -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    need = f" AND path IN (SELECT doc_id FROM documents WHERE regexp_matches(text, {q('(?i)' + g[2])}))" if g[2] else ""
+    return " UNION ".join(f"SELECT path, {q(k)} AS key, line_no AS line FROM l WHERE regexp_matches(line, {q(g[0])}){need}" for k in g[1])
+
+
+@query("WITH $L, p AS (" + " UNION ".join(map(_guard_sql, rules.GUARDS)) + ") SELECT path, key, line FROM p")
+def guard_lines(spark, d):
+    return rules.guard_points(table(spark, d, "documents").selectExpr("doc_id path", "text")).distinct()
+
+
+@query()
+def rule_scan_checked(spark, d):
+    """All documents as sources, with masks and block checks; Python's grammar decides, so no SQL."""
+    rows = masks.python_masks(table(spark, d, "documents").selectExpr("concat(doc_id, '.py') path", "text"))
+    return rules.counts(rules.scan(rows, masks=True), rules.dimension(spark))
+
+
 @query("""WITH $L SELECT lang, count(*)::BIGINT AS lines, sum((starts_with(ltrim(line), '#'))::INT)::BIGINT AS comments,
 sum(regexp_matches(line, '#\\s*(noqa|nosec|pylint:\\s*disable)')::INT)::BIGINT AS suppressed, sum(contains(line, 'http')::INT)::BIGINT AS excluded FROM l JOIN documents ON doc_id = path GROUP BY lang""")
 def scan_suppression(spark, d):
@@ -120,7 +158,7 @@ def secret_mask(spark, d):
 @query("""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]{20,}')) AS token FROM documents),
 c AS (SELECT token, unnest(string_split(token, '')) AS ch FROM t), n AS (SELECT token, ch, count(*) / length(token)::DOUBLE AS p FROM c GROUP BY token, ch)
 SELECT token, round(sum(-p * log2(p)), 4) AS entropy, regexp_matches(token, '[A-Za-z]') AND regexp_matches(token, '[0-9]') AND NOT regexp_full_match(token, '[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}')
-AND NOT regexp_matches(lower(token), '^https?:|example|placeholder|xxxx|your[_-]') AS secret FROM n GROUP BY token""")
+AND NOT regexp_matches(token, '(?i)(example|placeholder|your[_-]?|xxxx|changeme|dummy|sample|test[_-]?key)') AS secret FROM n GROUP BY token""")
 def entropy_tokens(spark, d):
     t = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{20,}"), 0)).alias("token")).distinct()
     return t.select("token", F.round(entropy.shannon(F.col("token")), 4).alias("entropy"), entropy.secret_like(F.col("token")).alias("secret"))
@@ -168,20 +206,28 @@ def keyed(f: DataFrame) -> DataFrame:
 @query(f"""WITH $F, k AS (SELECT *, {_KEY} AS key FROM f), m AS (SELECT *, max(line_end) OVER (PARTITION BY path, key ORDER BY line_start, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM k),
 i AS (SELECT *, sum(CASE WHEN seen IS NULL OR line_start > seen THEN 1 ELSE 0 END) OVER (PARTITION BY path, key ORDER BY line_start, pos) AS island FROM m)
 SELECT path, key, min(line_start) AS line_start, max(line_end) AS line_end, count(*)::BIGINT AS merged, max(confidence) AS confidence FROM i GROUP BY path, key, island""")
-def cwe_merge(spark, d):
+def line_islands(spark, d):
     return validate.merge_intervals(keyed(findings(spark, d))).drop("island")
 
 
-@query("""WITH v AS (SELECT DISTINCT p_brand AS rule_id FROM part WHERE p_size > 48), b AS (SELECT p_partkey AS pos, p_brand AS rule_id FROM part)
-SELECT pos, rule_id, false AS gated FROM b WHERE rule_id IN (SELECT rule_id FROM v) UNION ALL
-SELECT pos, format('DISCOVERED-{}-{:02d}', rule_id, row_number() OVER (PARTITION BY rule_id ORDER BY pos)), true FROM b WHERE rule_id NOT IN (SELECT rule_id FROM v)""")
+@query()
+def cwe_merge(spark, d):
+    """No SQL: rows join one after another. The tests go through all rows by hand."""
+    return validate.merge(keyed(findings(spark, d))).select("pos", "path", "key", "line_start", "line_end", "detector", "votes", F.concat_ws(",", "models").alias("models"), "verified", "confidence")
+
+
+@query("""WITH v AS (SELECT DISTINCT p_brand AS rule_id FROM part WHERE p_size > 48), b AS (SELECT p_partkey AS pos, p_brand AS rule_id, p_partkey % 3 = 0 AS static FROM part),
+g AS (SELECT pos, rule_id, NOT static AND rule_id NOT IN (SELECT rule_id FROM v) AS gated FROM b)
+SELECT pos, rule_id, gated, 0::INT AS noted FROM g WHERE NOT gated UNION ALL SELECT pos, format('DISCOVERED-{}-{:02d}', rule_id, row_number() OVER (ORDER BY pos)), true, 1::INT FROM g WHERE gated""")
 def id_gate(spark, d):
     part = table(spark, d, "part")
-    return validate.id_gate(part.selectExpr("p_partkey pos", "p_brand rule_id"), part.where("p_size > 48").selectExpr("p_brand rule_id")).select("pos", "rule_id", "gated")
+    f = part.selectExpr("p_partkey pos", "p_brand rule_id", "if(p_partkey % 3 = 0, 'static', 'llm') detector", "'' analysis")
+    out = validate.id_gate(f, part.where("p_size > 48").selectExpr("p_brand rule_id"))
+    return out.select("pos", "rule_id", "gated", F.contains("analysis", F.lit("not known")).cast("int").alias("noted"))
 
 
-@query(f"""WITH $F, k AS (SELECT *, {_KEY} AS key FROM f) SELECT pos, path, key, line_start, line_end FROM k a WHERE rule_id <> 'signup' AND NOT EXISTS (
-SELECT 1 FROM k g WHERE g.confidence > 0.4 AND g.path = a.path AND g.key = a.key AND g.line_start BETWEEN a.line_start - 3 AND a.line_end + 3)""")
+@query(f"""WITH $F, k AS (SELECT *, {_KEY} AS key FROM f) SELECT pos, path, key, line_start, line_end FROM k a WHERE rule_id <> 'signup' AND (detector <> 'llm' OR NOT EXISTS (
+SELECT 1 FROM k g WHERE g.confidence > 0.4 AND g.path = a.path AND g.key = a.key AND g.line_start BETWEEN a.line_start - 3 AND a.line_end + 3))""")
 def guard_suppress(spark, d):
     k = keyed(findings(spark, d))
     guards = k.where("confidence > 0.4D").selectExpr("path", "key", "line_start line")
@@ -194,20 +240,20 @@ def conf_gate(spark, d):
     return validate.confidence_gate(findings(spark, d)).select("pos", "detector", "confidence", "analysis")
 
 
-@query("""WITH $F, g AS (SELECT rule_id, sum((votes >= 2)::INT)::BIGINT AS agreed, sum((votes < 2)::INT)::BIGINT AS single FROM f GROUP BY 1) SELECT rule_id, agreed, single, round(agreed / (agreed + single)::DOUBLE, 3) AS agreement FROM g""")
+@query("""WITH $F, g AS (SELECT path, rule_id, line_start, count(DISTINCT detector) AS k, min(detector) AS d, count(DISTINCT model) AS m FROM f GROUP BY ALL),
+c AS (SELECT sum((m >= 2)::INT)::BIGINT AS agreed, sum((m < 2 AND k = 1)::INT)::BIGINT AS single, sum((m < 2 AND k > 1)::INT)::BIGINT AS by_rule FROM g WHERE k > 1 OR d <> 'static') SELECT *, round(agreed / nullif(agreed + single, 0)::DOUBLE, 3) AS agreement FROM c""")
 def cross_review(spark, d):
-    return validate.cross_review(findings(spark, d))
+    return validate.cross_review(validate.dedupe(findings(spark, d)))[1]
 
 
-@query("""WITH $L, f AS (SELECT path * 100000 + line_no AS pos, path, CASE WHEN line_no % 3 = 0 THEN line_no + 9 ELSE line_no END::INT AS line_start, CASE WHEN line_no % 5 = 0 THEN 'nowhere to be found' ELSE line END AS evidence FROM l),
-s AS (SELECT path, line_no, regexp_replace(line, '\\s+', '', 'g') AS x FROM l), w AS (SELECT path, string_agg(x, '' ORDER BY line_no) AS x FROM s GROUP BY path),
-n AS (SELECT f.pos, string_agg(s.x, '' ORDER BY s.line_no) AS x FROM f JOIN s ON f.path = s.path AND s.line_no BETWEEN f.line_start - 3 AND f.line_start + 3 GROUP BY f.pos),
-p AS (SELECT f.*, substr(regexp_replace(evidence, '\\s+', '', 'g'), 1, 40) AS probe FROM f)
-SELECT p.pos, CASE WHEN probe <> '' AND contains(n.x, probe) THEN 'ok' WHEN probe <> '' AND contains(w.x, probe) THEN 'drift' ELSE 'hallucination' END AS verdict FROM p LEFT JOIN n ON p.pos = n.pos LEFT JOIN w ON p.path = w.path""")
+@query("""WITH $L, f AS (SELECT path * 100000 + line_no AS pos, path, CASE WHEN line_no % 3 = 0 THEN line_no + 9 ELSE line_no END::INT AS line_start, CASE WHEN line_no % 7 = 0 THEN line_no + 12 END::INT AS line_end, CASE WHEN line_no % 5 = 0 THEN 'nowhere to be found' ELSE line END AS evidence FROM l),
+s AS (SELECT path, line_no, replace(line, ' ', '') AS x FROM l), w AS (SELECT path, string_agg(x, chr(10) ORDER BY line_no) AS x, max(line_no) AS lines FROM s GROUP BY path),
+n AS (SELECT f.pos, string_agg(s.x, chr(10) ORDER BY s.line_no) AS x FROM f JOIN s ON f.path = s.path AND s.line_no BETWEEN f.line_start - 3 AND coalesce(f.line_end, f.line_start) + 3 GROUP BY f.pos),
+p AS (SELECT f.*, substr(replace(evidence, ' ', ''), 1, 40) AS probe FROM f)
+SELECT p.pos, CASE WHEN line_start > lines THEN 'range' WHEN probe = '' OR contains(n.x, probe) THEN 'ok' WHEN contains(w.x, probe) THEN 'drift' ELSE 'missing' END AS verdict FROM p LEFT JOIN n ON p.pos = n.pos LEFT JOIN w ON p.path = w.path""")
 def verify_evidence(spark, d):
-    rows = document_lines(spark, d)
-    f = rows.selectExpr("path * 100000 + line_no pos", "path", "cast(if(line_no % 3 = 0, line_no + 9, line_no) as int) line_start", "if(line_no % 5 = 0, 'nowhere to be found', line) evidence")
-    return validate.verify(f, rows).select("pos", "verdict")
+    f = document_lines(spark, d).selectExpr("path * 100000 + line_no pos", "path", "cast(if(line_no % 3 = 0, line_no + 9, line_no) as int) line_start", "cast(if(line_no % 7 = 0, line_no + 12, null) as int) line_end", "if(line_no % 5 = 0, 'nowhere to be found', line) evidence")
+    return validate.verify(f, table(spark, d, "documents").selectExpr("doc_id path", "text")).select("pos", "verdict")
 
 
 # ---- evaluation ---------------------------------------------------------------------------------------------
@@ -221,20 +267,18 @@ def cluster_lines(spark, d):
     return c.groupBy("path", "cluster").agg(F.min("line_start").alias("lo"), F.max("line_end").alias("hi"), F.count("*").alias("size"))
 
 
-@query(f"""WITH $F, {_CLUSTER}, k AS (SELECT path, cluster, min(line_start) AS lo, max(line_end) AS hi, list_distinct(list(rule_id)) AS keys FROM c WHERE confidence <= 0.2 GROUP BY ALL),
+_SCORE = """c AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY line_start, pos)::BIGINT AS cluster FROM (SELECT *, CASE WHEN line_start - lag(line_end) OVER (PARTITION BY path ORDER BY line_start, pos) <= 3 THEN 0 ELSE 1 END AS new FROM f WHERE confidence <= 0.2)),
+k AS (SELECT path, cluster, min(line_start) AS lo, max(line_end) AS hi, list_distinct(list(rule_id)) AS keys, bool_or(category <> 'style') AS defect FROM c GROUP BY ALL),
 x AS (SELECT path, rule_id AS key, line_start AS line, pos AS ord FROM f WHERE confidence > 0.2),
-m AS (SELECT k.path, k.cluster, arg_min(x.ord, x.ord) AS ord FROM k JOIN x ON k.path = x.path AND x.line BETWEEN k.lo - 2 AND k.hi + 2 AND list_contains(k.keys, x.key) GROUP BY ALL),
-n AS (SELECT (SELECT count(DISTINCT ord) FROM m) AS tp, (SELECT count(*) FROM k) - (SELECT count(*) FROM m) AS fp, (SELECT count(*) FROM x) - (SELECT count(DISTINCT ord) FROM m) AS fn)
-SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM n""")
+m AS (SELECT k.path, k.cluster, min(x.ord) AS ord FROM k JOIN x ON k.path = x.path AND x.line BETWEEN k.lo - 2 AND k.hi + 2 AND list_contains(k.keys, x.key) GROUP BY ALL),
+u AS (SELECT defect FROM k ANTI JOIN m ON k.path = m.path AND k.cluster = m.cluster),
+n AS (SELECT (SELECT count(DISTINCT ord) FROM m) AS tp, (SELECT count(*) FROM u WHERE defect) AS fp, (SELECT count(*) FROM x) - (SELECT count(DISTINCT ord) FROM m) AS fn, (SELECT count(*) FROM u WHERE NOT defect) AS advisory)"""
+
+
+@query(f"""WITH $F, {_SCORE} SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, advisory::BIGINT AS advisory, round(tp / (tp + fp)::DOUBLE, 3) AS precision, round(tp / (tp + fn)::DOUBLE, 3) AS recall, round(2.0 * tp / (2 * tp + fp + fn)::DOUBLE, 3) AS f1 FROM n""")
 def eval_prf(spark, d):
-    f = findings(spark, d)
-    c = evaluate.clusters(f).where("confidence <= 0.2D").groupBy("path", "cluster").agg(F.min("line_start").alias("lo"), F.max("line_end").alias("hi"), F.collect_set("rule_id").alias("keys"))
-    x = f.where("confidence > 0.2D").selectExpr("path", "rule_id key", "line_start line", "pos ord")
-    m = evaluate.first_match(c, x)
-    n = m.agg(F.countDistinct("ord").alias("tp"), F.count("*").alias("matched")).crossJoin(c.agg(F.count("*").alias("clusters"))).crossJoin(x.agg(F.count("*").alias("expected")))  # one row each
-    n = n.selectExpr("tp", "clusters - matched fp", "expected - tp fn")
-    p, r, f1 = evaluate.prf(F.col("tp"), F.col("fp"), F.col("fn"))
-    return n.select("tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"))
+    f = findings(spark, d).withColumn("key", F.col("rule_id"))
+    return evaluate.score_run(f.where("confidence <= 0.2D"), f.where("confidence > 0.2D").selectExpr("path", "key", "line_start line", "pos ord"))
 
 
 @query("""WITH t AS (SELECT l.doc_id, CASE WHEN toxic = 1 THEN 'T' ELSE 'F' END AS verdict, source AS pattern FROM labels l JOIN documents d ON l.doc_id = d.doc_id), h AS (SELECT doc_id FROM documents WHERE n_chars > 1000),
@@ -261,6 +305,16 @@ def run_jaccard(spark, d):
     return evaluate.jaccard(findings(spark, d).selectExpr("cast(line_start div 24 as bigint) day", "path"), "day", "path")
 
 
+@query("""WITH $F, s AS (SELECT DISTINCT line_start // 24 AS day, path, rule_id FROM f), n AS (SELECT day, count(*) AS n FROM s GROUP BY day), r AS (SELECT count(*) AS runs FROM n),
+j AS (SELECT a.day AS x, b.day AS y, count(*) AS shared FROM s a JOIN s b ON a.path = b.path AND a.rule_id = b.rule_id AND a.day < b.day GROUP BY ALL),
+t AS (SELECT sum(shared / (a.n + b.n - shared)::DOUBLE) AS total FROM j JOIN n a ON a.day = x JOIN n b ON b.day = y),
+k AS (SELECT path, rule_id FROM s GROUP BY ALL HAVING count(*) = (SELECT runs FROM r))
+SELECT runs::BIGINT AS runs, round(coalesce(total, 0) / (runs * (runs - 1) / 2), 3)::DOUBLE AS avg_pairwise, coalesce((SELECT string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) FROM k), '') AS stable FROM r, t""")
+def run_consistency(spark, d):
+    runs = findings(spark, d).selectExpr("cast(line_start div 24 as bigint) day", "path", "rule_id")
+    return evaluate.consistency(runs, "day", ["path", "rule_id"], "rule_id").select("runs", "avg_pairwise", F.concat_ws(",", "stable_rules").alias("stable"))
+
+
 # Leftovers here are at most one on either side, so the one-to-one match is a join.
 @query("""WITH $F, k AS (SELECT path, rule_id, line_start // 24 AS day, min(line_start) AS line FROM f GROUP BY ALL), o AS (SELECT * FROM k WHERE day = 3), n AS (SELECT * FROM k WHERE day = 4),
 j AS (SELECT coalesce(o.path, n.path) AS path, coalesce(o.rule_id, n.rule_id) AS rule_id, o.line - 72 AS a, n.line - 96 AS b FROM o FULL JOIN n ON o.path = n.path AND o.rule_id = n.rule_id)
@@ -270,7 +324,7 @@ def diff_reports(spark, d):
     k = findings(spark, d).withColumn("day", F.expr("line_start div 24")).groupBy("path", "rule_id", "day").agg(F.min("line_start").alias("line"), F.min("pos").alias("pos"))
     day = lambda n: k.where(F.col("day") == n).select("path", "rule_id", (F.col("line") - 24 * n).cast("int").alias("line_start"), "pos")
     missing = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
-    return history.diff(day(3), day(4)).select("path", "rule_id", missing("old_line"), missing("new_line"), "status")
+    return history.diff(day(3), day(4), 5).select("path", "rule_id", missing("old_line"), missing("new_line"), "status")
 
 
 # All findings of both runs; the recursion goes through a path's and rule's near pairs in order and keeps the lines used.
@@ -289,7 +343,7 @@ def diff_findings(spark, d):
     k = findings(spark, d).withColumn("day", F.expr("line_start div 24"))
     day = lambda n: k.where(F.col("day") == n).select("path", "rule_id", (F.col("line_start") - 24 * n).cast("int").alias("line_start"), "pos")
     missing = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
-    return history.diff(day(3), day(4)).select("path", "rule_id", missing("old_line"), missing("new_line"), "status")
+    return history.diff(day(3), day(4), 5).select("path", "rule_id", missing("old_line"), missing("new_line"), "status")
 
 
 @query("""WITH $F, r AS (SELECT (line_start // 24)::BIGINT AS day, count(*)::BIGINT AS n FROM f GROUP BY 1) SELECT count(*)::BIGINT AS runs, arg_min(n, day) AS first, arg_max(n, day) AS last, arg_max(n, day) - arg_min(n, day) AS delta, max(n) AS largest FROM r""")
@@ -387,11 +441,29 @@ _E = "e AS (SELECT o_custkey AS src, l_suppkey AS dst, count(*)::BIGINT AS calls
 
 
 @query(f"WITH {_E} SELECT src, dst, calls FROM e")
-def call_edges(spark, d):
+def call_counts(spark, d):
     o, l_ = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     return o.join(l_, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("calls"))
 
 
+# A customer is a function of the module of its number modulo 50; each module imports all others; an order's line calls the function of the supplier's number.
+@query("""SELECT 'm' || o_custkey % 50 || '.f' || o_custkey AS caller, 'm' || l_suppkey % 50 || '.f' || l_suppkey AS callee, count(*)::BIGINT AS calls FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+WHERE l_suppkey IN (SELECT c_custkey FROM customer) AND o_custkey <> l_suppkey GROUP BY ALL""")
+def call_edges(spark, d):
+    def make(t, path, kind, scope, name, target, line):
+        none = "cast(array() as array<string>)"
+        return t.selectExpr(f"{path} path", f"'{kind}' kind", f"{scope} scope", "'' klass", f"{name} name", f"{target} target", "0 pos", f"{line} line", f"{none} names", f"{none} flags")
+
+    file = "concat('m', {} % 50, '.py')"
+    calls = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber"), F.col("o_orderkey") == F.col("l_orderkey"))
+    c = table(spark, d, "customer")
+    modules = c.selectExpr("c_custkey % 50 m").distinct()
+    facts = make(c, file.format("c_custkey"), "def", "concat('f', c_custkey)", "concat('f', c_custkey)", "''", "1")
+    facts = facts.union(make(modules.select("m", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("k")), file.format("m"), "alias", "''", "concat('x', k)", "concat('m', k)", "1"))
+    facts = facts.union(make(calls, file.format("o_custkey"), "call", "concat('f', o_custkey)", "concat('x', l_suppkey % 50, '.f', l_suppkey)", "''", "l_linenumber"))
+    return graph.call_edges(facts).groupBy("caller", "callee").agg(F.count("*").alias("calls"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, (user_id * 7 + floor(value)::BIGINT) % 150 AS dst FROM events WHERE event_type = 'purchase' AND value > 60),
 r AS (SELECT 1::BIGINT AS node, 0 AS round UNION SELECT e.dst, round + 1 FROM r JOIN e ON e.src = r.node WHERE round < 6) SELECT node, min(round)::INT AS round FROM r GROUP BY node""")
 def reach_fixpoint(spark, d):
@@ -412,6 +484,88 @@ def worklist_topn(spark, d):
     return evaluate.nested_top(rows, "l_suppkey", 8, 6, "o").drop("o")
 
 
+# ---- evaluation of planted rows, stores and caches ----------------------------------------------------------
+
+
+@query("""WITH $F, m AS (SELECT pos AS id, path AS file, line_start AS a, line_end AS b, CASE WHEN pos % 4 = 0 THEN 'TRAP' ELSE rule_id END AS expect FROM f WHERE confidence > 0.8),
+h AS (SELECT path AS file, line_start AS line, rule_id AS rule, fix AS evidence FROM f WHERE confidence <= 0.8),
+n AS (SELECT id, expect, h.rule, contains(evidence, '5') AS named FROM m LEFT JOIN h ON m.file = h.file AND line BETWEEN a - (expect <> 'TRAP')::INT AND b + (expect <> 'TRAP')::INT),
+r AS (SELECT id, expect, count(rule) AS n, coalesce(bool_or(rule = expect), false) AS hit, coalesce(bool_or(rule = expect AND named), false) AS placed FROM n GROUP BY id, expect)
+SELECT expect, CASE WHEN expect = 'TRAP' THEN CASE WHEN n > 0 THEN 'TRAP_BREACH' ELSE 'trap_clean' END WHEN placed THEN 'hit_located' WHEN hit THEN 'hit_unlocated' ELSE 'MISS' END AS result, count(*)::BIGINT AS rows FROM r GROUP BY ALL""")
+def planted_results(spark, d):
+    f = findings(spark, d)
+    m = f.where("confidence > 0.8D").selectExpr("pos id", "'l' lib", "path file", "line_start start", "line_end end", "if(pos % 4 = 0, 'TRAP', rule_id) expect")
+    hits = f.where("confidence <= 0.8D").selectExpr("'l' lib", "path file", "line_start line", "rule_id rule", "fix evidence")
+    words = f.selectExpr("rule_id rule", "'5' word").distinct()
+    return evaluate.planted(m, hits, words).groupBy("expect", "result").agg(F.count("*").alias("rows"))
+
+
+_ADJ = "t AS (SELECT CASE WHEN quality = 1 THEN 'T' WHEN toxic = 1 THEN 'F' ELSE 'O' END AS gt, d.n_chars > 1500 AS keep FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+
+
+@query(f"""WITH {_ADJ}, c AS (SELECT count(*)::BIGINT AS n, sum((gt = 'T')::INT)::BIGINT AS t_before, sum((gt = 'F')::INT)::BIGINT AS f_before, sum((gt = 'T' AND keep)::INT)::BIGINT AS t_after, sum((gt = 'F' AND keep)::INT)::BIGINT AS f_after,
+sum((gt = 'F' AND NOT keep)::INT)::BIGINT AS fp_killed, sum((gt = 'T' AND NOT keep)::INT)::BIGINT AS lost_t, sum((gt = 'O' AND keep)::INT)::BIGINT AS novel_kept FROM t)
+SELECT *, round(t_before / nullif(t_before + f_before, 0)::DOUBLE, 3) AS precision_before, round(t_after / nullif(t_after + f_after, 0)::DOUBLE, 3) AS precision_after FROM c""")
+def adjudication(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return evaluate.adjudication_summary(rows.selectExpr("case when quality = 1 then 'T' when toxic = 1 then 'F' else 'O' end gt", "n_chars > 1500 real"))
+
+
+@query("""WITH t AS (SELECT l_shipdate - INTERVAL 0 SECOND AS ts, l_suppkey, l_orderkey * 10 + l_linenumber AS i FROM lineitem), n AS (SELECT *, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY l_suppkey ORDER BY ts, i) AS k FROM t)
+SELECT i::BIGINT AS i, (max(ms - k) OVER (PARTITION BY l_suppkey ORDER BY ts, i ROWS UNBOUNDED PRECEDING) + k)::BIGINT AS stamp_ms FROM n""")
+def rising_stamps(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("timestamp_millis(cast(timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate) as bigint)) ts", "l_suppkey", "l_orderkey * 10 + l_linenumber i")
+    return history.stamped(rows, "ts", "l_suppkey", "i").select("i", F.unix_millis("stamp").alias("stamp_ms"))
+
+
+@query("""WITH e AS (SELECT md5(text) AS key, max(doc_id) AS ts, arg_max(lang, doc_id) AS model FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1), k AS (SELECT * FROM e ORDER BY ts DESC, key LIMIT 60)
+SELECT model, count(*)::BIGINT AS entries FROM k GROUP BY model""")
+def cache_prune(spark, d):
+    docs = table(spark, d, "documents").where("doc_id % 3 <> 0").selectExpr("md5(text) key", "text raw", "doc_id ts", "lang model")
+    return cache.stats(cache.put(docs.limit(0), docs, most=80, keep=60))
+
+
+@query("""WITH e AS (SELECT DISTINCT sha1(text) AS h FROM documents WHERE doc_id % 3 <> 0) SELECT doc_id, 'f:' || sha1(text) AS key, sha1(text) IN (SELECT h FROM e) AS hit FROM documents""")
+def cache_probe(spark, d):
+    docs = table(spark, d, "documents")
+    stored = docs.where("doc_id % 3 <> 0").select(cache.content_key(F.col("text"), F.lit("f")).alias("key")).distinct()
+    return cache.probe(docs.select("doc_id", cache.content_key(F.col("text"), F.lit("f")).alias("key")), stored)
+
+
+@query("""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'x y' ELSE 'K-' || p_partkey % 40 END AS id, p_name AS title, CASE WHEN p_size > 45 THEN 'odd' ELSE 'low' END AS severity FROM part),
+c AS (SELECT *, CASE WHEN NOT regexp_full_match(id, '[A-Za-z0-9][A-Za-z0-9_.-]{1,63}') THEN 'id' WHEN severity = 'odd' THEN 'severity' WHEN id IN (SELECT 'K-' || s_suppkey FROM supplier WHERE s_suppkey < 10) THEN 'builtin' ELSE '' END AS reason FROM n)
+SELECT id, reason, count(*)::BIGINT AS rows FROM c GROUP BY ALL""")
+def store_checks(spark, d):
+    new = table(spark, d, "part").selectExpr("p_partkey pos", "if(p_partkey % 5 = 0, 'x y', concat('K-', p_partkey % 40)) id", "p_name title", "if(p_size > 45, 'odd', 'low') severity", "'security' category")
+    builtin = table(spark, d, "supplier").where("s_suppkey < 10").selectExpr("concat('K-', s_suppkey) id")
+    return store.checked(new, builtin).groupBy("id", "reason").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT doc_id, 'FP-' || lang || '-' || substr(sha1(source), 1, 6) AS proposal, substr(sha256(text), 1, 32) AS checksum FROM documents")
+def proposal_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id", history.proposal_id(F.col("lang"), F.col("source")).alias("proposal"), T.checksum(F.col("text")).alias("checksum"))
+
+
+_SHARED = "regexp_replace(regexp_replace(text, 'sk-([A-Za-z0-9]{3})[A-Za-z0-9_-]{5,}', 'sk-\\1***', 'g'), '" + T.KEY.replace("'", "''") + "', '\\1\\2***', 'g')"
+
+
+@query(f"SELECT doc_id AS pos, source AS path, md5({_SHARED}) AS evidence_md5 FROM documents")
+def shared_report(spark, d):
+    f = table(spark, d, "documents").selectExpr("doc_id pos", "concat('a/b/', source) path", "text evidence")
+    return report.redacted(f).select("pos", "path", F.md5("evidence").alias("evidence_md5"))
+
+
+@query("""SELECT conv_id, turn, regexp_extract(t, '(?s)```[a-zA-Z0-9_+-]*[ \t]*\n(.*?)```', 1) AS code FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'see' || chr(10) || '```py' || chr(10) || replace(text, '`', '') || '```' ELSE replace(text, '`', '') END AS t FROM conversations)""")
+def reply_code(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("see\n```py\n"), F.replace("text", F.lit("`"), F.lit("")), F.lit("```"))).otherwise(F.replace("text", F.lit("`"), F.lit(""))).alias("t"))
+    return t.select("conv_id", "turn", F.coalesce(replies.fenced(F.col("t")), F.lit("")).alias("code"))
+
+
+@query("""WITH $L, n AS (SELECT path, line_no, line, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM l WHERE regexp_matches(line, '(the|und)')) SELECT path, line_no, regexp_extract(line, '(the|und)', 0)[:60] AS found FROM n WHERE k <= 20""")
+def pattern_preview(spark, d):
+    return store.preview(document_lines(spark, d), "(the|und)", 20)
+
+
 # ---- reports ------------------------------------------------------------------------------------------------
 
 
@@ -429,8 +583,7 @@ def sarif_json(spark, d):
 @query("SELECT p_partkey AS pos, p_brand AS rule_id, p_type AS category FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_size > 45) AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey = 1)")
 def preset_filter(spark, d):
     part = table(spark, d, "part").selectExpr("p_partkey pos", "p_brand rule_id", "p_type category", "p_size")
-    on = [r.category for r in part.where("p_size > 45").select("category").distinct().limit(1000).collect()]  # a preset's categories
-    return report.preset(part, on, part.where("pos = 1")).drop("p_size")
+    return report.preset(part, part.where("p_size > 45"), part.where("pos = 1")).select("pos", "rule_id", "category")
 
 
 @query("""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 WHEN o_orderpriority LIKE '3%' THEN 2 WHEN o_orderpriority LIKE '4%' THEN 3 END AS r FROM orders)

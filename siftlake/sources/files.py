@@ -50,13 +50,111 @@ def changed_only(files: DataFrame, changed: DataFrame) -> DataFrame:
     return files.join(changed.select("path").distinct(), "path", "left_semi")
 
 
-RULES = "rules array<struct<id:string,title:string,category:string,severity:string,pattern:string,exclude:array<string>,why:string,suggestion:string>>"
+RULES = (
+    "rules array<struct<id:string,title:string,category:string,severity:string,source:string,pattern:string,exclude:array<string>,exts:array<string>,why:string,impact:string,suggestion:string,"
+    "skip_path_rx:string,body_check:string,probe_check:string,logged_check:string,resource_check:string,match_comment:boolean,skip_docstring:boolean,top_only:boolean>>"
+)
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of JSON files {rules: [...]}, in order of file name and place."""
-    raw = spark.read.schema(RULES).json(path, multiLine=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode("rules").alias("place", "r"))
-    return raw.select("file", "place", "r.*")
+def _items(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:
+    """The rows of an array field of JSON files, with file, place and ord, their order by file name and place. Unreadable files have none."""
+    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path, multiLine=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(field).alias("place", "r"))
+    return raw.select("file", "place", "r.*").withColumn("ord", F.struct("file", "place"))
+
+
+def read_rules(spark: SparkSession, path: str, scripts: str = "js_rules.json") -> DataFrame:
+    """Line rules of JSON files {rules: [...]}, in order of file name and place; those of the scripts' file apart."""
+    return _items(spark, path, RULES, "rules").where(F.col("file") != scripts)
+
+
+def read_script_rules(spark: SparkSession, path: str) -> DataFrame:
+    return _items(spark, path, RULES, "rules")
+
+
+# The switches of a rule's row and the checks they name.
+CHECKS = {"body_check": "no_reraise", "probe_check": "not_probe", "logged_check": "not_logged", "resource_check": "not_closed"}
+
+
+def as_rules(rows: DataFrame, exts: tuple[str, ...] = (".py",)) -> tuple:
+    """Rows of read_rules as rules that rules.scan takes. A set of rules is small: it becomes part of the plan. Patterns that don't compile are left out."""
+    from ..operators.rules import Rule
+
+    out = []
+    for r in rows.orderBy("ord").collect():
+        try:
+            re.compile(r.pattern or "(")
+        except re.error:
+            continue
+        checks = tuple(name for switch, name in CHECKS.items() if r[switch])
+        out.append(Rule(r.id, (r.severity or "medium").lower(), (r.category or "security").lower(), r.pattern, tuple(r.exclude or ()), r.skip_path_rx or "", bool(r.match_comment), r.skip_docstring is False or bool(r.match_comment and r.skip_docstring is None), bool(r.top_only), checks, tuple(r.exts or exts)))
+    return tuple(out)
+
+
+GUARD = "guards array<struct<id:string,title:string,pattern:string,requires:string,protects:array<string>,why:string>>"
+
+
+def read_guards(spark: SparkSession, path: str) -> tuple:
+    """Guards of a JSON file as rules.guard_points takes them."""
+    rows = _items(spark, path, GUARD, "guards").orderBy("ord").collect()
+    return tuple((r.pattern, tuple(r.protects or ()), r.requires or "") for r in rows if r.pattern)
+
+
+ITEM = "items array<struct<id:string,title:string,category:string,severity:string,tags:array<string>,triggers:array<string>,pattern:string,impact:string,fix:string,source:string,not_when:array<string>,require_any:array<string>>>"
+
+
+def read_knowledge(spark: SparkSession, path: str, custom: str = "custom.json") -> DataFrame:
+    """Knowledge items of JSON files {items: [...]}, with ord, their order by file and place, and builtin."""
+    return _items(spark, path, ITEM, "items").withColumn("builtin", F.col("file") != custom)
+
+
+CATALOG = "sources array<struct<match:string,cwe:string,note:string>>, sinks array<struct<match:string,cwe:string,note:string>>"
+
+
+def read_catalog(spark: SparkSession, path: str) -> tuple[tuple[str, ...], dict[str, str]]:
+    """A taint catalog as graph.taint_paths takes it: the sources' names, the sinks' names with their weakness."""
+    rows = spark.read.schema(CATALOG).json(path, multiLine=True).collect()
+    return tuple(s.match for r in rows for s in r.sources or ()), {s.match: s.cwe for r in rows for s in r.sinks or ()}
+
+
+def read_weaknesses(spark: SparkSession, path: str) -> DataFrame:
+    """rule_id, cwe of a JSON file {map: {...}}."""
+    return spark.read.schema("map map<string,string>").json(path, multiLine=True).select(F.explode("map").alias("rule_id", "cwe"))
+
+
+TRUTH = "meta struct<lib:string>, annotations array<struct<file:string,line:int,rule:string,verdict:string,pattern:string,note:string,why:string>>"
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """lib, pos, file, line, rule, verdict, pattern, note of labelled findings, a JSON file a library."""
+    raw = spark.read.schema(TRUTH).json(path, multiLine=True)
+    rows = raw.select(F.coalesce("meta.lib", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")).alias("lib"), F.posexplode("annotations").alias("pos", "a"))
+    return rows.select("lib", "pos", "a.file", "a.line", "a.rule", "a.verdict", "a.pattern", F.coalesce("a.note", "a.why").alias("note"))
+
+
+MANIFEST = "expected array<struct<file:string,cwe:string,line:int>>, negatives array<string>"
+
+
+def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The expected rows of a bench, ord their order, as evaluate.score_run takes them, and the names of its clean files."""
+    raw = spark.read.schema(MANIFEST).json(path, multiLine=True)
+    want = raw.select(F.posexplode("expected").alias("ord", "e")).select(F.col("e.file").alias("path"), F.col("e.cwe").alias("key"), F.col("e.line").alias("line"), "ord")
+    return want, raw.select(F.explode("negatives").alias("path"))
+
+
+# Folders that a benchmark's walk leaves out, and files that name dependencies.
+NOT_MEASURED = ("tests", "test", "_tests", "testing", "docs", "doc", "_vendor", ".venv", "scripts", "example", "examples", "build", "dist")
+MANIFESTS = ("requirements.txt", "pyproject.toml", "Pipfile.lock")
+
+
+def package_files(files: DataFrame) -> DataFrame:
+    """files(path, text), path relative to a package, without tests, docs and what else isn't measured."""
+    parts, name = F.split(F.lower("path"), r"[/\\]"), F.element_at(F.split("path", r"[/\\]"), -1)
+    return files.where(~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, NOT_MEASURED))) & ~F.rlike(name, F.lit("^tests?_")))
+
+
+def manifests(files: DataFrame) -> DataFrame:
+    """Files that name dependencies."""
+    return files.where(F.element_at(F.split("path", r"[/\\]"), -1).isin(*MANIFESTS))
 
 
 REPORT = "target string, issues array<struct<rule_id:string,severity:string,category:string,path:string,line_start:int,line_end:int,confidence:double,detector:string,evidence:string>>"
