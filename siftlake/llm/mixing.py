@@ -65,10 +65,10 @@ def source_levels(sizes: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFr
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, bins: int = BINS, size: str | None = None) -> DataFrame:
-    """docs(doc_id, source, text) -> doc_id, source, text_key, size, source_size, target, p, copies: a row per row of docs.
+    """docs(doc_id, source, text) -> doc_id, source, text_key, size, source_size, target, whole, p, copies: a row per row of docs.
 
     size: SQL for a document's size; by default its words (null or empty text: 0). text_key: a hash of the text,
-    which with doc_id and source names the row. p: the probability of the copy that is drawn. A document is copied cap
+    which with doc_id and source names the row. whole: the copies given for certain; p: the probability of one more. A document is copied cap
     times at most, rounded up, and whole. Documents of no size are never taken. Equal ids have equal u: those on the cut
     are told apart by text; rows that are alike in all are interchangeable. Null ids share one u. Other columns are not
     read; texts of any length are counted whole; an empty table gives no rows.
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     cut = places(cut.select("g.source", upper.cast("long").alias("bin"), "l.cut"))
     key = F.struct("r.t", "r.doc_id", "r.text_key")
     inner = F.coalesce(F.floor(F.col("r.t") * bins) < F.col("c.bin"), F.lit(False)) | F.coalesce((F.floor(F.col("r.t") * bins) == F.col("c.bin")) & (key <= F.col("c.cut")), F.lit(False))
-    return rows.alias("r").join(cut.alias("c"), same("r", "c") & (salt == F.col("c.salt"))).select("r.doc_id", "r.source", "r.text_key", "r.size", "r.source_size", "r.target", "r.p", (F.col("r.whole") + inner.cast("long")).alias("copies"))
+    return rows.alias("r").join(cut.alias("c"), same("r", "c") & (salt == F.col("c.salt"))).select("r.doc_id", "r.source", "r.text_key", "r.size", "r.source_size", "r.target", "r.whole", "r.p", (F.col("r.whole") + inner.cast("long")).alias("copies"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

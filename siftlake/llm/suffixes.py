@@ -91,12 +91,12 @@ def anchors(texts: list[bytes], min_len: int = MIN_LEN, k: int = KMER) -> tuple[
     return own, first - starts[own], more, kmers[at[first]], segment
 
 
-def strides(data: bytes, min_len: int, most: int = STRIDE) -> list[tuple[int, bytes]]:
+def strides(data: bytes, min_len: int, most: int) -> list[tuple[int, bytes]]:
     """A text as pieces of about most bytes, with where they begin; each window of min_len bytes lies in one piece."""
     return [(a, data[a : a + most + min_len - 1]) for a in range(0, max(1, len(data) - min_len + 1), most)]
 
 
-def _anchor_rows(docs: DataFrame, min_len: int, k: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, min_len: int, k: int, stride: int) -> DataFrame:
     """Long texts are cut into strides; an anchor whose windows lie in two of them gives two segments, which changes nothing
     but how its windows are grouped."""
     names = ["doc_id", "tk", "at", "more", "h", "s"]
@@ -109,13 +109,13 @@ def _anchor_rows(docs: DataFrame, min_len: int, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names)
 
     def work(batches):
-        for batch in part_batches(batches, STRIDE):
+        for batch in part_batches(batches, stride):
             ids, tk, pieces, size = batch.column("doc_id"), batch.column("tk"), [], 0
             for i, t in enumerate(batch.column("text").to_pylist()):
-                for a, d in strides(utf8(t), min_len):
+                for a, d in strides(utf8(t), min_len, stride):
                     pieces.append((i, a, d))
                     size += len(d)
-                    if size >= STRIDE:
+                    if size >= stride:
                         yield rows(pieces, ids, tk)
                         pieces, size = [], 0
             if pieces:
@@ -201,13 +201,13 @@ def _compare(segs: DataFrame, min_len: int, bucket: int, heavy: int) -> DataFram
     return light.unionByName(dealt.join(twice, ["h", "w"]).select("h", "s", "lo", (F.col("lo") + 1).alias("hi")))
 
 
-def repeats(docs: DataFrame, min_len: int = MIN_LEN, k: int = KMER, bucket: int = BUCKET, heavy: int = HEAVY) -> DataFrame:
+def repeats(docs: DataFrame, min_len: int = MIN_LEN, k: int = KMER, bucket: int = BUCKET, heavy: int = HEAVY, stride: int = STRIDE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, tk, spans: the bytes [lo, hi) of the text that repeat, for rows that have some.
 
     tk: xxhash64 of the text. Rows with equal doc_id and text are copies of each other like any other rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
-    found = stage(_anchor_rows(rows, min_len, k), "anchors")
+    found = stage(_anchor_rows(rows, min_len, k, stride), "anchors")
     kmers = found.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("n > 1")
     # Written, so that both sides of the join are dealt anew and a k-mer of many copies can be split.
     kmers = stage(kmers.select("h", (F.col("s0") != F.col("s1")).alias("open")), "repeated-kmers")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import part_batches, table, tidy, utf8
 
 # Fixed values of the format: compression schemes, field types' sizes, tags.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -278,16 +278,16 @@ def store(text: str | None) -> bytes:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes (of the text), media. Null texts are empty; the empty payload is 64 zeros."""
+    """docs(doc_id, text) -> doc_id, n_bytes (of the text), media: a row per row. Null texts are empty; the empty payload is
+    64 zeros. Equal texts have equal files; texts of any length are one page; other columns aren't read; an empty table
+    gives no rows."""
 
     def work(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = part.column("text").to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(utf8(t)) for t in texts], pa.int64()), pa.array(list(map(store, texts)), pa.binary())], ["doc_id", "n_bytes", "media"])
+        for part in part_batches(batches):
+            texts = part.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(utf8(t)) for t in texts], pa.int64()), pa.array(list(map(store, texts)), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(work), "doc_id long, n_bytes long, media binary")
 
 
 def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

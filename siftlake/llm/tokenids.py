@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, tidy
 
 # ---- encoding -----------------------------------------------------------------------------------------------
 
@@ -232,7 +232,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange(F.col("doc_id"), F.col("tie")).sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return stage(rows.mapInArrow(work, SHARD), "token-shards")
+    return stage(rows.mapInArrow(tidy(work), SHARD), "token-shards")
 
 
 def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -272,20 +272,52 @@ def _repeats(keys: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(new, at, 0)) if len(keys) else at
 
 
+class Shard:
+    """A shard's row (as a dict), opened once: its index is counted through here, and each access then takes constant time."""
+
+    def __init__(self, row: dict):
+        self.index = HashIndex(row["sizes"], np.array(row["bits"], np.int64).view(np.uint64), np.array(row["left_over"], np.int64).view(np.uint64))
+        self.ids, self.ends = np.frombuffer(row["ids"], f"<u{row['width']}"), np.array(row["ends"], np.int64)
+        self.doc_ids, self.prints, self.rows = row["doc_ids"], np.array(row["prints"], np.int32), np.array(row["rows"], np.int64)
+
+    def get(self, doc_ids: np.ndarray) -> list[np.ndarray | None]:
+        """The ids of documents; None for one that isn't there: its slot is free, or holds another fingerprint or, if that is alike too, another key."""
+        keys = doc_ids.astype(np.int64).view(np.uint64)
+        slots, prints, out = self.index.slots(keys), self.index.prints(keys), []
+        for key, slot, mark in zip(doc_ids.tolist(), slots.tolist(), prints.tolist(), strict=True):
+            row = int(self.rows[slot]) if slot >= 0 and self.prints[slot] == mark else -1
+            out.append(self.ids[self.ends[row - 1] if row else 0 : self.ends[row]] if row >= 0 and self.doc_ids[row] == key else None)
+        return out
+
+
 def lookup(shard: dict, doc_id: int) -> np.ndarray | None:
-    """The ids of one document of a shard (a row as a dict), by constant-time access; None if it isn't there."""
-    key = np.array([doc_id], np.int64).view(np.uint64)
-    index = HashIndex(shard["sizes"], np.array(shard["bits"], np.int64).view(np.uint64), np.array(shard["left_over"], np.int64).view(np.uint64))
-    slot = int(index.slots(key)[0])
-    if slot < 0 or shard["prints"][slot] != index.prints(key)[0] or shard["doc_ids"][shard["rows"][slot]] != doc_id:
-        return None
-    row = shard["rows"][slot]
-    a, b = shard["ends"][row - 1] if row else 0, shard["ends"][row]
-    return np.frombuffer(shard["ids"], f"<u{shard['width']}")[a:b]
+    """The ids of one document of a shard (a row as a dict); None if it isn't there. For many, open the Shard once."""
+    return Shard(shard).get(np.array([doc_id], np.int64))[0]
+
+
+def fetch(asked: DataFrame, shards: DataFrame) -> DataFrame:
+    """asked(doc_id) -> doc_id, ids (little-endian 32-bit): the first row of each id that the shards hold, once.
+
+    Ids meet the shards' keys in an equal join, and only shards that are asked for something are opened, each once.
+    """
+    where = shards.select("shard", F.explode("doc_ids").alias("doc_id")).where("doc_id is not null").groupBy("doc_id").agg(F.min("shard").alias("shard"))
+    want = asked.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(where, "doc_id").groupBy("shard").agg(F.collect_list("doc_id").alias("want"))
+
+    def work(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = np.array(row["want"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.astype("<u4").tobytes() for x in Shard(row).get(keys)], pa.binary())], ["doc_id", "ids"])
+
+    return shards.join(want, "shard").mapInArrow(tidy(work), "doc_id long, ids binary")
 
 
 def token_table(docs: DataFrame, path: str, with_ids: bool = True, **options) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, start, n_tokens, ids_crc32, ids, read back from the shards. start: ids of all documents before it."""
+    """docs(doc_id, text) -> doc_id, start, n_tokens, ids_crc32, ids, read back from the shards. start: ids of all documents before it.
+
+    Null and empty texts hold the end id alone; see write_shards for null and repeated ids. Texts of any length are
+    encoded whole, other columns aren't read, an empty table gives no rows.
+    """
     shards = write_shards(docs, path, **options)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))

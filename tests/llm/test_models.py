@@ -43,6 +43,10 @@ def test_token_shards(spark):
         at += r.n_tokens
     shard = tokenids.write_shards(df, path).where("array_contains(doc_ids, -5)").first().asDict()
     assert tokenids.lookup(shard, -5)[-1] == 2 and tokenids.lookup(shard, 10**9) is None
+    whole = {r.doc_id: r.ids for r in got if r.doc_id is not None and r.doc_id != 3}
+    back = tokenids.fetch(spark.createDataFrame([(i,) for i in [*whole, -5, 10**9, None]], "doc_id long"), tokenids.write_shards(df, path, shard_tokens=50)).collect()
+    assert {r.doc_id: r.ids for r in back} == whole and len(back) == len(whole)
+    assert tokenids.token_table(df.limit(0), path).count() == 0
 
 
 def test_pieces(spark):
@@ -65,6 +69,9 @@ def test_pieces(spark):
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(ODD)], "doc_id long, text string, ids int")
     back = pieces.decode(pieces.encode(df.select("doc_id", "text"), pieces.model_path()), pieces.model_path())
     assert [r.text for r in sorted(back.collect())] == [t or "" for t in ODD]
+    long = spark.createDataFrame([(1, "word " * 500_000, 5), (2, "x" * 30_000, 6)], "doc_id long, text string, ids int")
+    got = pieces.decode(pieces.encode(long, pieces.model_path(), ("doc_id", "ids")), pieces.model_path(), ("doc_id", "ids_")).collect()
+    assert {(r.doc_id, r.ids_, r.text) for r in got} == {(1, 5, "word " * 500_000), (2, 6, "x" * 30_000)} and pieces.encode(df.limit(0), pieces.model_path()).count() == 0
 
 
 def test_tiff(spark):
@@ -78,6 +85,11 @@ def test_tiff(spark):
     got = tiff.pages(df).collect()
     assert len(got) == 2 * len(files) + 2 and all(bytes(g.samples) == page[: g.height].tobytes() for g in got if g.error is None)
     assert {g.doc_id for g in got if g.error} == {98, 99}
+    texts = [(1, None), (2, ""), (3, "x" * 64), (4, "é" * 70_000), (4, "é" * 70_000), (None, "a\0b"), *((i, "lorem ipsum " * i) for i in range(10, 60))]
+    rows = tiff.pages(tiff.to_media(spark.createDataFrame([(*t, "m") for t in texts], "doc_id long, text string, media string")), keep=("doc_id", "n_bytes")).collect()
+    pad = lambda b: b + bytes(-len(b) % 64 or (0 if b else 64))
+    assert sorted((str(r.doc_id), r.n_bytes, bytes(r.samples)) for r in rows) == sorted((str(i), len((t or "").encode()), pad((t or "").encode())) for i, t in texts)
+    assert {r.compression for r in rows} == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE} and tiff.pages(tiff.to_media(df.selectExpr("doc_id", "'x' text").limit(0))).count() == 0
     big = b"MM\0*" + (14).to_bytes(4, "big") + b"\0\1\2\3\0\0"  # 16-bit, big-endian, one strip of 2 samples, horizontal predictor
     tags = [(256, 3, 2 << 16), (257, 3, 1 << 16), (258, 3, 16 << 16), (259, 3, 1 << 16), (273, 4, 8), (279, 4, 4), (317, 3, 2 << 16)]
     big += len(tags).to_bytes(2, "big") + b"".join(t.to_bytes(2, "big") + k.to_bytes(2, "big") + (1).to_bytes(4, "big") + v.to_bytes(4, "big") for t, k, v in tags) + bytes(4)
@@ -107,6 +119,11 @@ def test_language(spark):
     assert (out.lang == out.lang_pred).mean() > 0.97
     odd = spark.createDataFrame([(1, None, "en"), (2, "12 34 !!", "en"), (3, "", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identify(odd).collect()] == [("und", 0.0)] * 3
+    rows = [(i, t, lang, "kept", True) for i, (t, lang) in enumerate([("the cat and the dog " * 9, "en"), ("der Hund und die Katze " * 9, "de")] * 12)]
+    rows += [(90, "½ ² ① Ⅷ 12", "en", "kept", True), (91, "the dog " * 300_000, None, "kept", True), (91, "the dog " * 300_000, None, "kept", True), (92, "é", None, None, None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lang_pred boolean"), ("doc_id", "score", "lang_pred")).collect()}
+    assert got[90].lang_pred == "und" and got[91].lang_pred == "en" and got[92].lang_pred in ("en", "de") and got[91].score_ == "kept" and got[91].lang_pred_ is True
+    assert langid.identify(odd.limit(0)).count() == 0
 
 
 def test_language_sample(spark):
@@ -243,6 +260,28 @@ def test_pipeline_stage_on_nothing(spark, name):
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, "").count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empties, ties, repeated rows and columns named like the operators' own."""
+    import corpus_pipeline
+
+    odd = ["_id", "_tk", "spans", "kept", "n_removed", "score", "lang_pred", "held_out", "ids", "copies", "copy", "text_key", "size", "sha", "row_of_docs", "f_id", "node"]
+    common = "all of these words stand in two documents, " * 6
+    texts = [None, "", "12 ½", "one short text", "one short text", common + "now here", common + "but there", "der Hund", "die Katze und der Hund", "the cat"]
+    rows = [(i // 2 if i < 8 else None, t, ["en", "de", None][i % 3], ["a", None][i % 2], len(t or ""), *[f"{c}{i}" for c in odd]) for i, t in enumerate(texts)]
+    rows.append(rows[3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in odd)).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    got = {name: stages[name](spark, docs, "").collect() for name in stages}
+    for name in ("language", "near_duplicates", "repeats", "mix"):
+        assert all(list(r.asDict()) == docs.columns for r in got[name])
+        assert {tuple(r)[5:] for r in got[name]} <= {r[5:] for r in rows}
+    assert sorted(r.text for r in got["language"]) == sorted([t for t in texts if t and any(c.isalpha() for c in t)] + ["one short text"])
+    assert sorted(r.text or "" for r in got["near_duplicates"]) == sorted({t or "" for t in texts})
+    assert sorted(r.text for r in got["repeats"] if "here" in r.text) == ["but there", "now here"] and len(got["repeats"]) == len(rows)
+    assert {r.text for r in got["mix"]} <= {t for t in texts if t}
+    assert len(got["encode"]) == len(rows) and all(r.whole for r in got["encode"])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

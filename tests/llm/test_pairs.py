@@ -66,13 +66,15 @@ def test_simhash(spark):
     assert len(kept) == len(set(comp.values())) and simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("options", [{"min_len": 12, "k": 5}, {"min_len": 20, "k": 8, "heavy": 1}, {"min_len": 20, "k": 8, "bucket": 500}])
+@pytest.mark.parametrize("options", [{"min_len": 12, "k": 5}, {"min_len": 20, "k": 8, "heavy": 1}, {"min_len": 20, "k": 8, "bucket": 500}, {"min_len": 20, "k": 8, "stride": 50}])
 def test_repeats(spark, options):
     t = texts() + ["a" * 100, "a" * 57, "é" * 40, "abc" * 30, "abc" * 30, "x\0\0\0" * 20]
     df = spark.createDataFrame([(i % 70 if i > 3 else None, x, 1) for i, x in enumerate(t)], "doc_id long, text string, at int").repartition(3)
     got = sorted((r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffixes.remove_repeats(df, **options).collect())
     assert got == sorted(suffixes.brute_force(t, options["min_len"]))
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
+    clash = suffixes.remove_repeats(df.withColumns({c: df["at"] for c in ("spans", "kept", "n_bytes")}), ("spans", "kept", "n_bytes", "at"), **options)
+    assert clash.columns == ["doc_id", "at", "spans_", "kept_", "n_bytes_", "n_bytes", "n_removed", "spans", "kept"] and {r.spans_ for r in clash.collect()} == {1}
 
 
 def test_suffix_levels_merge():
@@ -112,6 +114,17 @@ def test_vectors(spark):
     assert sorted((g.vec_id or 0, g.n_links, g.component_id or 0, g.kept) for g in got.collect()) == [(0, 0, 0, False), (0, 1, 0, False), (0, 1, 0, False), (0, 1, 7, False), (7, 1, 7, True), (8, 1, 7, False), (8, 1, 7, False)]
 
 
+def test_mixing_inclusion(spark):
+    """Over many seeds documents are drawn as often as their own probabilities say, the likely and the unlikely ones."""
+    rows = [(i, "a" if i % 3 else "b", " ".join(["w"] * (1 + i % 40))) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    drawn = [(g.p, g.copies - g.whole) for k in range(12) for g in mixing.mix(df, bins=8, seed=f"s{k}").collect() if g.p > 0]
+    middle = sorted(p for p, _ in drawn)[len(drawn) // 2]
+    assert len({p for p, _ in drawn}) > 20 and {x for _, x in drawn} == {0, 1}
+    for own in ([d for d in drawn if d[0] < middle], [d for d in drawn if d[0] >= middle]):
+        assert abs(sum(x for _, x in own) - sum(p for p, _ in own)) < 0.08 * len(own)
+
+
 def test_mixing(spark):
     r = random.Random(6)
     rows = [(i, r.choice(["a", "b", None, "c"]), " ".join(["w"] * r.randrange(0, 30))) for i in range(800)] + [(1, "a", None)]
