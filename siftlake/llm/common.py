@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,13 @@ def tidy(work):
     return run
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished steps are deleted once the driver's JVM has collected what refers to them, which may take
+    long; a job of several large steps asks for it after writing a table, so that their files don't add up on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def own_name(name: str, taken) -> str:
     """name, with underscores added until no column has it (names are alike whatever their case)."""
     low = {t.lower() for t in taken}
