@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import gc
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -69,11 +69,17 @@ def tidy(work):
     return run
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of finished steps are deleted once the driver's JVM has collected what refers to them, which may take
-    long; a job of several large steps asks for it after writing a table, so that their files don't add up on disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def short_lived_shuffles(spark: SparkSession):
+    """Queries that end in here delete their shuffle files when they do. For large steps whose result is written as a table:
+    else the files of all steps add up on disk until the driver's JVM collects what refers to them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def own_name(name: str, taken) -> str:
