@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, own_name, part_batches, renamed, table, tidy, utf8
+from .common import held_out, own_name, part_batches, renamed, stage, table, tidy, utf8
 
-LONGEST, PER_LANG, WORDS, KNOWN = 48, 200, 200, 1 << 17  # KNOWN: words that a task remembers
+LONGEST, PER_LANG, WORDS = 48, 200, 200
+KNOWN, PARTS = 1 << 17, 16  # words that a task remembers; groups of tasks in which hashes are first ranked
 
 
 def has_letter(text: str) -> bool:
@@ -152,11 +153,16 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG, words: int = WORDS) -> Dat
     """docs(text, lang), labelled -> lang, words: per_lang distinct texts of each language, all where there are fewer.
 
     Texts come in the order of a hash of theirs; so do a text's words. Copies are one text before any is counted;
-    of each language every task hands on per_lang hashes at most.
+    of each language every task hands on per_lang hashes at most, to one of PARTS groups of tasks, and each group as
+    many to the last. The hashes chosen are a written table, so that Spark knows their size when it plans the texts' join.
     """
     rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    first = rows.select("lang", "h").distinct().withColumn("n", n).where(F.col("n") <= per_lang).select("lang", "h")
+
+    def least(hashes, *by):
+        return hashes.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("n") <= per_lang).drop("n")
+
+    dealt = rows.select("lang", "h").distinct().withColumn("part", F.spark_partition_id() % PARTS)
+    first = stage(least(least(dealt, "lang", "part"), "lang").select("lang", "h"), "langid-sample")
     rows = rows.join(first, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def pick(batches):
