@@ -268,12 +268,12 @@ def pages(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc
 
 
 def store(text: str | None) -> bytes:
-    """A text as one page of 64 samples a row. Of 16 texts one is stored with LZW, one with PackBits, by its checksum,
-    the others with deflate; those of odd checksums in tiles; all but PackBits with the horizontal predictor."""
+    """A text as one page of 64 samples a row. LZW, PackBits and deflate take a third of the texts each, by checksum; those
+    of odd checksums go in tiles; all but PackBits with the horizontal predictor."""
     body = utf8(text)
     body += bytes(-len(body) % 64 or (0 if body else 64))
     check = zlib.crc32(body)
-    scheme = {0: LZW, 1: PACKBITS}.get(check >> 1 & 15, DEFLATE)
+    scheme = (LZW, PACKBITS, DEFLATE)[(check >> 1) % 3]
     return write_tiff([np.frombuffer(body, np.uint8).reshape(-1, 64)], scheme, 1 if scheme == PACKBITS else 2, tile=(128, 64) if check & 1 else None)
 
 

@@ -1,5 +1,6 @@
 """Encoders, codecs and models against libraries, round trips and brute force."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -11,6 +12,7 @@ import pytest
 
 from siftlake.llm import langid, pieces, suffixtree, tiff, tokenids, urltree
 
+SMALL = "/root/testdata/sf0.001"
 ODD = ["", "   ", "It's O'Neill'S  don't\tstop É İstanbul ΣΑΣ <|endoftext|> x", "漢字 かな 12３４ ½²", "x" * 5000 + "! 's'sS", "\x00\x1c a\x85b", "ẞßŸÿ ǅ .'s ''", "naïve café—dash \U0001f600", None]
 
 
@@ -96,6 +98,24 @@ def test_tiff(spark):
     assert tiff.read_tiff(big)[0][0].ravel().tolist() == [0x0001, 0x0001 + 0x0203]
 
 
+def test_tiff_query(spark):
+    rows = {r.doc_id: r for r in tiff.op2_tiff(spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(docs)
+    schemes = set()
+    for d in docs:
+        body = (d.text or "").encode()
+        held, row, file = body + bytes(-len(body) % 64 or (0 if body else 64)), rows[d.doc_id], tiff.store(d.text)
+        a = np.frombuffer(held, np.uint8).astype(float)
+        assert (row.n_bytes, row.payload_bytes, row.payload_sha256) == (len(body), len(held), hashlib.sha256(held).hexdigest())
+        assert (row.tail_crc32, row.media_bytes, row.media_sha256) == (zlib.crc32(held[-64:]), len(file), hashlib.sha256(file).hexdigest())
+        shape, _, mean, _, spread, _, entropy = row.feature.split()
+        p = np.unique(a, return_counts=True)[1] / len(a)
+        assert shape == f"{len(held) // 64}x64" and [float(mean), float(spread), float(entropy)] == pytest.approx([a.mean(), a.std(), -(p * np.log2(p)).sum()], abs=1e-6)
+        schemes |= {scheme for _, scheme in tiff.read_tiff(file)}
+    assert schemes == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE}
+
+
 def test_gru_gradients():
     g = langid.ByteGRU(3, 4)
     g.w = {k: v.astype(np.float64) for k, v in g.w.items()}
