@@ -161,3 +161,34 @@ def test_pipeline_keeps_one_of_near_copies(spark):
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(docs)], "doc_id long, text string, source string").repartition(4)
     got = sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert got == sorted({min(i for i, x in enumerate(part) if x == p) for p in part}) and 60 < len(got) < len(docs)
+
+
+def family(r, groups=30, common=400, pair=6, own=46):
+    """Texts over one passage: those of a pair reach a similarity of 0.8, all others nearly do."""
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    base = words(common)
+    return [" ".join(base + shared + words(own)) for _ in range(groups) for shared in [words(pair)] for _ in range(2)]
+
+
+@pytest.mark.parametrize("tile", [7, 256])
+def test_near_copies_in_a_large_group(spark, monkeypatch, tile):
+    monkeypatch.setattr(nearcopies, "TILE", tile)
+    r = random.Random(5)
+    docs = family(r) + [" ".join(d.split()[:-1] + [f"x{k}"]) for d in family(r, 1) for k in range(40)]
+    sets = [set(nearcopies.shingles(d).tolist()) for d in docs]
+    near = [(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    found = nearcopies.links(spark.createDataFrame([(d, i) for i, d in enumerate(docs)], "text string, tk long").repartition(3))
+    assert {(x.a, x.b) for x in found.collect()} <= set(near)
+    part = list(range(len(docs)))
+    for i, j in near:
+        part = [part[i] if x == part[j] else x for x in part]
+    group = {x.node: x.component for x in graph.components(found).collect()}
+    assert [group.get(i, i) for i in range(len(docs))] == [min(j for j, p in enumerate(part) if p == q) for q in part] and len(near) > 30
+
+
+def test_alike_is_jaccard():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 50))).astype(np.uint64) for _ in range(40)]
+    side = lambda x: (np.array([len(s) for s in x]), np.concatenate(x))
+    got = nearcopies.alike(side(sets[:15]), side(sets[15:]), 0.3)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.3 for b in sets[15:]] for a in sets[:15]]
