@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-KEY = r"""(?i)(api_?key|secret|password|passwd|token)(\s*[:=]\s*)["']?[^\s"',;]{6,}["']?"""
+# What is white space at the ends of a line; keys, and values behind secret names; what stands in their place.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+SECRET = r"""(?i)(sk-[A-Za-z0-9_\-]{8,})|((?:password|passwd|secret|token|api_?key|apikey)\s*[:=]\s*["']?)([A-Za-z0-9_\-+/=]{6,})"""
+HIDDEN = "[已掩码]"
+#: A match in marks, by the place of its parts, and what each kind of match becomes.
+MARKED = (SECRET, "\x01$1\x02$2\x03$3\x04")
+SHOWN = ((r"\x01([^\x02]{6})[^\x02]*\x02\x03\x04", f"$1…{HIDDEN}"), (r"\x01\x02([^\x03]*)\x03[^\x04]*\x04", f"$1***{HIDDEN}"))
+
+
+def strip(col: Column) -> Column:
+    """Without white space of any kind at both ends; trim() takes spaces only."""
+    return F.trim(col, F.lit(WHITE))
+
+
+def lstrip(col: Column) -> Column:
+    return F.ltrim(col, F.lit(WHITE))
 
 
 def mask_secrets(col: Column) -> Column:
-    """``sk-`` keys to their first characters, values of secret names to ``***``."""
-    return F.regexp_replace(F.regexp_replace(col, r"sk-([A-Za-z0-9]{3})[A-Za-z0-9_-]{5,}", "sk-$1***"), KEY, "$1$2***")
+    """``sk-`` keys to their first six characters, values of secret names to stars: one reading from the left, so that a
+    key behind a secret name is that name's value."""
+    out = F.regexp_replace(col, "(?U)" + MARKED[0], MARKED[1])
+    for pattern, to in SHOWN:
+        out = F.regexp_replace(out, pattern, to)
+    return out
 
 
 def base_name(col: Column) -> Column:
@@ -38,9 +57,10 @@ def masked_setting(col: Column) -> Column:
     return F.when(F.length(col) > 12, F.concat(F.substring(col, 1, 6), F.lit("..."), F.substring(col, -4, 4))).when(F.length(col) > 0, "***").otherwise("")
 
 
-def knowledge_text(title: Column, tags: Column, triggers: Column, pattern: Column, fix: Column) -> Column:
-    """What of an item is embedded, cut to 1500 characters."""
-    return F.substring(F.concat_ws(" ", title, F.array_join(tags, " "), F.array_join(triggers, " "), pattern, fix), 1, 1500)
+def knowledge_text(title: Column, pattern: Column, tags: Column, triggers: Column) -> Column:
+    """What of an item is embedded, cut to 1500 characters; fields that are missing are empty."""
+    given = lambda c: F.coalesce(c, F.lit(""))
+    return F.substring(F.concat_ws(" ", given(title), given(pattern), given(F.array_join(tags, " ")), given(F.array_join(triggers, " "))), 1, 1500)
 
 
 def valid_id(col: Column) -> Column:

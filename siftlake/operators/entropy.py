@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def shannon(col: Column) -> Column:
     """Bits per character."""
@@ -31,7 +33,7 @@ def secret_like(col: Column, min_len: int = 20) -> Column:
 
 def entropy_findings(rows: DataFrame, least: float = 3.5) -> DataFrame:
     """rows(path, line_no, line): quoted literals that look like secrets; comment and suppressed lines don't count."""
-    rows = rows.where(~F.rlike(F.trim("line"), F.lit(r"^(#|//|\*)")) & ~F.rlike("line", F.lit(SUPPRESS)))
+    rows = rows.where(~F.rlike(strip(F.col("line")), F.lit(r"^(#|//|\*)")) & ~F.rlike("line", F.lit(SUPPRESS)))
     out = rows.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit("(?U)" + LITERAL), 1)).alias("literal"))
     out = out.where(secret_like(F.col("literal"))).withColumn("entropy", shannon(F.col("literal"))).where(F.col("entropy") >= least)
     return out.select("path", F.col("line_no").alias("line_start"), F.lit("R-SEC-ENTROPY").alias("rule_id"), "literal", "entropy", F.lit(0.6).alias("confidence"))

@@ -14,14 +14,23 @@ def module_name(path):
     return F.regexp_replace(dotted, r"\.?__init__$", "")
 
 
-def definitions(facts: DataFrame) -> DataFrame:
-    """facts of ``masks.facts`` -> fqn, path, line, args."""
-    d = facts.where("kind = 'def'")
+# Builtins that are no function of a module.
+NOISE = ("print", "len", "isinstance", "super", "getattr", "setattr", "hasattr", "open", "range", "dict", "list", "set", "tuple", "str", "int", "float", "bool", "type")
+
+
+def definitions(facts: DataFrame, kind: str = "node") -> DataFrame:
+    """facts of ``masks.facts`` -> fqn, path, line, args: functions of modules and methods of their classes; of kind def nested ones too."""
+    d = facts.where(F.col("kind") == kind)
     return d.select(F.concat_ws(".", module_name(F.col("path")), "scope").alias("fqn"), "path", "line", F.col("names").alias("args"))
 
 
 def _targets(facts: DataFrame) -> DataFrame:
-    """Calls with the dotted name they mean, through the file's aliases, its own module or class: caller, callee, path, line, name."""
+    """Calls with the dotted name they mean: caller, callee, path, line, name.
+
+    A bare name is an alias of the file's, else one of its module, unless it is a builtin. self is the class around it. Of
+    other dotted names the root is an alias, a class of the module if it begins with a capital, or the module's own
+    name; else the call means nothing that can be told, and callee is null.
+    """
     mod = module_name(F.col("path"))
     parts = F.split(mod, r"\.")
     package = F.rlike("path", F.lit(r"(^|[/\\])__init__\.py$"))
@@ -30,10 +39,17 @@ def _targets(facts: DataFrame) -> DataFrame:
     base = F.when(F.col("pos") > 0, F.array_join(F.slice(parts, 1, kept), ".")).otherwise("")
     full = F.when(base == "", F.col("target")).otherwise(F.concat_ws(".", base, "target"))
     alias = facts.where("kind = 'alias'").groupBy("path", F.col("name").alias("root")).agg(F.max_by(full, "line").alias("full"))
-    calls = facts.where("kind = 'call'").select("path", mod.alias("mod"), "scope", "klass", "name", "line", F.substring_index("name", ".", 1).alias("root"))
+    calls = facts.where("kind = 'edge'").select("path", mod.alias("mod"), "scope", "klass", "name", "line", F.substring_index("name", ".", 1).alias("root"))
     calls = calls.join(alias, ["path", "root"], "left")
-    rest = F.when(F.contains("name", F.lit(".")), F.concat(F.lit("."), F.expr("substring(name, length(root) + 2)"))).otherwise("")
-    callee = F.when(F.col("full").isNotNull(), F.concat("full", rest)).when((F.col("root") == "self") & (F.col("klass") != ""), F.concat_ws(".", "mod", "klass", F.expr("substring(name, 6)"))).otherwise(F.concat_ws(".", "mod", "name"))
+    rest, bare = F.expr("substring(name, length(root) + 2)"), ~F.contains("name", F.lit("."))
+    callee = (
+        F.when(F.col("name") == "", None)
+        .when(bare, F.when(~F.col("name").isin(*NOISE), F.coalesce("full", F.concat_ws(".", "mod", "name"))))
+        .when(F.col("root") == "self", F.when(F.col("klass") != "", F.concat_ws(".", "mod", "klass", rest)))
+        .when(F.col("full").isNotNull(), F.concat_ws(".", "full", rest))
+        .when(F.rlike("root", F.lit(r"^\p{Lu}")), F.concat_ws(".", "mod", "name"))
+        .when(F.col("root") == F.substring_index("mod", ".", -1), F.concat_ws(".", "mod", rest))
+    )
     return calls.select(F.concat_ws(".", "mod", "scope").alias("caller"), callee.alias("callee"), "path", "line", "name")
 
 
@@ -47,7 +63,7 @@ def graph_stats(facts: DataFrame) -> DataFrame:
     """One row: files, defs, edges, unresolved (calls that mean no definition)."""
     defs = definitions(facts).select(F.col("fqn").alias("callee")).distinct().withColumn("known", F.lit(True))
     t = _targets(facts).join(defs, "callee", "left").agg(F.count_if(F.col("known") & (F.col("caller") != F.col("callee"))).alias("edges"), F.count_if(F.col("known").isNull()).alias("unresolved"))
-    return facts.agg(F.countDistinct("path").alias("files"), F.countDistinct(F.when(F.col("kind") == "def", F.struct("path", "scope"))).alias("defs")).crossJoin(t)  # one row each
+    return facts.agg(F.countDistinct("path").alias("files"), F.countDistinct(F.when(F.col("kind") == "node", F.struct("path", "scope"))).alias("defs")).crossJoin(t)  # one row each
 
 
 def calls_of(facts: DataFrame, path: str, name: str, limit: int = 8) -> DataFrame:
@@ -103,8 +119,9 @@ SINKS = {
     "yaml.load": "CWE-502", "open": "CWE-22", "send_file": "CWE-22", "render_template_string": "CWE-94", "Markup": "CWE-79", "redirect": "CWE-601",
 }
 EXTERNAL = (
-    r"\b(?:request|flask|argv|environ|getenv|stdin)\b|os\.environ|os\.getenv|\binput\s*\(|sys\.stdin"
-    r"|(?:request|req|flask|self\.request|ctx\.request|environ|os\.environ)\.(?:args|form|json|data|values|cookies|headers|query_params|GET|POST)\b"
+    r"\brequest\b|\bflask\b|\bargv\b|os\.environ|os\.getenv|\binput\s*\(|sys\.stdin"
+    r"|(?:request|req|flask|self\.request|ctx\.request|environ|os\.environ)\.(?:args|form|json|data|values|cookies|headers|query_params|GET|POST)\b",
+    r"\b(?:request|argv|environ|getenv|stdin)\b",
 )
 STRINGS = r"""(?s)\"\"\".*?\"\"\"|'''.*?'''|"[^"\n]*"|'[^'\n]*'"""
 BARE, CHECKED, SHELLED = ("open", "eval", "exec"), ("isfile", "exists", "isabs", "is_dir", "safe_join"), ("run", "Popen", "call", "check_output", "check_call")
@@ -117,7 +134,8 @@ def strip_strings(text):
 
 def external(text):
     """The expression, strings apart, takes foreign data."""
-    return F.rlike(strip_strings(text), F.lit(f"(?U){EXTERNAL}"))
+    bare = strip_strings(text)
+    return F.rlike(bare, F.lit(f"(?U){EXTERNAL[0]}")) | F.rlike(bare, F.lit(f"(?U){EXTERNAL[1]}"))
 
 
 def catalogued(name, entries):
@@ -160,7 +178,7 @@ def taint_paths(facts: DataFrame, rounds: int = 6, keep_cli: bool = False, sourc
     within = assign.select("fn", "name", F.explode("names").alias("used")).select(node(F.col("fn"), F.col("used")).alias("src"), node(F.col("fn"), F.col("name")).alias("dst"))
     args = stage(facts.where("kind = 'arg'").select(fn.alias("fn"), "path", "line", "name", "pos", "target", "names", "flags"), "taint-args")
     edges = call_edges(facts).select("callee", F.col("path").alias("p"), F.col("line").alias("l"), F.col("caller").alias("c"))
-    params = definitions(facts).select(F.col("fqn").alias("callee"), F.posexplode(F.filter("args", lambda a: ~a.isin("self", "cls"))).alias("pos", "param"))
+    params = definitions(facts, "def").select(F.col("fqn").alias("callee"), F.posexplode(F.filter("args", lambda a: ~a.isin("self", "cls"))).alias("pos", "param"))
     used = args.select("fn", "path", "line", "name", "pos", F.explode("names").alias("used"))
     passed = used.join(edges, (used.path == edges.p) & (used.line == edges.l) & (used.fn == edges.c)).join(params, ["callee", "pos"])
     across = stage(passed.select(node(F.col("fn"), F.col("used")).alias("src"), node(F.col("callee"), F.col("param")).alias("dst"), F.concat(F.col("fn"), F.lit("("), base, F.lit(":"), F.col("line").cast("string"), F.lit(")")).alias("via")).distinct(), "taint-across")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import lstrip, strip
+
 #: What ends a line.
 BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 
@@ -21,6 +25,19 @@ def lines(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame
     return out.select("path", (F.col("i") + 1).alias("line_no"), "line")
 
 
+def cut_lines(text: str) -> tuple[list[str], list[int]]:
+    """split_lines of one text inside a task, and where each line begins."""
+    out, begins, at = [], [], 0
+    for m in re.finditer(BREAK, text):
+        out.append(text[at : m.start()])
+        begins.append(at)
+        at = m.end()
+    if at < len(text) or not text:
+        out.append(text[at:])
+        begins.append(at)
+    return out, begins
+
+
 def _by() -> Window:
     return Window.partitionBy("path").orderBy("line_no")
 
@@ -50,7 +67,7 @@ def context(rows: DataFrame, n: int = 5) -> DataFrame:
 
 
 def indent(col: Column) -> Column:
-    return F.length(col) - F.length(F.ltrim(col))
+    return F.length(col) - F.length(lstrip(col))
 
 
 def block(n: int) -> Column:
@@ -60,6 +77,6 @@ def block(n: int) -> Column:
     stop = F.aggregate(
         rest,
         F.struct(F.array().cast("array<string>").alias("a"), F.lit(False).alias("end")),
-        lambda s, x: F.when(s["end"] | ((F.trim(x) != "") & (indent(x) <= deep)), F.struct(s["a"].alias("a"), F.lit(True).alias("end"))).otherwise(F.struct(F.concat(s["a"], F.array(x)).alias("a"), F.lit(False).alias("end"))),
+        lambda s, x: F.when(s["end"] | ((strip(x) != "") & (indent(x) <= deep)), F.struct(s["a"].alias("a"), F.lit(True).alias("end"))).otherwise(F.struct(F.concat(s["a"], F.array(x)).alias("a"), F.lit(False).alias("end"))),
     )
     return stop["a"]

@@ -133,7 +133,7 @@ def file_units(files: DataFrame) -> DataFrame:
     return _per_file(files, UNIT, unit_of)
 
 
-# Facts for the call graph and for taint: kind is def, alias, call, arg or assign; flags are what else is known of the row.
+# Facts for the call graph (kind node, alias, edge) and for taint (def, alias, call, arg, assign); flags are what else is known of the row.
 FACT = "path string, kind string, scope string, klass string, name string, target string, pos int, line int, names array<string>, flags array<string>"
 
 
@@ -167,6 +167,26 @@ def _functions(node, klass: str = ""):
             yield from _functions(child, klass)
 
 
+def _graph_facts(path: str, tree):
+    """Functions of the module and methods of its classes; and every call inside a function, with the innermost function
+    and class around it. Calls of what has no dotted name are there with an empty one."""
+    for top in tree.body:
+        for node in top.body if isinstance(top, ast.ClassDef) else [top]:
+            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                klass = top.name if isinstance(top, ast.ClassDef) else ""
+                yield path, "node", f"{klass}.{node.name}" if klass else node.name, klass, node.name, "", 0, node.lineno, [a.arg for a in node.args.args], []
+    todo = [(tree, "", "")]
+    while todo:
+        node, klass, caller = todo.pop()
+        for child in ast.iter_child_nodes(node):
+            inside = caller
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                inside = f"{klass}.{child.name}" if klass else child.name
+            elif isinstance(child, ast.Call) and caller:
+                yield path, "edge", caller, klass, dotted(child.func), "", -1, child.lineno, [], []
+            todo.append((child, child.name if isinstance(child, ast.ClassDef) else klass, inside))
+
+
 def facts_of(path: str, text: str):
     """Import aliases, definitions, and each function's own calls with their arguments and assignments to a name."""
     try:
@@ -182,6 +202,7 @@ def facts_of(path: str, text: str):
             for a in node.names:
                 if a.name != "*":
                     yield path, "alias", "", "", a.asname or a.name, f"{node.module or ''}{'.' if node.module else ''}{a.name}", node.level, node.lineno, [], []
+    yield from _graph_facts(path, tree)
     for node, klass in _functions(tree):
         scope = f"{klass}.{node.name}" if klass else node.name
         yield path, "def", scope, klass, node.name, "", 0, node.lineno, [a.arg for a in node.args.args], []

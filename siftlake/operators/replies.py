@@ -27,7 +27,7 @@ def first_array(text: str) -> str | None:
     if at < 0:
         return None
     try:
-        value, _ = json.JSONDecoder(strict=False).raw_decode(text, at)
+        value, _ = json.JSONDecoder().raw_decode(text, at)
     except (ValueError, RecursionError):
         return None
     return json.dumps(value, ensure_ascii=False)

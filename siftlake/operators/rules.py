@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import candidates, fold, matches
+from ..functions.text import lstrip, strip
 from . import lines as L
 
 
@@ -88,10 +90,10 @@ def guard_points(texts: DataFrame, guards: tuple = GUARDS) -> DataFrame:
     requires is looked for in the whole file, in any case."""
     needs = {g[2] for g in guards if g[2]}
     have = texts.select("path", "text", *(F.rlike("text", F.lit(f"(?iU){n}")).alias(f"need{i}") for i, n in enumerate(sorted(needs))))
-    rows = have.select("path", *(f"need{i}" for i in range(len(needs))), F.posexplode(L.split_lines(F.col("text"))).alias("i", "line"))
+    rows = candidates(have, tuple(g[0] for g in guards), L.cut_lines, ("path", *(f"need{i}" for i in range(len(needs)))))
     order = sorted(needs)
-    found = [F.when(F.rlike("line", F.lit(f"(?U){p}")) & (F.col(f"need{order.index(need)}") if need else F.lit(True)), F.array(*map(F.lit, keys))) for p, keys, need in guards]
-    out = rows.select("path", (F.col("i") + 1).alias("line"), F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*found))))).alias("key"))
+    found = [F.when(F.array_contains("may", k) & F.rlike("line", F.lit(f"(?U){p}")) & (F.col(f"need{order.index(need)}") if need else F.lit(True)), F.array(*map(F.lit, keys))) for k, (p, keys, need) in enumerate(guards)]
+    out = rows.select("path", F.col("line_no").alias("line"), F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*found))))).alias("key"))
     return out.select("path", "key", "line")
 
 
@@ -106,31 +108,32 @@ OPENS = r"^(raise|try|if|for|while|with)"
 
 def checks() -> dict[str, Column]:
     """Named exemptions over the block that follows a line; true keeps the hit."""
-    code = lambda n: F.filter(L.block(n), lambda x: (F.trim(x) != "") & ~F.startswith(F.ltrim(x), F.lit("#")))
+    code = lambda n: F.filter(L.block(n), lambda x: (strip(x) != "") & ~F.startswith(lstrip(x), F.lit("#")))
     like = lambda x, p: F.rlike(x, F.lit(f"(?U){p}"))
     tail = F.regexp_extract("line", r":(.*)$", 1)
-    short = F.transform(code(7), lambda x: F.trim(x))
-    explicit = like(F.trim("line"), r"^except\s+Exception(\s+as\s+\w+)?\s*:\s*(#.*)?$")
-    caught = like(F.trim("line"), r"^except\s+(:|Exception|BaseException)(\s+as\s+\w+)?\s*:")
-    held = F.regexp_extract("line", r"^\s*(\w+)\s*=\s*(?:[^\n]*\b(?:open|connect)\s*\()", 1)
+    short = F.transform(code(7), lambda x: strip(x))
+    explicit = like(strip(F.col("line")), r"^except\s+Exception(\s+as\s+\w+)?\s*:\s*(#.*)?$")
+    caught = like(strip(F.col("line")), r"^except\s+(:|Exception|BaseException)(\s+as\s+\w+)?\s*:")
+    held = F.regexp_extract("line", r"(?U)^\s*(\w+)\s*=\s*(?:[^\n]*\b(?:open|connect)\s*\()", 1)
     close = F.concat(F.lit(r"(?U)\b"), held, F.lit(r"\.close\s*\("))
     return {
-        "no_reraise": ~(like(tail, r"\braise\b") | F.exists(code(39), lambda x: like(F.trim(x), r"^raise(\s|$|from\b|,)"))),
+        "no_reraise": ~(like(tail, r"\braise\b") | F.exists(code(39), lambda x: like(strip(x), r"^raise(\s|$|from\b|,)"))),
         "not_probe": ~(explicit & (F.size(short) > 0) & F.forall(short, lambda x: like(x, PROBE) & ~like(x, OPENS))),
         "not_logged": ~(caught & F.exists(L.block(11), lambda x: like(x, LOGGED))),
         "not_closed": ~((held != "") & F.exists(L.following(F.col("line"), 39), lambda x: F.rlike(x, close))),
     }
 
 
-def hit(rule: Rule) -> tuple[Column, Column]:
-    """Whether the rule fires on a row of path and line, masks apart, and the 1-based place of its match."""
+def hit(rule: Rule, folded: bool = False) -> tuple[Column, Column]:
+    """Whether the rule fires on a row of path and line (folded: and _fold), masks apart, and the 1-based place of its match.
+    Its pattern is tried only on lines that hold its literals."""
     place = F.regexp_instr("line", F.lit(f"(?U){rule.pattern}"))
-    out = F.rlike("line", F.lit(f"(?U){rule.pattern}"))
+    out = matches(F.col("line"), F.col("_fold") if folded else fold(F.col("line")), rule.pattern)
     if rule.skip_path:
         out &= ~F.rlike(F.replace(F.col("path").cast("string"), F.lit("\\"), F.lit("/")), F.lit(rule.skip_path))
     if rule.exts == (".py",):
         if not rule.in_comments:
-            out &= ~F.startswith(F.ltrim("line"), F.lit("#"))
+            out &= ~F.startswith(lstrip(F.col("line")), F.lit("#"))
         out &= ~F.rlike("line", F.lit(SUPPRESS))
     for word in rule.exclude:
         out &= ~F.contains("line", F.lit(word))
@@ -143,19 +146,23 @@ def _within(place: Column) -> Column:
 
 
 def scan(rows: DataFrame, rules: tuple[Rule, ...] = PYTHON, masks: bool = False, block_checks: bool = True) -> DataFrame:
-    """rows(path, line_no, line) -> findings: rule-major within a line, a row for every rule that fires.
+    """rows(path, line_no, line) -> findings: rule-major within a line, a row for every rule that fires. See scan_texts for
+    whole texts; its rows bring may, the numbers of the rules that can fire.
 
-    All patterns are literals of one projection, so a line is read once and no pattern is compiled per row. masks:
+    All patterns are literals of one projection, so a line is read once; a pattern is tried only where the line holds the
+    literals it needs. masks:
     rows also have docstring, strings, comment_at and depth, as ``masks.python_masks`` gives them. block_checks:
-    look at the following lines for the rules that ask for it; only those lines then pass a window.
+    look at the following lines for the rules that ask for it; all lines then pass a window.
     """
     named = {c for r in rules for c in r.checks}
     if block_checks and named:
         known = checks()
         rows = rows.withColumns({f"_{c}": known[c] for c in sorted(named)})
+    rows, told = rows.withColumn("_fold", fold(F.col("line"))), "may" in rows.columns
     fired = []
-    for r in rules:
-        ok, place = hit(r)
+    for k, r in enumerate(rules):
+        ok, place = hit(r, True)
+        ok = F.array_contains("may", k) & ok if told else ok
         if masks:
             if not r.in_docstrings:
                 ok &= ~F.col("docstring")
@@ -167,7 +174,12 @@ def scan(rows: DataFrame, rules: tuple[Rule, ...] = PYTHON, masks: bool = False,
                 ok &= F.col(f"_{c}")
         fired.append(F.when(ok, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"))))
     out = rows.select("path", "line_no", "line", F.explode(F.array_compact(F.array(*fired))).alias("r"))
-    return out.select("path", F.col("line_no").alias("line_start"), "r.*", F.substring(F.trim("line"), 1, 200).alias("evidence"), F.lit(0.95).alias("confidence"))
+    return out.select("path", F.col("line_no").alias("line_start"), "r.*", F.substring(strip(F.col("line")), 1, 200).alias("evidence"), F.lit(0.95).alias("confidence"))
+
+
+def scan_texts(texts: DataFrame, rules: tuple[Rule, ...] = PYTHON) -> DataFrame:
+    """texts(path, text) -> the findings that scan gives for their lines without masks and block checks."""
+    return scan(candidates(texts, tuple(r.pattern for r in rules), L.cut_lines), rules, block_checks=False)
 
 
 def js_comment_mask(rows: DataFrame) -> DataFrame:
@@ -177,8 +189,8 @@ def js_comment_mask(rows: DataFrame) -> DataFrame:
     decides either way tells, but lines inside a block decide nothing by their beginning; as a line that ends a block
     ends it whatever it begins with, the last decision is that of the last such line.
     """
-    t = F.trim("line")
-    opens = F.startswith(t, F.lit("/*")) & ~F.contains(F.expr("substring(trim(line), 3)"), F.lit("*/"))
+    t = strip(F.col("line"))
+    opens = F.startswith(t, F.lit("/*")) & ~F.contains(F.substr(t, F.lit(3)), F.lit("*/"))
     decides = F.when(opens, True).when(F.contains("line", F.lit("*/")), False)
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.last(decides, ignorenulls=True).over(w), F.lit(False))
@@ -189,15 +201,16 @@ def scan_js(rows: DataFrame, rules: tuple[Rule, ...] = JS) -> DataFrame:
     """Findings of script lines: comments, the tails of lines behind ``//`` and suppressed lines don't count."""
     rows = js_comment_mask(rows).withColumn("before", L.previous())
     rows = rows.where(~F.col("comment") & ~F.rlike("line", F.lit(JS_SUPPRESS)) & ~F.coalesce(F.rlike("before", F.lit(JS_NEXT)), F.lit(False)))
+    rows = rows.withColumn("_code", F.substring_index("line", "//", 1)).withColumn("_fold", fold(F.col("_code")))
     fired = []
     for r in rules:
-        ok = F.rlike(F.substring_index("line", "//", 1), F.lit(f"(?U){r.pattern}"))
+        ok = matches(F.col("_code"), F.col("_fold"), r.pattern)
         for word in r.exclude:
             ok &= ~F.contains("line", F.lit(word))
         ok &= F.exists(F.array(*map(F.lit, r.exts)), lambda e: F.endswith(F.col("path"), e))
         fired.append(F.when(ok, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"))))
     out = rows.select("path", "line_no", "line", F.explode(F.array_compact(F.array(*fired))).alias("r"))
-    return out.select("path", F.col("line_no").alias("line_start"), "r.*", F.substring(F.trim("line"), 1, 200).alias("evidence"), F.lit(0.9).alias("confidence"))
+    return out.select("path", F.col("line_no").alias("line_start"), "r.*", F.substring(strip(F.col("line")), 1, 200).alias("evidence"), F.lit(0.9).alias("confidence"))
 
 
 def dimension(spark: SparkSession, rules: tuple[Rule, ...] = PYTHON) -> DataFrame:

@@ -66,6 +66,43 @@ def line_explode(spark, d):
     return document_lines(spark, d)
 
 
+# Documents hold no code: each gets lines of these behind its text, by its id, indented by tabs or spaces.
+_CODE_PY = (
+    "os.system(cmd)", "x = eval(y)", "# eval(y)", "\t# TODO: later", "value = hashlib.md5(b)", "hashlib.md5(b)  # nosec", "def f(a=[]):", "if a is 'x':", "\tf = open(p)", "debug=True", "from os import *", "a = 1; return a",
+    "Password = 'abcdefgh1'", "requests.get(u, verify=False)", "pickle.loads(b)", "except:", "go = lambda: 1", "cursor.execute(f\"select {x}\")", "subprocess.run(c, shell=True)", "token = random.choice(key)", "yaml.load(f)  # noqa", "\u3000# exec(y)",
+)
+_CODE_JS = (
+    "eval(x)", "\t// eval(x)", "\t/* eval(y)", "eval(z)", "*/ eval(w)", "el.innerHTML = v", "el.innerHTML = ''", "if (a == b) go()", "debugger;", "document.write(x) // eslint-disable", "// eslint-disable-next-line", "Math.random()",
+    "try { f() } catch (e) {}", "const apiKey = 'abcdefghij0123456789'", "new Function('x')", "rejectUnauthorized: false", "a === b", "\u00a0// debugger",
+)
+_CODE_GUARD = (
+    "d = yaml.safe_load(f)", "if p.startswith(base):", "q = os.path.realpath(p)", "c.execute('select ?', a)", "subprocess.run(['ls'])", "with self._lock:", "with sqlite3.connect(p) as c:", "with open(p) as f:", "v = d.get(k, 0)", "x = a if b else c",
+    "(n := d.get(k))", "if len(a) == 2 and b:", "os.environ.get('A')", "h = hashlib.md5(b)  # cache", "PASSWORD = 'SECRET_NAME'", "nothing",
+)
+
+
+def _code_sql(lines_: tuple[str, ...], by: int = 5) -> str:
+    """A text and five lines behind it, the same in both dialects."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    pick = lambda k: f"CASE (doc_id * {by} + {k}) % {len(lines_)} " + " ".join(f"WHEN {i} THEN {q(x)}" for i, x in enumerate(lines_)) + " END"
+    return "text || chr(10) || " + " || chr(10) || ".join(pick(k) for k in range(5))
+
+
+def code(spark, d, lines_: tuple[str, ...], suffix: str = "") -> DataFrame:
+    """documents as source files: path, text."""
+    text = _code_sql(lines_).replace("''", chr(92) + "'")
+    return table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(suffix)).alias("path") if suffix else F.col("doc_id").alias("path"), F.expr(text).alias("text"))
+
+
+def code_lines(lines_: tuple[str, ...]) -> str:
+    """L_SQL over the texts of code()."""
+    return L_SQL.replace("string_split(text, chr(10))", f"string_split({_code_sql(lines_)}, chr(10))")
+
+
+_BARE = "trim({}, '" + T.WHITE.replace("'", "''") + "')"
+_LEFT = "ltrim({}, '" + T.WHITE + "')"
+
+
 # What RE2, which knows no look-around, needs in place of three patterns.
 _RE2 = {"R-SEC-003": r"(^|[^.\w])(eval|exec)\s*\(", "R-SEC-004": r"pickle\.loads?\s*\(|yaml\.load\s*\([^S]*$", "R-LOG-003": r"""\bis\s+("|'|[0-9]+([^!0-9\w]|$))"""}
 
@@ -73,21 +110,21 @@ _RE2 = {"R-SEC-003": r"(^|[^.\w])(eval|exec)\s*\(", "R-SEC-004": r"pickle\.loads
 def _rule_sql(r: rules.Rule) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     cond = [f"regexp_matches(line, {q(_RE2.get(r.id, r.pattern))})", f"NOT regexp_matches(line, {q(rules.SUPPRESS)})"]
-    cond += [] if r.in_comments else ["NOT starts_with(ltrim(line), '#')"]
+    cond += [] if r.in_comments else [f"NOT starts_with({_LEFT.format('line')}, '#')"]
     cond += [f"NOT contains(line, {q(x)})" for x in r.exclude]
     return f"SELECT {q(r.id)} AS rule_id, {q(r.severity)} AS severity, {q(r.category)} AS category, count(*)::BIGINT AS hits, count(DISTINCT path)::BIGINT AS files FROM l WHERE " + " AND ".join(cond)
 
 
-@query("WITH $L " + " UNION ALL ".join(map(_rule_sql, rules.PYTHON)))
+@query("WITH " + code_lines(_CODE_PY) + " " + " UNION ALL ".join(map(_rule_sql, rules.PYTHON)))
 def rule_scan_counts(spark, d):
-    found = rules.scan(document_lines(spark, d), block_checks=False)
+    found = rules.scan_texts(code(spark, d, _CODE_PY))
     return rules.counts(found, rules.dimension(spark))
 
 
 _RE2_JS = {
     "JS-SEC-001": r"(^|[^.\w])eval\s*\(", "JS-SEC-003": r"\.innerHTML\s*=([^=]|$)", "JS-SEC-005": r"""child_process\.exec\s*\(|(^|[^.\w])exec\s*\(\s*[`"'].*\$\{""", "JS-ENG-001": r"(^|[^.\w])debugger\s*;?",
 }
-_J_SQL = f"""l2 AS (SELECT *, trim(line, ' ') AS t, lag(line) OVER (PARTITION BY path ORDER BY line_no) AS before FROM l),
+_J_SQL = f"""l2 AS (SELECT *, {_BARE.format('line')} AS t, lag(line) OVER (PARTITION BY path ORDER BY line_no) AS before FROM l),
 j AS (SELECT *, last_value(CASE WHEN starts_with(t, '/*') AND NOT contains(substr(t, 3), '*/') THEN true WHEN contains(line, '*/') THEN false END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM l2),
 s AS (SELECT path, line_no, line, string_split(line, '//')[1] AS code FROM j WHERE NOT (starts_with(t, '//') OR starts_with(t, '/*') OR coalesce(inside, false)) AND NOT regexp_matches(line, '{rules.JS_SUPPRESS}') AND NOT coalesce(regexp_matches(before, '{rules.JS_NEXT}'), false))"""
 
@@ -98,21 +135,21 @@ def _js_sql(r: rules.Rule) -> str:
     return f"SELECT {q(r.id)} AS rule_id, count(*)::BIGINT AS hits, count(DISTINCT path)::BIGINT AS files FROM s WHERE {' AND '.join(cond)} HAVING count(*) > 0"
 
 
-@query("WITH $L, " + _J_SQL + " " + " UNION ALL ".join(map(_js_sql, rules.JS)))
+@query("WITH " + code_lines(_CODE_JS) + ", " + _J_SQL + " " + " UNION ALL ".join(map(_js_sql, rules.JS)))
 def js_scan_counts(spark, d):
-    rows = lines.lines(table(spark, d, "documents").selectExpr("concat(doc_id, '.js') path", "text"))
+    rows = lines.lines(code(spark, d, _CODE_JS, ".js"))
     return rules.scan_js(rows).groupBy("rule_id").agg(F.count("*").alias("hits"), F.countDistinct("path").alias("files"))
 
 
 def _guard_sql(g: tuple) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    need = f" AND path IN (SELECT doc_id FROM documents WHERE regexp_matches(text, {q('(?i)' + g[2])}))" if g[2] else ""
+    need = f" AND path IN (SELECT doc_id FROM documents WHERE regexp_matches({_code_sql(_CODE_GUARD)}, {q('(?i)' + g[2])}))" if g[2] else ""
     return " UNION ".join(f"SELECT path, {q(k)} AS key, line_no AS line FROM l WHERE regexp_matches(line, {q(g[0])}){need}" for k in g[1])
 
 
-@query("WITH $L, p AS (" + " UNION ".join(map(_guard_sql, rules.GUARDS)) + ") SELECT path, key, line FROM p")
+@query("WITH " + code_lines(_CODE_GUARD) + ", p AS (" + " UNION ".join(map(_guard_sql, rules.GUARDS)) + ") SELECT path, key, line FROM p")
 def guard_lines(spark, d):
-    return rules.guard_points(table(spark, d, "documents").selectExpr("doc_id path", "text")).distinct()
+    return rules.guard_points(code(spark, d, _CODE_GUARD)).distinct()
 
 
 @query()
@@ -146,12 +183,29 @@ def block_lookahead(spark, d):
     return rows.select("path", "line_no", F.size("a").alias("following"), F.exists("a", lambda x: F.contains(x, F.lit(","))).alias("any_comma"))
 
 
-_MASK = "regexp_replace(regexp_replace(text, 'sk-([A-Za-z0-9]{3})[A-Za-z0-9_-]{5,}', 'sk-\\1***', 'g'), '" + T.KEY.replace("'", "''") + "', '\\1\\2***', 'g')"
+def _mask_sql(text: str) -> str:
+    """Every match of T.SECRET put in marks, then each kind shown as far as it may be."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = " || ".join(["chr(1)", *(f"'{chr(92)}{k}' || chr({k + 1})" for k in (1, 2, 3))])
+    out = f"regexp_replace({text}, {q(T.SECRET)}, {parts}, 'g')"
+    for pattern, to in T.SHOWN:
+        out = f"regexp_replace({out}, {q(pattern)}, {q(to.replace('$1', chr(92) + '1'))}, 'g')"
+    return out
+
+
+# Documents hold few secrets: every third gets one before and one behind its text, of six kinds.
+_KINDS = ("'api_key = \"AB+/=cdefgh;x\" '", "'p@ss!word päßwörter123 token: abc_de-f '", "'sk-a_bcdefghij and sk-short '", "'SECRET=sk-abcdefghijkl '", "'Passwd:\n  hunter22hunter '", "'apikey=12345 api_key=123456 '")
+_WITH = "CASE doc_id % 18 " + " ".join(f"WHEN {3 * i} THEN {k} || text || {k}" for i, k in enumerate(_KINDS)) + " ELSE text END"
 
 
-@query(f"SELECT doc_id, md5(m) AS masked_md5, length(m)::INT AS masked_len FROM (SELECT doc_id, text, {_MASK} AS m FROM documents) WHERE m <> text")
+def _with_secrets(spark, d):
+    """documents with a sample of secrets in every third text."""
+    return table(spark, d, "documents").withColumn("text", F.expr(_WITH))
+
+
+@query(f"SELECT doc_id, md5(m) AS masked_md5, length(m)::INT AS masked_len FROM (SELECT doc_id, text, {_mask_sql('text')} AS m FROM (SELECT doc_id, {_WITH} AS text FROM documents)) WHERE m <> text")
 def secret_mask(spark, d):
-    m = table(spark, d, "documents").select("doc_id", "text", T.mask_secrets(F.col("text")).alias("m")).where("m <> text")
+    m = _with_secrets(spark, d).select("doc_id", "text", T.mask_secrets(F.col("text")).alias("m")).where("m <> text")
     return m.select("doc_id", F.md5("m").alias("masked_md5"), F.length("m").alias("masked_len"))
 
 
@@ -187,11 +241,19 @@ def report_stats(spark, d):
     return report.stats(findings(spark, d))
 
 
-@query("""WITH $F, g AS (SELECT path, rule_id, line_start, arg_max({'c': confidence, 'd': detector, 'p': pos}, (verified, length(fix), confidence, pos)) AS b, sum(votes)::INT AS votes,
-array_to_string(list_sort(list_distinct(list(model))), ',') AS models, count(DISTINCT detector) AS k, max(confidence) AS most FROM f GROUP BY ALL)
-SELECT path, rule_id, line_start, b.p AS pos, votes, models, CASE WHEN k > 1 THEN 'both' ELSE b.d END AS detector, round(CASE WHEN k > 1 THEN least(1.0, most + 0.05) ELSE b.c END, 6) AS confidence FROM g""")
+# Rows of a key, one by one: a is what those before have become, b the next.
+_RANK = "(x.verified, x.detector = 'both', length(x.fix), x.confidence)"
+_LATER = f"{_RANK.replace('x.', 'b.')} >= {_RANK.replace('x.', 'a.')}"
+
+
+@query(f"""WITH $F, s AS (SELECT path, rule_id, line_start, {{'pos': pos, 'verified': verified, 'fix': fix, 'votes': votes, 'models': [model], 'detector': detector, 'confidence': confidence}} AS x, pos FROM (SELECT * REPLACE (floor(line_start / 24)::INT AS line_start) FROM f)),
+g AS (SELECT path, rule_id, line_start, list_reduce(list(x ORDER BY pos), lambda a, b: {{'pos': if({_LATER}, b.pos, a.pos), 'verified': if({_LATER}, b.verified, a.verified), 'fix': if({_LATER}, b.fix, a.fix),
+'votes': a.votes + b.votes, 'models': list_sort(list_distinct(list_concat(a.models, b.models))), 'detector': if(a.detector <> b.detector, 'both', a.detector),
+'confidence': if(a.detector <> b.detector, least(1.0::DOUBLE, greatest(a.confidence, b.confidence) + 0.05::DOUBLE), if({_LATER}, b.confidence, a.confidence))}}) AS r FROM s GROUP BY ALL)
+SELECT path, rule_id, line_start, r.pos AS pos, r.votes AS votes, array_to_string(r.models, ',') AS models, r.detector AS detector, round(r.confidence, 6) AS confidence FROM g""")
 def dedupe_merge(spark, d):
-    out = validate.dedupe(findings(spark, d))
+    """A day is a line, so that keys have several findings."""
+    out = validate.dedupe(findings(spark, d).withColumn("line_start", F.floor(F.col("line_start") / 24).cast("int")))
     return out.select("path", "rule_id", "line_start", "pos", "votes", F.concat_ws(",", "models").alias("models"), "detector", F.round("confidence", 6).alias("confidence"))
 
 
@@ -210,9 +272,19 @@ def line_islands(spark, d):
     return validate.merge_intervals(keyed(findings(spark, d))).drop("island")
 
 
-@query()
+# Rows of an island, one by one: acc is the list of what those before have become, b a list of the next one.
+_MEETS = "(e.detector <> b[1].detector OR (e.detector = 'llm' AND NOT list_has_any(e.models, b[1].models))) AND e.line_start <= b[1].line_end AND b[1].line_start <= e.line_end"
+_AT = f"list_position(list_transform(acc, lambda e: {_MEETS}), true)"
+
+
+@query(f"""WITH $F, k AS (SELECT *, {_KEY} AS key FROM f), m AS (SELECT *, max(line_end) OVER (PARTITION BY path, key ORDER BY line_start, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM k),
+i AS (SELECT *, sum(CASE WHEN seen IS NULL OR line_start > seen THEN 1 ELSE 0 END) OVER (PARTITION BY path, key ORDER BY line_start, pos) AS island FROM m),
+g AS (SELECT path, key, list_reduce(list([{{'pos': pos, 'line_start': line_start, 'line_end': line_end, 'detector': detector, 'votes': votes, 'models': [model], 'verified': verified, 'confidence': confidence}}] ORDER BY pos),
+lambda acc, b: if({_AT} IS NULL OR {_AT} = 0, list_concat(acc, b), list_concat(list_filter(acc, lambda e, n: n <> {_AT}), list_transform(list_filter(acc, lambda e, n: n = {_AT}), lambda e: {{'pos': b[1].pos,
+'line_start': least(e.line_start, b[1].line_start), 'line_end': greatest(e.line_end, b[1].line_end), 'detector': if(e.detector = 'llm' AND b[1].detector = 'llm', 'cross', if(e.detector <> b[1].detector, 'both', e.detector)),
+'votes': e.votes + b[1].votes, 'models': list_sort(list_distinct(list_concat(e.models, b[1].models))), 'verified': e.verified OR b[1].verified, 'confidence': least(1.0::DOUBLE, greatest(e.confidence, b[1].confidence))}})))) AS r FROM i GROUP BY path, key, island)
+SELECT x.pos AS pos, path, key, x.line_start AS line_start, x.line_end AS line_end, x.detector AS detector, x.votes AS votes, array_to_string(x.models, ',') AS models, x.verified AS verified, x.confidence AS confidence FROM (SELECT path, key, unnest(r) AS x FROM g)""")
 def cwe_merge(spark, d):
-    """No SQL: rows join one after another. The tests go through all rows by hand."""
     return validate.merge(keyed(findings(spark, d))).select("pos", "path", "key", "line_start", "line_end", "detector", "votes", F.concat_ws(",", "models").alias("models"), "verified", "confidence")
 
 
@@ -446,21 +518,29 @@ def call_counts(spark, d):
     return o.join(l_, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("calls"))
 
 
-# A customer is a function of the module of its number modulo 50; each module imports all others; an order's line calls the function of the supplier's number.
-@query("""SELECT 'm' || o_custkey % 50 || '.f' || o_custkey AS caller, 'm' || l_suppkey % 50 || '.f' || l_suppkey AS callee, count(*)::BIGINT AS calls FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-WHERE l_suppkey IN (SELECT c_custkey FROM customer) AND o_custkey <> l_suppkey GROUP BY ALL""")
+# A customer is a function of the module of its number modulo 50, every third a method of its class K; each module imports
+# all others. An order's line calls the function of the supplier's number: by the module, bare, by self or by the class.
+_FQN = "'m' || {0} % 50 || if({0} % 3 = 0, '.K', '') || '.f' || {0}"
+
+
+@query(f"""WITH c AS (SELECT {_FQN.format("c_custkey")} AS fqn FROM customer), x AS (SELECT o_custkey AS k, l_suppkey AS s, (o_orderkey + l_linenumber) % 5 AS how FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+e AS (SELECT {_FQN.format("k")} AS caller, CASE WHEN how = 0 THEN 'm' || s % 50 || '.f' || s WHEN how = 1 THEN 'm' || k % 50 || '.f' || s WHEN how = 2 AND k % 3 = 0 THEN 'm' || k % 50 || '.K.f' || s WHEN how = 3 THEN 'm' || k % 50 || '.K.f' || s END AS callee FROM x)
+SELECT caller, callee, count(*)::BIGINT AS calls FROM e WHERE callee IN (SELECT fqn FROM c) AND caller <> callee GROUP BY ALL""")
 def call_edges(spark, d):
-    def make(t, path, kind, scope, name, target, line):
+    def make(t, path, kind, scope, klass, name, target, line):
         none = "cast(array() as array<string>)"
-        return t.selectExpr(f"{path} path", f"'{kind}' kind", f"{scope} scope", "'' klass", f"{name} name", f"{target} target", "0 pos", f"{line} line", f"{none} names", f"{none} flags")
+        return t.selectExpr(f"{path} path", f"'{kind}' kind", f"{scope} scope", f"{klass} klass", f"{name} name", f"{target} target", "0 pos", f"{line} line", f"{none} names", f"{none} flags")
 
     file = "concat('m', {} % 50, '.py')"
+    scope, klass = "concat(if({0} % 3 = 0, 'K.', ''), 'f', {0})", "if({0} % 3 = 0, 'K', '')"
     calls = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber"), F.col("o_orderkey") == F.col("l_orderkey"))
+    calls = calls.withColumn("how", F.expr("(o_orderkey + l_linenumber) % 5"))
+    named = "case how when 0 then concat('x', l_suppkey % 50, '.f', l_suppkey) when 1 then concat('f', l_suppkey) when 2 then concat('self.f', l_suppkey) when 3 then concat('K.f', l_suppkey) else 'print' end"
     c = table(spark, d, "customer")
     modules = c.selectExpr("c_custkey % 50 m").distinct()
-    facts = make(c, file.format("c_custkey"), "def", "concat('f', c_custkey)", "concat('f', c_custkey)", "''", "1")
-    facts = facts.union(make(modules.select("m", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("k")), file.format("m"), "alias", "''", "concat('x', k)", "concat('m', k)", "1"))
-    facts = facts.union(make(calls, file.format("o_custkey"), "call", "concat('f', o_custkey)", "concat('x', l_suppkey % 50, '.f', l_suppkey)", "''", "l_linenumber"))
+    facts = make(c, file.format("c_custkey"), "node", scope.format("c_custkey"), klass.format("c_custkey"), "concat('f', c_custkey)", "''", "1")
+    facts = facts.union(make(modules.select("m", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("k")), file.format("m"), "alias", "''", "''", "concat('x', k)", "concat('m', k)", "1"))
+    facts = facts.union(make(calls, file.format("o_custkey"), "edge", scope.format("o_custkey"), klass.format("o_custkey"), named, "''", "l_linenumber"))
     return graph.call_edges(facts).groupBy("caller", "callee").agg(F.count("*").alias("calls"))
 
 
@@ -546,12 +626,9 @@ def proposal_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", history.proposal_id(F.col("lang"), F.col("source")).alias("proposal"), T.checksum(F.col("text")).alias("checksum"))
 
 
-_SHARED = "regexp_replace(regexp_replace(text, 'sk-([A-Za-z0-9]{3})[A-Za-z0-9_-]{5,}', 'sk-\\1***', 'g'), '" + T.KEY.replace("'", "''") + "', '\\1\\2***', 'g')"
-
-
-@query(f"SELECT doc_id AS pos, source AS path, md5({_SHARED}) AS evidence_md5 FROM documents")
+@query(f"SELECT doc_id AS pos, source AS path, md5({_mask_sql('text')}) AS evidence_md5 FROM (SELECT doc_id, source, {_WITH} AS text FROM documents)")
 def shared_report(spark, d):
-    f = table(spark, d, "documents").selectExpr("doc_id pos", "concat('a/b/', source) path", "text evidence")
+    f = _with_secrets(spark, d).selectExpr("doc_id pos", "concat('a/b/', source) path", "text evidence")
     return report.redacted(f).select("pos", "path", F.md5("evidence").alias("evidence_md5"))
 
 

@@ -100,7 +100,7 @@ def test_cache(spark):
 def test_report_forms(spark):
     f = spark.createDataFrame([(1, "R", "high", "a|b", "x/y.py", 3, "token = 'abcdef123456'"), (2, "S", "low", "t", "x/z.py", 1, "")], "pos int, rule_id string, severity string, title string, path string, line_start int, evidence string")
     assert [r.text for r in report.brief(f).collect()] == ["- **HIGH** a/b (y.py:3)", "- **LOW** t (z.py:1)"]
-    assert report.redacted(f).first().evidence == "token = ***" and report.redacted(f).first().path == "y.py"
+    assert report.redacted(f).first().evidence == "token = '***[已掩码]'" and report.redacted(f).first().path == "y.py"
     d = spark.createDataFrame([("p", "R", 1, 2, "moved"), ("p", "R", None, 9, "added"), ("p", "R", 4, 4, "kept")], "path string, rule_id string, old_line int, new_line int, status string")
     assert [r.text for r in report.diff_markdown(d).collect()] == ["## added (1)", "- R p:9", "## moved (1)", "- R p:1 -> 2", "## kept (1)"]
     one = report.payload(f, "t").first()
