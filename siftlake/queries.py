@@ -477,34 +477,47 @@ _STOP = ", ".join(f"'{w}'" for w in kb.STOP)
 w AS (SELECT ord, word, count(*) AS weight FROM t GROUP BY ALL), s AS (SELECT query_id, ord, sum(weight)::BIGINT AS score FROM q JOIN w USING (word) WHERE word NOT IN ({_STOP}) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord)::INT AS rank FROM s) SELECT query_id, ord, score, rank FROM r WHERE rank <= 5""")
 def kb_topk_keyword(spark, d):
-    items = table(spark, d, "benchmark").selectExpr("item_id ord", "cast(array() as array<string>) tags", "text title")
-    return kb.keyword_top_k(table(spark, d, "documents").selectExpr("doc_id query_id", "text"), items).select("query_id", "ord", "score", "rank")
+    none = "cast(array() as array<string>)"
+    items = table(spark, d, "benchmark").selectExpr("item_id ord", f"{none} triggers", f"{none} tags", "text title", f"{none} not_when", f"{none} require_any_in")
+    return kb.retrieve(table(spark, d, "documents").selectExpr("doc_id query_id", "text"), items, 5).select("query_id", "ord", "score", "rank")
 
 
-def _vector_scores(spark, d) -> DataFrame:
-    """Every 50th vector against all others: queries travel in blocks of 64, each row meets each block."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
-    q = e.where("vec_id % 50 = 0").withColumn("block", F.expr("vec_id div 3200"))
-    blocks = q.groupBy("block").agg(F.collect_list(F.struct(F.col("vec_id").alias("id"), F.col("v").alias("qv"), F.col("label").alias("l"))).alias("qs"))
-    n = e.agg((F.max("vec_id") / 3200).cast("long").alias("m"))
-    rows = e.join(F.broadcast(n)).select("vec_id", "v", "label", F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("block"))  # n is one row
-    pair = rows.join(blocks, "block").select("vec_id", "v", "label", F.explode("qs").alias("q")).where("vec_id <> q.id")
-    cos = F.round(kb.dot(F.col("q.qv"), F.col("v")) / (F.sqrt(kb.dot(F.col("q.qv"), F.col("q.qv"))) * F.sqrt(kb.dot(F.col("v"), F.col("v")))), 6)
-    return pair.select(F.col("q.id").alias("query_id"), F.col("vec_id").alias("ord"), cos.alias("score"), (F.col("q.l") == F.col("label")).alias("good"), F.col("q.l").alias("grp"))
+# A passage of the benchmark is an item: pieces of it are its triggers, vetoes, conditions and tags.
+_ITEMS = """SELECT item_id AS ord, text AS title, {a}(substr(text, 1, 9), replace(substr(text, 12, 7), 'e', 'E')) AS triggers, {a}(lower(substr(text, 1, 4)), 'licensed') AS tags,
+CASE WHEN item_id % 3 = 0 THEN {a}(substr(text, 30, 4)) ELSE {e} END AS not_when, CASE WHEN item_id % 4 = 1 THEN {a}(substr(text, 50, 5), 'License') ELSE {e} END AS require_any_in FROM {t}"""
 
 
-_VEC = """s AS (SELECT q.vec_id AS query_id, e.vec_id AS ord, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score, q.label = e.label AS good, q.label AS grp FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id),
+@query(f"""WITH i AS ({_ITEMS.format(a="list_value", e="[]::VARCHAR[]", t="benchmark")}), q AS (SELECT doc_id, lower(text) AS low, list_distinct(regexp_extract_all(lower(text), '[a-z_]{{3,}}')) AS words FROM documents),
+p AS (SELECT doc_id AS query_id, ord, 3 * len(list_filter(triggers, lambda x: contains(low, lower(x)))) + 2 * len(list_filter(tags, lambda x: list_contains(words, lower(x)) AND lower(x) NOT IN ({_STOP})))
++ len(list_filter(regexp_extract_all(lower(title), '[a-z_]{{3,}}'), lambda x: list_contains(words, x) AND x NOT IN ({_STOP}))) AS score,
+len(list_filter(not_when, lambda x: contains(low, lower(x)))) > 0 OR (len(require_any_in) > 0 AND len(list_filter(require_any_in, lambda x: contains(low, lower(x)))) = 0) AS vetoed FROM q, i)
+SELECT query_id, ord, score::BIGINT AS score, vetoed FROM p WHERE score > 0 OR vetoed""")
+def kb_retrieve(spark, d):
+    """Scores and vetoes of all items for all documents."""
+    items = spark.sql(_ITEMS.format(a="array", e="cast(array() as array<string>)", t="{t}"), t=table(spark, d, "benchmark"))
+    return kb.retrieve(table(spark, d, "documents").selectExpr("doc_id query_id", "text"), items, vetoes=True)
+
+
+def _nearest(spark, d) -> DataFrame:
+    """The five nearest of every 50th vector among all others."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return kb.vector_top_k(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "ord"), 5, others=True)
+
+
+_VEC = """s AS (SELECT q.vec_id AS query_id, e.vec_id AS ord, greatest(round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6), 0.0) AS score, q.label = e.label AS good, q.label AS grp FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord)::INT AS rank FROM s)"""
 
 
 @query(f"WITH {_VEC} SELECT query_id, ord, score, rank FROM r WHERE rank <= 5")
 def kb_topk_vector(spark, d):
-    return kb.top_k(_vector_scores(spark, d), 5).select("query_id", "ord", "score", "rank")
+    return _nearest(spark, d).select("query_id", "ord", "score", "rank")
 
 
 @query(f"WITH {_VEC}, p AS (SELECT grp, query_id, max(good::INT) AS hit FROM r WHERE rank <= 5 GROUP BY ALL) SELECT grp, count(*)::BIGINT AS queries, sum(hit)::BIGINT AS hits, round(avg(hit), 6) AS recall FROM p GROUP BY grp")
 def rag_recall_at_k(spark, d):
-    return evaluate.recall_at_k(kb.top_k(_vector_scores(spark, d), 5), 5)
+    labels = table(spark, d, "embeddings").select("vec_id", "label")
+    found = _nearest(spark, d).join(labels.toDF("ord", "l"), "ord").join(labels.toDF("query_id", "grp"), "query_id")
+    return evaluate.recall_at_k(found.select("query_id", "ord", "score", "rank", (F.col("l") == F.col("grp")).alias("good"), "grp"), 5)
 
 
 # ---- graphs -------------------------------------------------------------------------------------------------
