@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import own_name, part_batches, stage, tidy, utf8
+from .common import own_name, part_batches, release, stage, tidy, utf8
 from .graph import components
 from .vectors import forest
 
 WORDS, LEAST, BANDS, ROWS, FEW, CHUNK = 5, 0.8, 20, 5, 16, 1 << 13
 #: A tile's texts and bytes of shingles at most (one text at least); shingles that are multiplied at once.
-TILE, TILE_BYTES, COLUMNS = 256, 1 << 21, 1 << 12
+TILE, TILE_BYTES, COLUMNS = 128, 1 << 18, 1 << 12
 
 
 def hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -147,6 +147,7 @@ def _across(large: DataFrame, texts: DataFrame, found: DataFrame, words: int, le
         one, two = sides[0], sides[-1]
         linked = alike((one["sizes"], one["hashes"]), (two["sizes"], two["hashes"]), least) & (one["parts"][:, None] != two["parts"][None, :])
         edges = forest(linked)
+        release()
         return pa.table([pa.array([int(one["tks"][x]) for x, _ in edges], pa.int64()), pa.array([int(two["tks"][y]) for _, y in edges], pa.int64())], ["a", "b"])
 
     dealt = met.join(tiles.drop("key", "lo", "hi"), "tile").groupBy("i", "j")
