@@ -78,23 +78,39 @@ def first_seen(f: DataFrame) -> DataFrame:
     return first.withColumn("rule_index", F.row_number().over(Window.orderBy("first_pos")) - 1)
 
 
-def sarif_results(f: DataFrame) -> DataFrame:
-    """A row per finding: rule, its index, level, score, file, line and the result as SARIF 2.1.0 JSON."""
-    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
-    score = F.when(F.col("severity") == "critical", "9.5").when(F.col("severity") == "high", "8.0").when(F.col("severity") == "medium", "5.5").otherwise("3.0")
-    line = F.greatest(F.col("line_start"), F.lit(1))
+def sarif_results(f: DataFrame, root: str = "") -> DataFrame:
+    """A row per finding: rule, its index, level, score, file, line and the result as SARIF 2.1.0 JSON.
+
+    Files below root are named from it, others by their base name; without root paths stay, but for slashes at their
+    beginning. Unknown severities are warnings of 5.0. Messages are cut to 2000 characters, evidence to 500, fixes to 1000.
+    """
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in f.columns else F.lit("")
+    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "low", "note").otherwise("warning")
+    score = F.when(F.col("severity") == "critical", "9.0").when(F.col("severity") == "high", "7.0").when(F.col("severity") == "low", "2.0").otherwise("5.0")
+    path = F.replace(given("path"), F.lit("\\"), F.lit("/"))
+    if root:
+        top = root.replace("\\", "/").rstrip("/") + "/"
+        path = F.when(F.startswith(path, F.lit(top)), F.expr(f"substring(replace(path, '\\\\', '/'), {len(top) + 1})")).otherwise(base_name(path))
+    uri = F.ltrim(path, F.lit("/"))
+    start = F.coalesce(F.when(F.col("line_start") != 0, F.col("line_start")), F.lit(1))
+    end = F.coalesce(F.when(F.col("line_end") != 0, F.col("line_end")), start) if "line_end" in f.columns else start
+    line = F.greatest(start, F.lit(1))
     out = f.join(first_seen(f).select("rule_id", "rule_index"), "rule_id")
-    where = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(line.alias("startLine")).alias("region")).alias("physicalLocation"))
-    message = F.substring(F.concat_ws(" ", "rule_id", "evidence") if "evidence" in f.columns else F.col("rule_id"), 1, 2000)
-    result = F.to_json(F.struct(F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level.alias("level"), F.struct(message.alias("text")).alias("message"), F.array(where).alias("locations")))
+    where = F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), F.struct(line.alias("startLine"), F.greatest(start, end).alias("endLine")).alias("region")).alias("physicalLocation"))
+    message = F.substring(F.trim(F.concat(given("title"), F.lit(" — "), given("analysis")), F.lit(" —")), 1, 2000)
+    print_ = F.concat_ws(":", "rule_id", uri, start.cast("string"))
+    confidence = F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)) if "confidence" in f.columns else F.lit(0.0)
+    more = F.struct(
+        given("severity").alias("severity"), given("category").alias("category"), given("detector").alias("detector"), confidence.alias("confidence"),
+        F.substring(given("evidence"), 1, 500).alias("evidence"), F.substring(given("fix"), 1, 1000).alias("fix"), given("source").alias("source"),
+    )
+    result = F.to_json(F.struct(
+        F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level.alias("level"), F.struct(message.alias("text")).alias("message"), F.array(where).alias("locations"),
+        F.struct(print_.alias("primaryLocationLineHash")).alias("partialFingerprints"), more.alias("properties"),
+    ))
     return out.select("pos", "rule_id", "rule_index", level.alias("level"), score.alias("score"), "path", line.alias("line"), result.alias("result"))
 
 
-def write_sarif(f: DataFrame, path: str) -> None:
-    """SARIF's results as JSON lines, written by the tasks; one header of rules is theirs to share."""
-    sarif_results(f).select("result").write.mode("overwrite").text(path)
-
-
 def markdown(f: DataFrame) -> DataFrame:
     """line_no-free Markdown rows in report order: a summary row per severity, then a table row per finding."""
     rank = F.coalesce(severity_rank(F.col("severity")), F.lit(9))

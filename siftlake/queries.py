@@ -664,10 +664,14 @@ def first_seen_index(spark, d):
     return report.first_seen(findings(spark, d))
 
 
-@query("""WITH $F, g AS (SELECT rule_id, row_number() OVER (ORDER BY min(pos)) - 1 AS i FROM f GROUP BY 1) SELECT pos, f.rule_id, i::INT AS rule_index, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level,
-CASE severity WHEN 'critical' THEN '9.5' WHEN 'high' THEN '8.0' WHEN 'medium' THEN '5.5' ELSE '3.0' END AS score, path, greatest(line_start, 1)::INT AS line FROM f JOIN g ON f.rule_id = g.rule_id""")
+@query("""WITH $F, g AS (SELECT rule_id, row_number() OVER (ORDER BY min(pos)) - 1 AS i FROM f GROUP BY 1), x AS (SELECT *, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'low' THEN 'note' ELSE 'warning' END AS level,
+CASE WHEN line_start = 0 THEN 1 ELSE line_start END AS a, CASE WHEN line_end = 0 THEN 1 ELSE line_end END AS b FROM f)
+SELECT pos, x.rule_id, i::INT AS rule_index, level, CASE severity WHEN 'critical' THEN '9.0' WHEN 'high' THEN '7.0' WHEN 'low' THEN '2.0' ELSE '5.0' END AS score, path, greatest(a, 1)::INT AS line,
+'{"ruleId":"' || x.rule_id || '","ruleIndex":' || i || ',"level":"' || level || '","message":{"text":"' || x.rule_id || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || path || '"},"region":{"startLine":' || greatest(a, 1) || ',"endLine":' || greatest(a, b)
+|| '}}}],"partialFingerprints":{"primaryLocationLineHash":"' || x.rule_id || ':' || path || ':' || a || '"},"properties":{"severity":"' || severity || '","category":"' || category || '","detector":"' || detector || '","confidence":0.5,"evidence":"","fix":"' || replace(fix[:1000], '"', chr(92) || '"') || '","source":""}}' AS result FROM x JOIN g ON x.rule_id = g.rule_id""")
 def sarif_json(spark, d):
-    return report.sarif_results(findings(spark, d)).drop("result")
+    """Every finding's SARIF result, as text."""
+    return report.sarif_results(findings(spark, d).withColumn("confidence", F.lit(0.5)))
 
 
 @query("SELECT p_partkey AS pos, p_brand AS rule_id, p_type AS category FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_size > 45) AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey = 1)")
