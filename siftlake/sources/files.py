@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import fnmatch
+import json
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # What a walk leaves out by default.
 IGNORED = (".git/", "__pycache__/", "node_modules/", ".venv/", "venv/", "dist/", "build/")
@@ -24,14 +27,86 @@ def ignore_regex(patterns) -> str:
     return f"^(?:{'|'.join(parts)})$" if parts else "^$"
 
 
-def read_files(spark: SparkSession, root: str, exts=EXTS, ignore=IGNORED) -> DataFrame:
-    """path (relative to root), text: every file below root of the suffixes, without ignored ones. A file of its own is taken as it is."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    full = F.regexp_replace("path", "^file:/+", "/")
-    rel = F.regexp_replace(full, "^" + re.escape(root.removeprefix("file://").rstrip("/")) + "/?", "")
-    rel = F.when(rel == "", F.element_at(F.split(full, "/"), -1)).otherwise(rel)
-    suffix = F.regexp_extract("path", r"(\.[^./]+)$", 1)
-    return raw.select(rel.alias("path"), F.decode("content", "UTF-8").alias("text"), suffix.alias("suffix")).where(F.col("suffix").isin(*exts) & ~F.rlike("path", F.lit(ignore_regex(ignore)))).drop("suffix")
+# Folders that the walk of an audit leaves out, whatever the ignore file says.
+AUDIT_IGNORED = (".git", ".venv", "venv", "__pycache__", "node_modules", "out", "data", ".cache", "build", "dist")
+#: Bytes of files to a partition, about.
+PART = 1 << 25
+
+
+class SourceTree(DataSource):
+    """Source files below a local or shared folder: path (relative to root), text.
+
+    The listing is the plan: folders and files that are ignored are pruned before anything in them is opened, and files are
+    dealt to partitions by their sizes. Spark's own file sources never list names that begin with an underscore or a dot,
+    as ``__init__.py`` does. Options: root, exts, ignore (globs) and folders (names), each a JSON array. Text that isn't
+    UTF-8 has replacement characters; a file that goes away between listing and reading gives no row, one that can't be
+    read otherwise fails the task.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "sourcetree"
+
+    def schema(self) -> str:
+        return "path string, text string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return TreeReader(self.options)
+
+
+class TreeReader(DataSourceReader):
+    def __init__(self, options):
+        self.root = options["root"].removeprefix("file://")
+        self.exts, ignore, self.folders = (json.loads(options.get(k, "[]")) for k in ("exts", "ignore", "folders"))
+        self.ignored = re.compile(ignore_regex(ignore))
+
+    def listing(self):
+        """(path, size) of the files that stay, in order; ignored folders are not entered."""
+        if os.path.isfile(self.root):
+            yield self.root, os.path.getsize(self.root)
+            return
+        for top, folders, files in os.walk(self.root):
+            at = os.path.relpath(top, self.root).replace(os.sep, "/")
+            place = lambda n, at=at: n if at == "." else f"{at}/{n}"
+            folders[:] = sorted(d for d in folders if d not in self.folders and not self.ignored.match(place(d)))
+            for n in sorted(files):
+                full = os.path.join(top, n)
+                if os.path.splitext(n)[1] in self.exts and not self.ignored.match(place(n)) and os.path.isfile(full):
+                    yield full, os.path.getsize(full)
+
+    def partitions(self) -> list[InputPartition]:
+        parts, held, size = [], [], 0
+        for path, n in self.listing():
+            held.append(path)
+            size += n + 4096
+            if size >= PART:
+                parts.append(InputPartition(held))
+                held, size = [], 0
+        return [*parts, InputPartition(held)]
+
+    def read(self, partition):
+        one = os.path.isfile(self.root)
+        for path in partition.value:
+            try:
+                with open(path, encoding="utf-8", errors="replace", newline="") as f:
+                    text = f.read()
+            except FileNotFoundError:
+                continue
+            yield os.path.basename(path) if one else os.path.relpath(path, self.root).replace(os.sep, "/"), text
+
+
+def read_files(spark: SparkSession, root: str, exts=EXTS, ignore=IGNORED, folders=()) -> DataFrame:
+    """path (relative to root), text: every file below root of the suffixes, without ignored ones. A file of its own is taken
+    as it is. folders: names of folders that are never entered (AUDIT_IGNORED for the walk of an audit). Roots of another
+    file system go through Spark's binary files, which don't list names with an underscore or dot at their beginning."""
+    if "://" not in root or root.startswith("file://"):
+        spark.dataSource.register(SourceTree)
+        return spark.read.format("sourcetree").options(root=root, exts=json.dumps(list(exts)), ignore=json.dumps(list(ignore)), folders=json.dumps(list(folders))).load()
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(exts) + "}").load(root)
+    rel = F.regexp_replace("path", "^" + re.escape(root.rstrip("/")) + "/?", "")
+    rel = F.when(rel == "", F.element_at(F.split("path", "/"), -1)).otherwise(rel)
+    out = raw.select(rel.alias("path"), F.decode("content", "UTF-8").alias("text")).where(~F.rlike("path", F.lit(ignore_regex(ignore))))
+    return out.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, folders)))) if folders else out
 
 
 def ignore_patterns(spark: SparkSession, root: str, name: str = ".auditignore") -> list[str]:
