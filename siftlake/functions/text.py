@@ -68,6 +68,16 @@ def valid_id(col: Column) -> Column:
     return F.rlike(col, F.lit(r"^[A-Za-z0-9][A-Za-z0-9_.\-]{1,63}$"))
 
 
+def stamp(col: Column) -> Column:
+    """A time as ISO text to the second, as records keep it."""
+    return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def epoch(col: Column) -> Column:
+    """Seconds since 1970 of an ISO text, null where it is none."""
+    return F.unix_timestamp(F.try_to_timestamp(col))
+
+
 def checksum(col: Column) -> Column:
     """The first 32 hexadecimal digits of the sha256."""
     return F.substring(F.sha2(col, 256), 1, 32)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,13 @@ def against_baseline(truth: DataFrame, hits: DataFrame, on: list[str]) -> DataFr
     return now.groupBy("pattern").agg(is_("T", True).alias("kept_t"), is_("T", False).alias("lost_t"), is_("F", True).alias("still_fp"), is_("F", False).alias("removed_fp"))
 
 
+def novel(truth: DataFrame, hits: DataFrame, on: list[str]) -> DataFrame:
+    """Hits that no row of truth judges; nulls in on are alike."""
+    known = truth.select(*(F.col(c).alias(f"_{c}") for c in on)).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
+    return hits.join(known, reduce(lambda a, b: a & b, same), "left_anti")
+
+
 def jaccard(runs: DataFrame, run: str, key: str) -> DataFrame:
     """For every two runs that share a key: shared, all keys of both, and their ratio. Others have 0; consistency() counts them."""
     d = runs.select(run, key).distinct()
@@ -167,7 +176,8 @@ def flips(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 
 
 def verdict_pivot(rows: DataFrame, by: str) -> DataFrame:
-    """Counts of T, F and ? per group, and T / (T + F)."""
+    """Counts of T, F and ? per group, and T / (T + F). Other verdicts, null ones too, are ?."""
+    rows = rows.withColumn("verdict", F.when(F.col("verdict").isin("T", "F"), F.col("verdict")).otherwise("?"))
     p = rows.groupBy(by).pivot("verdict", ["T", "F", "?"]).agg(F.count(F.lit(1)))
     t, f = F.coalesce("T", F.lit(0)), F.coalesce("F", F.lit(0))
     return p.select(by, t.alias("t"), f.alias("f"), F.coalesce("?", F.lit(0)).alias("open"), F.round(F.try_divide(t, t + f), 6).alias("precision"))

@@ -56,11 +56,11 @@ def key_sets(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     return both.agg(F.count_if(F.col("o").isNotNull() & F.col("n").isNotNull()).alias("kept"), F.count_if(F.col("o").isNull()).alias("added"), F.count_if(F.col("n").isNull()).alias("removed"))
 
 
-def trend(points: DataFrame, order: list[str], value: str) -> DataFrame:
-    """points, one row a run: how many, first, last, change and largest value by order."""
+def trend(points: DataFrame, order: list[str], value: str, target: str | None = None) -> DataFrame:
+    """points, one row a run: how many, first, last, change and largest value by order; with target its distinct values, sorted."""
     at = F.struct(*order)
     first, last = F.min_by(value, at), F.max_by(value, at)
-    return points.agg(F.count("*").alias("runs"), first.alias("first"), last.alias("last"), (last - first).alias("delta"), F.max(value).alias("largest"))
+    return points.agg(F.count("*").alias("runs"), first.alias("first"), last.alias("last"), (last - first).alias("delta"), F.max(value).alias("largest"), *([F.array_sort(F.collect_set(target)).alias("targets")] if target else []))
 
 
 def latest(rows: DataFrame, by: str, order: list, n: int) -> DataFrame:

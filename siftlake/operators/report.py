@@ -59,6 +59,13 @@ def stats(f: DataFrame) -> DataFrame:
     return g.select(kind.alias("kind"), F.coalesce("severity", "category", "detector", F.lit("all")).alias("value"), "count")
 
 
+def trimmed(raw: DataFrame, kept: DataFrame) -> DataFrame:
+    """The figures of a report after findings were taken out: those of stats over what is kept, and raw and removed counts."""
+    counts = raw.agg(F.count("*").alias("n")).select(F.lit("raw").alias("kind"), F.lit("all").alias("value"), F.col("n").alias("count"))
+    gone = raw.select(F.lit(1).alias("x")).unionAll(kept.select(F.lit(-1).alias("x"))).agg(F.coalesce(F.sum("x"), F.lit(0)).alias("n"))
+    return stats(kept).unionAll(counts).unionAll(gone.select(F.lit("removed"), F.lit("all"), "n"))
+
+
 def at_least(f: DataFrame, severity: str) -> DataFrame:
     """Findings of the severity or a worse one; unknown severities stay."""
     from ..schema import SEVERITIES

@@ -105,3 +105,23 @@ def test_report_forms(spark):
     assert [r.text for r in report.diff_markdown(d).collect()] == ["## added (1)", "- R p:9", "## moved (1)", "- R p:1 -> 2", "## kept (1)"]
     one = report.payload(f, "t").first()
     assert (one.total, one.high, len(one.top)) == (2, 1, 2)
+
+
+def test_counts_after_taking_out(spark):
+    f = spark.createDataFrame([("high", "security", "llm"), ("low", "style", "static"), ("low", "style", "llm")], "severity string, category string, detector string")
+    got = {(r.kind, r.value): r["count"] for r in report.trimmed(f, f.where("severity = 'high'")).collect()}
+    assert got == {("total", "all"): 1, ("severity", "high"): 1, ("category", "security"): 1, ("detector", "llm"): 1, ("raw", "all"): 3, ("removed", "all"): 2}
+
+
+def test_verdicts_novel_hits_targets_and_times(spark):
+    from siftlake.functions import text as T
+    from siftlake.operators import evaluate, history
+
+    v = spark.createDataFrame([("a", "T"), ("a", "F"), ("a", "maybe"), ("a", None), ("b", "?")], "rule string, verdict string")
+    assert sorted(tuple(r) for r in evaluate.verdict_pivot(v, "rule").collect()) == [("a", 1, 1, 2, 0.5), ("b", 0, 0, 1, None)]
+    truth, hits = spark.createDataFrame([("p", 1), (None, 2)], "path string, line int"), spark.createDataFrame([("p", 1), (None, 2), ("q", 1)], "path string, line int")
+    assert [tuple(r) for r in evaluate.novel(truth, hits, ["path", "line"]).collect()] == [("q", 1)]
+    points = spark.createDataFrame([(2, 5, "y"), (1, 9, "x"), (3, 6, "x")], "n int, total int, target string")
+    assert tuple(history.trend(points, ["n"], "total", "target").first()) == (3, 9, 6, -3, 9, ["x", "y"])
+    t = spark.sql("select timestamp'2024-01-02 03:04:05.6' a, '2024-01-02T03:04:05' b, 'no' c").select(T.stamp(F.col("a")), T.epoch(F.col("b")), T.epoch(F.col("c"))).first()
+    assert tuple(t) == ("2024-01-02T03:04:05", 1704164645, None)
