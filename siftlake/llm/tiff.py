@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import part_batches, table, tidy, utf8
+from .common import part_batches, renamed, table, tidy, utf8
 
 # Fixed values of the format: compression schemes, field types' sizes, tags.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -233,7 +233,8 @@ def pages(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc
     """One row per page of each file: the kept columns, then page (from 0), sizes, samples (rows one after another) and figures of them.
 
     A null or unreadable file gives one row whose page is null and whose error says why; a file's pages are all
-    given or none. Repeated rows are decoded each. Columns that are not kept are not read.
+    given or none. Repeated rows are decoded each, files of any length whole. Columns that are not kept are not read; a kept
+    one named like a column of pages gets an underscore.
     """
     fields = [f for f in media.schema.fields if f.name in keep]
 
@@ -242,7 +243,8 @@ def pages(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc
         p = p[p > 0]
         return float(a.mean()), float(a.std()), float(-(p * np.log2(p)).sum())
 
-    names = [*(f.name for f in fields), *(x.split()[0] for x in PAGE.split(", "))]
+    own = [x.split()[0] for x in PAGE.split(", ")]
+    names = [*renamed(fields, own), *own]
     kinds = [pa.int32()] * 6 + [pa.binary()] + [pa.float64()] * 3 + [pa.string()]
 
     def work(batches):
@@ -263,7 +265,7 @@ def pages(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc
                 kept = [part.column(f.name).take(pa.array(at, pa.int64())) for f in fields]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [PAGE])
+    schema = ", ".join([f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=False)] + [PAGE])
     return media.select(column, *[f.name for f in fields if f.name != column]).mapInArrow(work, schema)
 
 

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from siftlake.llm import langid, pieces, suffixtree, tiff, tokenids, urltree
 
@@ -91,6 +92,8 @@ def test_tiff(spark):
     rows = tiff.pages(tiff.to_media(spark.createDataFrame([(*t, "m") for t in texts], "doc_id long, text string, media string")), keep=("doc_id", "n_bytes")).collect()
     pad = lambda b: b + bytes(-len(b) % 64 or (0 if b else 64))
     assert sorted((str(r.doc_id), r.n_bytes, bytes(r.samples)) for r in rows) == sorted((str(i), len((t or "").encode()), pad((t or "").encode())) for i, t in texts)
+    clash = tiff.pages(df.withColumns({"page": F.lit("p"), "Error": F.lit("e")}), keep=("doc_id", "page", "Error"))
+    assert clash.columns[:4] == ["doc_id", "page_", "Error_", "page"] and {(r.page_, r.Error_) for r in clash.collect()} == {("p", "e")}
     assert {r.compression for r in rows} == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE} and tiff.pages(tiff.to_media(df.selectExpr("doc_id", "'x' text").limit(0))).count() == 0
     big = b"MM\0*" + (14).to_bytes(4, "big") + b"\0\1\2\3\0\0"  # 16-bit, big-endian, one strip of 2 samples, horizontal predictor
     tags = [(256, 3, 2 << 16), (257, 3, 1 << 16), (258, 3, 16 << 16), (259, 3, 1 << 16), (273, 4, 8), (279, 4, 4), (317, 3, 2 << 16)]
