@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,16 +91,27 @@ def external_callers(edges: DataFrame, prefix: str, n: int = 12) -> DataFrame:
     return edges.where(inside("callee") & ~inside("caller")).groupBy("caller", "callee").agg(F.min("line").alias("line")).orderBy("caller", "callee").limit(n)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, rounds: int = 6) -> DataFrame:
-    """edges(src, dst), seeds(node) -> node, round in which it was first reached (0 for seeds); rounds at most.
+def reach(edges: DataFrame, seeds: DataFrame, rounds: int | None = 6) -> DataFrame:
+    """edges(src, dst), seeds(node) -> node, round in which it was first reached (0 for seeds); rounds at most, None for no bound.
 
     Each round joins only what the round before found, which is written; nodes reached before are dropped by an
     anti-join. It ends early when a round finds nothing.
     """
-    found = frontier = stage(seeds.select("node").distinct().withColumn("round", F.lit(0)), "reach")
-    e = stage(edges.select("src", "dst").distinct(), "reach-edges")
-    for k in range(1, rounds + 1):
-        step = e.join(frontier, e.src == frontier.node).select(F.col("dst").alias("node")).distinct()
+    plain = lambda d: d.withColumn("foreign", F.lit(True))
+    return colours(plain(edges.select("src", "dst")), plain(seeds.select("node")), rounds).drop("foreign")
+
+
+def colours(edges: DataFrame, seeds: DataFrame, rounds: int | None = 6) -> DataFrame:
+    """edges(src, dst, foreign), seeds(node, foreign) -> node, foreign, round in which it was first reached (0 for seeds).
+
+    A node's colour is decided in that round and stays: foreign if an edge that reaches it then is foreign itself or
+    comes from a foreign node, else that of the command line. A node that nothing reached before has no coloured
+    neighbour older than the last round, so a round joins only what the round before found.
+    """
+    found = frontier = stage(seeds.groupBy("node").agg(F.max("foreign").alias("foreign")).withColumn("round", F.lit(0)), "reach")
+    e = stage(edges.groupBy("src", "dst").agg(F.max("foreign").alias("by")), "reach-edges")
+    for k in count(1) if rounds is None else range(1, rounds + 1):
+        step = e.join(frontier, e.src == frontier.node).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("by") | F.col("foreign")).alias("foreign"))
         frontier = stage(step.join(found.select("node"), "node", "left_anti").withColumn("round", F.lit(k)), "reach")
         if frontier.isEmpty():
             break
@@ -163,8 +176,9 @@ def taint_paths(facts: DataFrame, rounds: int = 6, keep_cli: bool = False, sourc
 
     Variables are nodes (function, name); an assignment leads from the names on its right to the one on its left, a
     call from an argument's names to the callee's parameter. Assignments of foreign data seed the rounds, those that
-    hold __file__ don't. Data that went through a parameter counts as foreign whatever it was before. origin: source or
-    external with file and line of the first assignment, else the first two callers that pass it, else direct.
+    hold __file__ don't. What the command line's parser gave keeps that colour through assignments; a parameter is
+    foreign whatever it was given (see colours). origin: source or external with file and line of the first assignment,
+    else the first two callers that pass it, else direct.
     """
     fn = F.concat_ws(".", module_name(F.col("path")), "scope")
     node = lambda f, v: F.concat_ws("#", f, v)
@@ -174,7 +188,7 @@ def taint_paths(facts: DataFrame, rounds: int = 6, keep_cli: bool = False, sourc
     assign = facts.where("kind = 'assign'").select(
         "path", fn.alias("fn"), "name", "names", "line", is_source.alias("source"), external(F.col("target")).alias("ext"), F.contains(bare, F.lit("parse_args(")).alias("cli"), F.contains(bare, F.lit("__file__")).alias("own"),
     )
-    seeds = assign.where("source or ((ext or cli) and not own)").select(node(F.col("fn"), F.col("name")).alias("node"), (F.col("cli")).alias("cli"))
+    seeds = assign.where("source or ((ext or cli) and not own)").groupBy(node(F.col("fn"), F.col("name")).alias("node")).agg((~F.max("cli")).alias("foreign"))
     within = assign.select("fn", "name", F.explode("names").alias("used")).select(node(F.col("fn"), F.col("used")).alias("src"), node(F.col("fn"), F.col("name")).alias("dst"))
     args = stage(facts.where("kind = 'arg'").select(fn.alias("fn"), "path", "line", "name", "pos", "target", "names", "flags"), "taint-args")
     edges = call_edges(facts).select("callee", F.col("path").alias("p"), F.col("line").alias("l"), F.col("caller").alias("c"))
@@ -182,11 +196,9 @@ def taint_paths(facts: DataFrame, rounds: int = 6, keep_cli: bool = False, sourc
     used = args.select("fn", "path", "line", "name", "pos", F.explode("names").alias("used"))
     passed = used.join(edges, (used.path == edges.p) & (used.line == edges.l) & (used.fn == edges.c)).join(params, ["callee", "pos"])
     across = stage(passed.select(node(F.col("fn"), F.col("used")).alias("src"), node(F.col("callee"), F.col("param")).alias("dst"), F.concat(F.col("fn"), F.lit("("), base, F.lit(":"), F.col("line").cast("string"), F.lit(")")).alias("via")).distinct(), "taint-across")
-    flow = within.union(across.select("src", "dst"))
-    hot = stage(reach(flow, seeds.select("node"), rounds).select("node"), "taint-hot")
-    entered = across.join(hot, F.col("src") == F.col("node"), "left_semi")
-    foreign = reach(flow, seeds.where("not cli").select("node").union(entered.select(F.col("dst").alias("node"))), rounds).select("node")
-    hot = hot.join(foreign.distinct().withColumn("foreign", F.lit(True)), "node", "left")
+    flow = within.withColumn("foreign", F.lit(False)).union(across.select("src", "dst", F.lit(True)))
+    hot = stage(colours(flow, seeds, rounds).select("node", "foreign"), "taint-hot")
+    entered = across.join(hot.select("node"), F.col("src") == F.col("node"), "left_semi")
     cwe = F.lit(None).cast("string")
     entry = catalogued(F.col("name"), sinks)
     for name, c in sinks.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schema
@@ -564,6 +564,25 @@ def reach_fixpoint(spark, d):
     return graph.reach(e, spark.range(1, 2).toDF("node"))
 
 
+def _colour_rounds(rounds: int) -> str:
+    """SQL of the rounds of graph.colours over e(src, dst, by) and c0(node, f): a table a round of what it reaches first."""
+    out = []
+    for k in range(1, rounds + 1):
+        old = " AND ".join(f"dst NOT IN (SELECT node FROM c{i})" for i in range(k))
+        out.append(f"c{k} AS MATERIALIZED (SELECT dst AS node, bool_or(by OR f) AS f FROM e JOIN c{k - 1} ON src = node WHERE {old} GROUP BY dst)")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT node, f AS \"foreign\", {k}::INT AS round FROM c{k}" for k in range(rounds + 1))
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nxt, l_shipmode FROM lineitem),
+e AS (SELECT l_partkey AS src, nxt AS dst, bool_or(l_shipmode = 'AIR') AS by FROM l WHERE nxt IS NOT NULL GROUP BY 1, 2),
+c0 AS (SELECT p_partkey AS node, p_size = 50 AS f FROM part WHERE p_size >= 49), {_colour_rounds(6)}""")
+def taint_colours(spark, d):
+    """Parts in an order's sequence as variables; what goes by air goes through a parameter."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), (F.col("l_shipmode") == "AIR").alias("foreign")).where("dst is not null")
+    return graph.colours(e, table(spark, d, "part").where("p_size >= 49").selectExpr("p_partkey node", "p_size = 50 foreign"))
+
+
 @query("""WITH $F, r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE rule_id WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END, line_start, pos) AS n FROM f) SELECT path, rule_id, line_start, pos FROM r WHERE n = 1""")
 def origin_priority(spark, d):
     rank = F.when(F.col("rule_id") == "error", 0).when(F.col("rule_id") == "click", 1).when(F.col("rule_id") == "view", 2).otherwise(3)
