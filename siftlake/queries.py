@@ -565,21 +565,21 @@ def reach_fixpoint(spark, d):
 
 
 def _colour_rounds(rounds: int) -> str:
-    """SQL of the rounds of graph.colours over e(src, dst, by) and c0(node, f): a table a round of what it reaches first."""
+    """SQL of the rounds of graph.colours over e(src, dst, via) and c0(node, f): a table a round of what it reaches first."""
     out = []
     for k in range(1, rounds + 1):
         old = " AND ".join(f"dst NOT IN (SELECT node FROM c{i})" for i in range(k))
-        out.append(f"c{k} AS MATERIALIZED (SELECT dst AS node, bool_or(by OR f) AS f FROM e JOIN c{k - 1} ON src = node WHERE {old} GROUP BY dst)")
+        out.append(f"c{k} AS MATERIALIZED (SELECT dst AS node, bool_or(via OR f) AS f FROM e JOIN c{k - 1} ON src = node WHERE {old} GROUP BY dst)")
     return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT node, f AS \"foreign\", {k}::INT AS round FROM c{k}" for k in range(rounds + 1))
 
 
-@query(f"""WITH l AS (SELECT l_orderkey, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nxt, l_shipmode FROM lineitem),
-e AS (SELECT l_partkey AS src, nxt AS dst, bool_or(l_shipmode = 'AIR') AS by FROM l WHERE nxt IS NOT NULL GROUP BY 1, 2),
+@query(f"""WITH l AS (SELECT l_orderkey, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS nxt, l_returnflag FROM lineitem),
+e AS (SELECT l_partkey AS src, nxt AS dst, bool_or(l_returnflag = 'R') AS via FROM l WHERE nxt IS NOT NULL GROUP BY 1, 2),
 c0 AS (SELECT p_partkey AS node, p_size = 50 AS f FROM part WHERE p_size >= 49), {_colour_rounds(6)}""")
 def taint_colours(spark, d):
-    """Parts in an order's sequence as variables; what goes by air goes through a parameter."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), (F.col("l_shipmode") == "AIR").alias("foreign")).where("dst is not null")
+    """Parts in an order's sequence as variables; what was returned went through a parameter."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), (F.col("l_returnflag") == "R").alias("foreign")).where("dst is not null")
     return graph.colours(e, table(spark, d, "part").where("p_size >= 49").selectExpr("p_partkey node", "p_size = 50 foreign"))
 
 
@@ -653,6 +653,29 @@ def store_checks(spark, d):
     return store.checked(new, builtin).groupBy("id", "reason").agg(F.count("*").alias("rows"))
 
 
+def _tree_sql(rows: str) -> str:
+    """SQL of store.tree_hash over a table with a column text: a level of nodes after the other."""
+    levels = ["n8 AS (SELECT left(leaf, 8) AS pre, sha256(string_agg(leaf, '' ORDER BY leaf)) AS hash, sum(n) AS n FROM leaves GROUP BY 1)"]
+    levels += [f"n{k} AS (SELECT left(pre, {k}) AS pre, sha256(string_agg(hash, '' ORDER BY pre)) AS hash, sum(n) AS n FROM n{k + 2} GROUP BY 1)" for k in (6, 4, 2, 0)]
+    return f"leaves AS (SELECT sha256(text || '#' || count(*)) AS leaf, count(*) AS n FROM {rows} GROUP BY text), " + ", ".join(levels)
+
+
+@query(f"""WITH r AS (SELECT '{{"id":"R-' || p_partkey || '","severity":' || CASE WHEN p_size > 45 THEN 'null' ELSE '"low"' END || ',"title":"' || p_name || '"}}' AS text FROM part), {_tree_sql("r")} SELECT 'pack' AS kind, n::BIGINT AS rows, hash[:32] AS checksum FROM n0""")
+def pack_tree(spark, d):
+    """The checksum of a pack of all parts as rules."""
+    rows = table(spark, d, "part").selectExpr("concat('R-', p_partkey) id", "if(p_size > 45, null, 'low') severity", "p_name title")
+    return store.pack_checksum(rows)
+
+
+@query("""WITH n AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'x y' ELSE 'K-' || p_partkey END AS id, p_partkey AS pos, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '(' || p_name WHEN 2 THEN p_name || '[' ELSE '(' || p_name || ')+' END AS pattern FROM part)
+SELECT id, pos::BIGINT AS pos, CASE WHEN id = 'x y' THEN 'id' WHEN pos % 4 <> 3 THEN 'pattern' ELSE '' END AS reason FROM n""")
+def rule_admission(spark, d):
+    """Rules whose patterns are empty, don't compile or do."""
+    pattern = "case p_partkey % 4 when 0 then '' when 1 then concat('(', p_name) when 2 then concat(p_name, '[') else concat('(', p_name, ')+') end pattern"
+    new = table(spark, d, "part").selectExpr("p_partkey pos", "if(p_partkey % 5 = 0, 'x y', concat('K-', p_partkey)) id", "p_name title", "'low' severity", "'security' category", pattern)
+    return store.checked(new, new.select("id").limit(0)).select("id", "pos", "reason")
+
+
 @query("SELECT doc_id, 'FP-' || lang || '-' || substr(sha1(source), 1, 6) AS proposal, substr(sha256(text), 1, 32) AS checksum FROM documents")
 def proposal_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", history.proposal_id(F.col("lang"), F.col("source")).alias("proposal"), T.checksum(F.col("text")).alias("checksum"))
