@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schema
 from .functions import text as T
-from .operators import cache, entropy, evaluate, graph, history, kb, lines, masks, replies, report, rules, store, validate
+from .operators import cache, changes, entropy, evaluate, graph, history, kb, lines, masks, replies, report, rules, store, validate
+from .plans.staging import shared_dir
+from .streaming import incremental
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -564,6 +568,20 @@ def reach_fixpoint(spark, d):
     return graph.reach(e, spark.range(1, 2).toDF("node"))
 
 
+@query("""WITH RECURSIVE c AS (SELECT c_custkey AS n, (c_custkey * 7 + 1) % (SELECT count(*) FROM customer) AS t, c_acctbal < 0 AS cut FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+a AS (SELECT n FROM c WHERE cut UNION SELECT c.n FROM a JOIN c ON c.t = a.n) SELECT 'm' || n || '.f' AS fqn FROM a""")
+def call_changes(spark, d):
+    """Customers as files, some calling another's function; those in debt stop to. All functions that can notice."""
+    c = table(spark, d, "customer")
+    n = c.count()
+    calls = "c_mktsegment in ('BUILDING', 'MACHINERY')"
+    source = lambda when: F.expr(f"if({when}, concat('from m', (c_custkey * 7 + 1) % {n}, ' import f as g\\n\\ndef f():\\n    g()\\n'), 'def f():\\n    pass\\n')").alias("text")
+    path = F.expr("concat('m', c_custkey, '.py')").alias("path")
+    before = changes.refresh(changes.empty(spark), c.select(path, source(calls)))
+    after = changes.refresh(before, c.select(path, source(f"{calls} and c_acctbal >= 0")))
+    return changes.affected(before, after).select("fqn")
+
+
 def _colour_rounds(rounds: int) -> str:
     """SQL of the rounds of graph.colours over e(src, dst, via) and c0(node, f): a table a round of what it reaches first."""
     out = []
@@ -630,6 +648,18 @@ def rising_stamps(spark, d):
     return history.stamped(rows, "ts", "l_suppkey", "i").select("i", F.unix_millis("stamp").alias("stamp_ms"))
 
 
+@query("""SELECT event_type || '|u' || user_id || '|' || CASE WHEN event_id % 3 = 0 THEN 'llm' ELSE 'static' END AS key, event_type AS rule, count(*)::BIGINT AS count, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1, 2""")
+def feedback_stream(spark, d):
+    """Events as a stream of feedback, kept as state."""
+    # a stream takes a pattern where it would not take the path of one file
+    rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    said = rows.selectExpr("cast(ts as timestamp) ts", "event_type rule", "concat('a/u', user_id) path", "if(event_id % 3 = 0, 'llm', 'static') title")
+    out = f"{shared_dir(spark)}/feedback-{uuid4().hex}"
+    incremental.keep_feedback(said, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    kept = incremental.feedback_now(spark, f"{out}/rows")
+    return kept.select("key", "rule", "count", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
+
+
 @query("""WITH e AS (SELECT md5(text) AS key, max(doc_id) AS ts, arg_max(lang, doc_id) AS model FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1), k AS (SELECT * FROM e ORDER BY ts DESC, key LIMIT 60)
 SELECT model, count(*)::BIGINT AS entries FROM k GROUP BY model""")
 def cache_prune(spark, d):
