@@ -22,9 +22,15 @@ def prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     return p, r, F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
-def first_match(cl: DataFrame, expected: DataFrame, reach: int = 2) -> DataFrame:
-    """cl(path, cluster, lo, hi, keys), expected(path, key, line, ord): for each cluster the first expected row within reach whose key it holds."""
-    hit = cl.join(expected, "path").where(F.col("line").between(F.col("lo") - reach, F.col("hi") + reach) & F.array_contains("keys", F.col("key")))
+def first_match(cl: DataFrame, expected: DataFrame, reach: int = 2, step: int = 64) -> DataFrame:
+    """cl(path, cluster, lo, hi, keys), expected(path, key, line, ord): for each cluster the first expected row within reach whose key it holds.
+
+    Both sides meet on path, key and a bin of step lines, so a path with many of both makes no more pairs than lie close.
+    """
+    bins = F.sequence(F.floor((F.col("lo") - reach) / step), F.floor((F.col("hi") + reach) / step))
+    spans = cl.withColumn("_bin", F.explode(bins)).withColumn("_key", F.explode(F.array_distinct("keys")))
+    wanted = expected.withColumns({"_bin": F.floor(F.col("line") / step), "_key": F.col("key")})
+    hit = spans.join(wanted, ["path", "_key", "_bin"]).where(F.col("line").between(F.col("lo") - reach, F.col("hi") + reach)).drop("_key", "_bin")
     n = F.row_number().over(Window.partitionBy("path", "cluster").orderBy("ord"))
     return hit.withColumn("n", n).where("n = 1").drop("n")
 

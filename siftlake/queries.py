@@ -11,6 +11,7 @@ from . import schema
 from .functions import text as T
 from .operators import cache, changes, entropy, evaluate, graph, history, kb, lines, masks, replies, report, rules, store, validate
 from .plans.staging import shared_dir
+from .sources import files
 from .streaming import incremental
 
 QUERIES: dict = {}
@@ -728,6 +729,18 @@ def pattern_preview(spark, d):
     return store.preview(document_lines(spark, d), "(the|und)", 20)
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS n, p_size AS z FROM part)
+SELECT 'DEP-' || CASE WHEN z % 3 = 0 THEN 'CVE-' || k ELSE 'G-' || k END AS rule_id, 'high' AS severity, n || '==' || z AS evidence, CASE WHEN z % 5 = 0 THEN 'see the advisory' ELSE z || '.1, ' || z || '.2' END AS fix, 'r' || k AS path FROM p WHERE k % 2 = 0
+UNION ALL SELECT 'DEP-NPM-' || n, CASE z % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'medium' END, n, 'see the advisory', 'r' || k FROM p WHERE k % 2 = 1""")
+def dependency_reports(spark, d):
+    """Parts as packages in the reports of a scanner, each row twice, or of a registry."""
+    scanner = """concat('{"dependencies":[{"name":"', p_name, '","version":"', p_size, '","vulns":[', v, ',', v, ']}]}')"""
+    v = """concat('{"id":"G-', p_partkey, '","aliases":[', if(p_size % 3 = 0, concat('"X-1","CVE-', p_partkey, '"'), ''), '],"fix_versions":[', if(p_size % 5 = 0, '', concat('"', p_size, '.1","', p_size, '.2"')), ']}') v"""
+    registry = """concat('{"vulnerabilities":{"', p_name, '":{"severity":"', element_at(array('Critical', 'moderate', 'low', 'odd'), p_size % 4 + 1), '","via":[{"a":1},"b"]}}}')"""
+    rows = table(spark, d, "part").selectExpr("*", v).selectExpr("concat('r', p_partkey) path", f"if(p_partkey % 2 = 0, {scanner}, {registry}) text")
+    return files.dependency_issues(rows).select("rule_id", "severity", "evidence", "fix", "path")
+
+
 # ---- reports ------------------------------------------------------------------------------------------------
 
 

@@ -242,15 +242,60 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 DEPENDENCIES = "dependencies array<struct<name:string,version:string,vulns:array<struct<id:string,aliases:array<string>,fix_versions:array<string>,description:string>>>>"
+ADVISORIES = "vulnerabilities map<string,string>"
+#: What a package registry's severities are here; others are medium.
+REGISTRY = {"critical": "critical", "high": "high", "moderate": "medium", "medium": "medium", "low": "low"}
+
+
+def _advised(reports: DataFrame) -> DataFrame:
+    """reports(text, ...) + d (a dependency scanner's rows), v (a registry's) and note. A list alone is a scanner's dependencies; empty and unreadable texts have a note."""
+    whole = F.when(F.startswith(F.trim("text"), F.lit("[")), F.concat(F.lit('{"dependencies":'), "text", F.lit("}"))).otherwise(F.col("text"))
+    got = reports.withColumn("_whole", whole).withColumns({"d": F.from_json("_whole", DEPENDENCIES)["dependencies"], "v": F.from_json("_whole", ADVISORIES)["vulnerabilities"]}).drop("_whole")
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    return got.withColumn("note", F.when(blank, "no scanner output").when(F.col("d").isNull() & F.col("v").isNull(), "unreadable scanner output").otherwise(""))
+
+
+def dependency_notes(reports: DataFrame) -> DataFrame:
+    """path, note of every scanner output in reports(path, text) that tells nothing, so that it isn't taken for one without findings."""
+    return _advised(reports).where("note <> ''").select("path", "note")
+
+
+def dependency_issues(reports: DataFrame) -> DataFrame:
+    """reports(path, text): JSON of a dependency scanner or of a package registry's audit -> findings, one a (name, version, id) of a report.
+
+    A scanner's findings are high and named by the CVE among the aliases, else by their id; of repeated rows the first counts.
+    A registry's have the severity it gives, and are named by the package.
+    """
+    got = _advised(reports).select("path", "d", "v")
+    vulns = got.select("path", F.posexplode("d").alias("i", "p")).select("path", "i", "p.name", "p.version", F.posexplode("p.vulns").alias("k", "u"))
+    first = vulns.groupBy("path", "name", "version", F.coalesce("u.id", F.lit("CVE-?")).alias("id")).agg(F.min_by("u", F.struct("i", "k")).alias("u"))
+    cves = F.filter(F.coalesce("u.aliases", F.array().cast("array<string>")), lambda a: F.startswith(a, F.lit("CVE-")))
+    shown, fixes = F.coalesce(F.get(cves, 0), "id"), F.concat_ws(", ", "u.fix_versions")
+    name, version = F.coalesce("name", F.lit("?")), F.coalesce("version", F.lit("?"))
+    scanner = first.select(
+        F.concat(F.lit("DEP-"), shown).alias("rule_id"), F.lit("high").alias("severity"), F.concat(name, F.lit(" "), version, F.lit(": known vulnerability "), shown).alias("title"), "path",
+        F.concat(name, F.lit("=="), version).alias("evidence"), F.substring(F.coalesce("u.description", F.lit("")), 1, 800).alias("analysis"), F.when(fixes == "", "see the advisory").otherwise(fixes).alias("fix"),
+        F.concat("id", F.when(F.size(cves) > 0, F.concat(F.lit(" ("), F.array_join(cves, ", "), F.lit(")"))).otherwise("")).alias("source"),
+    )
+    one = got.select("path", F.explode("v").alias("name", "u"))
+    level = F.lit("medium")
+    for said, here in REGISTRY.items():
+        level = F.when(F.lower(F.get_json_object("u", "$.severity")) == said, here).otherwise(level)
+    registry = one.select(
+        F.concat(F.lit("DEP-NPM-"), "name").alias("rule_id"), level.alias("severity"), F.concat("name", F.lit(": known vulnerability")).alias("title"), "path", F.col("name").alias("evidence"),
+        F.substring(F.coalesce(F.get_json_object("u", "$.via"), F.lit("[]")), 1, 800).alias("analysis"), F.lit("see the advisory").alias("fix"), F.lit("registry audit").alias("source"),
+    )
+    fixed = {"category": F.lit("security"), "line_start": F.lit(1), "confidence": F.lit(0.95), "detector": F.lit("static"), "verified": F.lit(True)}
+    return scanner.union(registry).withColumns(fixed)
 
 
 def dependency_findings(spark: SparkSession, reports: DataFrame) -> DataFrame:
     """reports(text): a dependency scanner's JSON -> name, version, id (the CVE alias if there is one), fix: each once. Unreadable text gives a row whose note says so."""
-    got = reports.select("text", F.from_json("text", DEPENDENCIES).alias("j"))
-    bad = got.where("j is null or j.dependencies is null").select(*[F.lit(None).cast("string").alias(c) for c in ("name", "version", "id", "fix")], F.lit("unreadable scanner output").alias("note"))
-    rows = got.select(F.explode("j.dependencies").alias("d")).select("d.name", "d.version", F.explode("d.vulns").alias("v"))
-    cve = F.get(F.filter("v.aliases", lambda a: F.startswith(a, F.lit("CVE-"))), 0)
-    good = rows.select("name", "version", F.coalesce(cve, "v.id").alias("id"), F.concat_ws(", ", "v.fix_versions").alias("fix"), F.lit("").alias("note"))
+    got = _advised(reports)
+    bad = got.where("d is null and v is null").select(*[F.lit(None).cast("string").alias(c) for c in ("name", "version", "id", "fix")], F.lit("unreadable scanner output").alias("note"))
+    rows = got.select(F.explode("d").alias("p")).select("p.name", "p.version", F.explode("p.vulns").alias("u"))
+    cve = F.get(F.filter("u.aliases", lambda a: F.startswith(a, F.lit("CVE-"))), 0)
+    good = rows.select("name", "version", F.coalesce(cve, "u.id").alias("id"), F.concat_ws(", ", "u.fix_versions").alias("fix"), F.lit("").alias("note"))
     return good.dropDuplicates(["name", "version", "id"]).unionByName(bad)
 
 
