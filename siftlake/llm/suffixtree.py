@@ -1,17 +1,18 @@
 """Language-model scores by a probabilistic suffix tree over words (operator 5).
 
 Symbols are the tokens of a text, words with A-Z in lower case and an end, led in by a start mark. The tree's contexts
-are the last 0 to DEPTH symbols, whatever their number in the corpus, so the tree grows with the corpus. A context seen
-twice or more stays only if its next symbols differ from those of the context one symbol shorter: its count times the
-divergence of the two distributions has to reach GAIN. One seen once tells one continuation and stays. Next-symbol
-counts are smoothed towards the shorter context's distribution, down to the words' own counts, one added to each; the
-more kinds of next symbol a context has, the more. A token is scored after the longest suffixes that are in the tree.
+are the last 0 to DEPTH symbols, whatever their number in the corpus, so the tree grows with the corpus. A context,
+however often seen, passes if its next symbols differ from those of the context one symbol shorter: its count times the
+divergence of the two distributions has to reach GAIN. Contexts that pass are in the tree, and so are all their suffixes,
+else it would be no tree. Next-symbol counts are smoothed towards the shorter context's distribution, down to the words'
+own counts, one added to each; the more kinds of next symbol a context has, the more. A token is scored after the longest
+suffixes that are in the tree.
 
 The tree is nowhere whole. Neighbouring documents form blocks of bounded size. A block hands on each gram (context and
 symbol) it holds once, with its count, as a 52-bit number; grams are dealt by that number to buckets of bounded size,
 which add up the counts of all blocks and answer each. One block that has a gram in training is told that it owns it, so
 the owners' sums over contexts (kinds of next symbol, divergence) add up to the corpus's; they go the same way once
-more. Grams of a block and bucket travel as one row of packed numbers, a few bytes each. Blocks stay where they are: they
+more where several blocks hold the context, and then, for contexts that failed, whether one that passed ends with them. Grams of a block and bucket travel as one row of packed numbers, a few bytes each. Blocks stay where they are: they
 are a bucketed table in the shared folder, and only answers are dealt to them.
 
 Words are named by 64-bit hashes, grams by 52 bits of one: of 10^10 grams one in 4 * 10^5 shares its number with another.
@@ -159,7 +160,7 @@ def unpack_keys(data: bytes, first: int, n: int) -> np.ndarray:
 
 BLOCK_ROW = "block long, doc_ids array<long>, outs array<boolean>, sizes array<long>, vocab binary, seq binary"
 ASK = "bucket long, block long, length int, first long, n int, keys binary, count binary, weight binary"
-TOLD = "block long, bucket long, length int, round int, n int, total binary, flag binary, all_total long, all_kinds long"
+TOLD = "block long, bucket long, length int, round int, n int, total binary, flag binary, shared binary, all_total long, all_kinds long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 names = lambda schema: [x.split()[0] for x in schema.split(", ")]
 
@@ -227,7 +228,7 @@ def _rows(rows, schema: str) -> pa.Table:
 
 
 def _answer(t: pa.Table, round_: int, gain: float) -> pa.Table:
-    """One bucket: all blocks' rows -> the same grams' totals. Round 1: flag marks the owner; round 2: the contexts that stay."""
+    """One bucket: all blocks' rows -> the same grams' totals. Round 1: flag marks the owner, shared the grams of several blocks; later rounds: flag marks those whose weights add up to gain, all_kinds counts a row's others."""
     rows = sorted(t.to_pylist(), key=lambda r: r["block"])
     n = [r["n"] for r in rows]
     keys = np.concatenate([unpack_keys(r["keys"], r["first"], r["n"]) for r in rows])
@@ -240,22 +241,27 @@ def _answer(t: pa.Table, round_: int, gain: float) -> pa.Table:
     else:
         weight = np.concatenate([np.frombuffer(zlib.decompress(r["weight"]), "<f4") for r in rows]).astype(float)
         flag = (np.bincount(of, weight, len(unique)) >= gain)[of]
-    cuts, total_of = np.cumsum([0, *n]), total[of]
-    sums = [(int(total.sum()), int(np.count_nonzero(total)))] + [(0, 0)] * (len(rows) - 1)
-    out = [(r["block"], r["bucket"], r["length"], round_, r["n"], pack(total_of[a:b], 5), np.packbits(flag[a:b]).tobytes(), *s) for r, a, b, s in zip(rows, cuts[:-1], cuts[1:], sums, strict=True)]
+    cuts, total_of, shared = np.cumsum([0, *n]), total[of], (np.bincount(of) > 1)[of]
+    if round_ == 1:
+        sums = [(int(total.sum()), int(np.count_nonzero(total)))] + [(0, 0)] * (len(rows) - 1)
+    else:
+        sums = [(0, int(np.count_nonzero(~flag[a:b]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    out = [(r["block"], r["bucket"], r["length"], round_, r["n"], pack(total_of[a:b], 5), np.packbits(flag[a:b]).tobytes(), np.packbits(shared[a:b]).tobytes(), *s) for r, a, b, s in zip(rows, cuts[:-1], cuts[1:], sums, strict=True)]
     release()
     return _rows(out, TOLD)
 
 
-def _told(t: pa.Table, round_: int, length: int, size: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A block's answers of a round for grams of one length, in their order."""
-    total, flag = np.zeros(size, np.int64), np.zeros(size, bool)
-    rows = sorted((r for r in t.to_pylist() if r["round"] == round_ and r["length"] == length), key=lambda r: r["bucket"])
+def _told(t: pa.Table, round_: int, length: int, size: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's answers of a round for grams of one length, in their order: totals, flags, and which are shared."""
+    total, flag, shared = np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size, bool)
+    mine = t.filter(pc.and_(pc.equal(t["round"], round_), pc.equal(t["length"], length)))
+    rows = sorted(mine.to_pylist(), key=lambda r: r["bucket"])
     if rows:
         at = slice(None) if only is None else only
+        bits = lambda name: np.concatenate([np.unpackbits(np.frombuffer(r[name], np.uint8), count=r["n"]) for r in rows]).astype(bool)
         total[at] = np.concatenate([unpack(r["total"], 5, r["n"]) for r in rows])
-        flag[at] = np.concatenate([np.unpackbits(np.frombuffer(r["flag"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
-    return total, flag
+        flag[at], shared[at] = bits("flag"), bits("shared")
+    return total, flag, shared
 
 
 # ---- scores -------------------------------------------------------------------------------------------------
@@ -301,9 +307,21 @@ def score(docs: DataFrame, out, depth: int = DEPTH, gain: float = GAIN, strength
             gained = np.bincount(ctx[own], n[k][0][own] * np.log(p / q), size)
             is_context = np.zeros(size, bool)
             is_context[ctx] = True
-            again.append((is_context & (n[k - 1][0] >= 2), np.bincount(ctx[own], minlength=size), gained))
+            again.append((is_context & (n[k - 1][0] > 0) & n[k - 1][2], np.bincount(ctx[own], minlength=size), gained))
         return g, sizes, outs, n, again
 
+    def tested(g, again, told):
+        """For each context length: kinds of next symbol, the contexts that pass, and those with all suffixes of this block's. Contexts of one block are decided in it."""
+        kinds_, passed = [], []
+        for k, (only, count, gained) in enumerate(again):
+            count_, pass_, _ = _told(told, 2, k, len(only), only)
+            kinds_.append(np.where(only, count_, count))
+            passed.append(np.where(only, pass_, gained >= gain))
+        closed = [x.copy() for x in passed]
+        for k in range(len(closed) - 1, 0, -1):
+            closed[k - 1][g[k - 1].at[g[k].first[closed[k]]]] = True
+        return kinds_, passed, closed
+
     def ask_again(key, left, told):
         b = left.to_pylist()[0]
         g, _, _, _, again = sums(b, told)
@@ -311,9 +329,24 @@ def score(docs: DataFrame, out, depth: int = DEPTH, gain: float = GAIN, strength
         release()
         return out_
 
-    second = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_again, ASK)
-    with short_lived_shuffles(docs.sparkSession):
-        second = stage(second.groupBy("bucket").applyInArrow(lambda t: _answer(t, 2, gain), TOLD), "context-sums")
+    def ask_suffixes(key, left, told):
+        b = left.to_pylist()[0]
+        g, _, _, _, again = sums(b, told)
+        _, passed, closed = tested(g, again, told)
+        out_ = _rows([r for k in range(depth - 1) for r in _asked(b["block"], k, g[k], buckets, np.zeros_like(g[k].count), closed[k], again[k][0] & ~passed[k])], ASK)
+        release()
+        return out_
+
+    def answered(ask_, of, told, round_, least, name):
+        asked = of.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask_, ASK)
+        with short_lived_shuffles(docs.sparkSession):
+            return stage(asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, round_, least), TOLD), name)
+
+    second = answered(ask_again, blocks, first, 2, gain, "context-sums")
+    told_ = first.unionByName(second)
+    failed = second.where(F.col("length") < depth - 1).where("all_kinds > 0").select("block").distinct()
+    if not failed.isEmpty():  # blocks without a failed context know all
+        told_ = told_.unionByName(answered(ask_suffixes, blocks.join(failed, "block", "left_semi"), told_.join(failed, "block", "left_semi"), 3, 0.5, "context-suffixes"))
 
     def finish(key, left, told):
         b = left.to_pylist()[0]
@@ -321,11 +354,11 @@ def score(docs: DataFrame, out, depth: int = DEPTH, gain: float = GAIN, strength
         p = base = (n[0][0] + 1) / (n_tokens + kinds + 1)
         at = g[0].at
         logp = np.log10(p)[at]
+        kinds_, passed, stays = tested(g, again, told)
         for k in range(1, depth + 1):
-            only, size = again[k - 1][0], len(g[k - 1].key)
-            count, stay = _told(told, 2, k - 1, size, only)
-            have, once = n[k - 1][0], n[k - 1][0] == 1
-            hold, stay = strength + np.where(once, 1, count), stay & only | once
+            have, stay, hold = n[k - 1][0], stays[k - 1], strength + kinds_[k - 1]
+            if k < depth:
+                stay = stay | _told(told, 3, k - 1, len(stay), again[k - 1][0] & ~passed[k - 1])[1]
             f = g[k].first
             ctx, shorter = g[k - 1].at[f - 1], g[k - 1].at[f]
             q = p[shorter]
@@ -344,7 +377,7 @@ def score(docs: DataFrame, out, depth: int = DEPTH, gain: float = GAIN, strength
         release()
         return pa.table(cols, names(RESULT))
 
-    return blocks.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(finish, RESULT)
+    return blocks.groupBy("block").cogroup(told_.groupBy("block")).applyInArrow(finish, RESULT)
 
 
 def by_hand(texts: list[str | None], outs: list[bool], depth: int = DEPTH, gain: float = GAIN, strength: float = STRENGTH) -> list[tuple[int, int, float, float]]:
@@ -361,11 +394,11 @@ def by_hand(texts: list[str | None], outs: list[bool], depth: int = DEPTH, gain:
     words = after[()]
     n = words.total()
 
-    def stays(c: tuple) -> bool:
+    def passes(c: tuple) -> bool:
         have, up = after[c].total(), after[c[1:]]
-        return have == 1 or have > 1 and sum(m * log(m / have / (up[x] / up.total())) for x, m in after[c].items()) >= gain
+        return sum(m * log(m / have / (up[x] / up.total())) for x, m in after[c].items()) >= gain
 
-    kept = {c for c in list(after) if c and stays(c)}
+    kept = {c[i:] for c in list(after) if c and passes(c) for i in range(len(c))}
     out = []
     for d in told:
         base = total = 0.0

@@ -176,6 +176,36 @@ def test_suffix_tree(spark):
     assert [x.score for x in suffixtree.score(df.limit(3), suffixtree.F.lit(True)).collect()] == [0.0] * 3  # nothing learned: one outcome
 
 
+def test_suffix_tree_tests_every_context(spark):
+    """A context seen once leaves the tree if what follows it is common anywhere; one that fails stays as the suffix of one that passes, also of another block's."""
+    texts = [t for _ in range(12) for t in ("a b p", "c b r")]  # what follows b is as common after it as anywhere, but hangs on the word before it
+    texts += ["p r " * 200, "p p r r " * 100, "lone p", "rare rarer rarest", "rare rarer p", "lone p", "a b p b r"]
+    n = len(texts) - 2  # the last two are held out
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for gain in (3.0, 6.0, 12.0):
+        got = {r.doc_id: r.score for r in suffixtree.score(df, F.col("doc_id") >= n, gain=gain, block=60, cells=40).collect()}
+        words = [["<", *t.split(), ">"] for t in texts]
+        after = {}
+        for w in words[:n]:
+            for i in range(1, len(w)):
+                for k in range(min(2, i) + 1):
+                    after.setdefault(tuple(w[i - k : i]), Counter())[w[i]] += 1
+        share = lambda c, x: after[c][x] / after[c].total()
+        good = {c for c in after if c and sum(m * math.log(share(c, x) / share(c[1:], x)) for x, m in after[c].items()) >= gain}
+        tree = good | {c[1:] for c in good if len(c) == 2}
+        assert ("lone",) in after and ("lone",) not in tree and (("rarest",) in tree) == (gain == 3.0)  # both seen once
+        assert gain != 6.0 or ("b",) in tree - good
+        for i, w in enumerate(words):
+            want = 0.0
+            for j in range(1, len(w)):
+                p = (after[()][w[j]] + 1) / (after[()].total() + len(after[()]) + 1)
+                for k in range(1, min(2, j) + 1):
+                    if (c := tuple(w[j - k : j])) in tree:
+                        p = (after[c][w[j]] + (4 + len(after[c])) * p) / (after[c].total() + 4 + len(after[c]))
+                want += math.log10(p)
+            assert got[i] == pytest.approx(want, abs=1e-6), (gain, texts[i])
+
+
 def test_suffix_tree_beats_its_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = suffixtree.score(docs, suffixtree.held_out("doc_id", 7, 2)).where("held_out").toPandas()
