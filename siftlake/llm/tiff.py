@@ -59,74 +59,81 @@ def packbits_decode(data: bytes) -> bytes:
     return b"".join(out)
 
 
+#: Since the last clear, the width of each code and the bits before it: 9 to 12, growing one code early, as the format has it.
+LZW_WIDTHS = 9 + sum((np.arange(4096) >= k).astype(np.int64) for k in (254, 766, 1790))
+LZW_BITS = np.cumsum(LZW_WIDTHS) - LZW_WIDTHS
+LZW_FRESH = [bytes([i]) for i in range(256)] + [b"", b""]
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; the width grows one code early, as the format has it."""
-    codes, widths = [256], [9]
-    table_, width, prefix = {bytes([i]): i for i in range(256)}, 9, b""
-    fresh, free = table_.copy(), 258
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in table_:
-            prefix = longer
+    """Codes of 9 to 12 bits, high bit first. A string in the table is its prefix's code and its last byte."""
+    codes, table_, free = [256], {}, 258
+    put, known = codes.append, table_.setdefault
+    code = data[0] if data else 0
+    for byte in memoryview(data)[1:]:
+        longer = known(code << 8 | byte, free)
+        if longer != free:
+            code = longer
             continue
-        codes.append(table_[prefix])
-        widths.append(width)
-        table_[longer] = free
+        put(code)
         free += 1
         if free == 4094:
-            codes.append(256)
-            widths.append(12)
-            table_, free, width = fresh.copy(), 258, 9
-        elif free + 1 > 1 << width:
-            width += 1
-        prefix = data[i : i + 1]
-    if prefix:
-        codes.append(table_[prefix])
-        widths.append(width)
-        free += 1
-        if free + 1 > 1 << width and width < 12:
-            width += 1
-    codes.append(257)
-    widths.append(width)
-    code, size = np.array(codes, np.int64), np.array(widths, np.int64)
-    at = np.cumsum(size) - size
-    bits = np.zeros(int(size.sum()), np.uint8)
-    for k in range(12):
-        has = size > k
-        bits[at[has] + k] = code[has] >> (size[has] - 1 - k) & 1
-    return np.packbits(bits).tobytes()
+            put(256)
+            table_.clear()
+            free = 258
+        code = byte
+    if data:
+        put(code)
+    put(257)
+    all_ = np.array(codes, np.int64)
+    clear = np.flatnonzero(all_ == 256)
+    since = np.arange(len(all_)) - np.repeat(clear, np.diff(np.append(clear, len(all_)))) - 1
+    size = LZW_WIDTHS[np.maximum(since, 0)]
+    size[clear[1:]] = 12
+    bits = np.unpackbits((all_ << 16 - size).astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) < size[:, None]]).tobytes()
 
 
 def lzw_decode(data: bytes) -> bytes:
-    out, table_, width, last, held, bits = [], [], 9, None, 0, 0
-    fresh = [bytes([i]) for i in range(256)] + [b"", b""]
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, held = held >> bits, held & (1 << bits) - 1
-        if code == 257:
+    """Codes are cut out some thousand at once: where one stands depends only on their number since the last clear."""
+    raw, end = np.frombuffer(data + b"\0\0\0", np.uint8), 8 * len(data)
+    out, table_, last, at, since = [], LZW_FRESH.copy(), None, 0, 0
+    put = out.append
+    while True:
+        if since < len(LZW_BITS):
+            place, size = at + LZW_BITS[since:] - LZW_BITS[since], LZW_WIDTHS[since:]
+        else:  # a table that is full and not cleared
+            place, size = at + 12 * np.arange(4096), np.full(4096, 12)
+        n = int(np.searchsorted(place + size, end, side="right"))
+        if not n:
             break
-        if code == 256:
-            table_, width, last = fresh.copy(), 9, None
-            continue
-        if last is None:
-            if not table_:
-                table_ = fresh.copy()
-            part = table_[code]
-        else:
-            if code < len(table_):
+        place, size = place[:n], size[:n]
+        k = place >> 3
+        codes = (raw[k].astype(np.int64) << 16 | raw[k + 1].astype(np.int64) << 8 | raw[k + 2]) >> 24 - (place & 7) - size & (1 << size) - 1
+        stop = np.flatnonzero((codes == 256) | (codes == 257))[:1]
+        m = int(stop[0]) if len(stop) else n
+        free = len(table_)
+        for code in codes[:m].tolist():
+            if last is None:
+                last = table_[code]
+                put(last)
+                continue
+            if code < free:
                 part = table_[code]
-            elif code == len(table_):
+            elif code == free:
                 part = last + last[:1]
             else:
                 raise ValueError("LZW code out of range")
             table_.append(last + part[:1])
-            if len(table_) + 1 >= 1 << width and width < 12:
-                width += 1
-        out.append(part)
-        last = part
+            free += 1
+            put(part)
+            last = part
+        if not len(stop):
+            at, since = int(place[-1] + size[-1]), since + n
+        elif codes[m] == 257:
+            break
+        else:
+            at, since, table_, last = int(place[m] + size[m]), 0, LZW_FRESH.copy(), None
     return b"".join(out)
 
 
