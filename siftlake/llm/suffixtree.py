@@ -93,18 +93,25 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Grams:
-    """The distinct grams of one length in a block, in the order of their numbers: key, count in training, and of each place the gram that ends there (-1: none)."""
+    """The distinct grams of one length in a block, in the order of their numbers: key, a place, and of each place the gram that ends there (-1: none)."""
 
-    def __init__(self, hashes: np.ndarray, of: np.ndarray, first: np.ndarray, valid: np.ndarray, trained: np.ndarray):
-        """hashes: of the distinct grams; of: which of them ends at each valid place; first: a place of each."""
+    def __init__(self, hashes: np.ndarray, of: np.ndarray, first: np.ndarray, places: np.ndarray | None, size: int):
+        """hashes: of the distinct grams; of: which of them ends at each of places (None: all, size); first: a place of each."""
         key = hashes >> np.uint64(12)
         order = np.argsort(key)
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         self.key, self.first = key[order], first[order]
-        self.at = np.full(len(valid), -1, np.int32)
-        self.at[valid] = place[of]
-        self.count = np.bincount(self.at[valid], trained[valid], len(order)).astype(np.int64)
+        if places is None:
+            self.at = place[of]
+        else:
+            self.at = np.full(size, -1, np.int32)
+            self.at[places] = place[of]
+
+    def count(self, trained: np.ndarray) -> np.ndarray:
+        """How often each ends at one of the places in training."""
+        at = self.at[trained]
+        return np.bincount(at[at >= 0], minlength=len(self.key))
 
 
 def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,20 +124,18 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], of, by[new]
 
 
-def grams(vocab: np.ndarray, seq: np.ndarray, sizes: np.ndarray, outs: np.ndarray, depth: int) -> list[Grams]:
+def grams(vocab: np.ndarray, seq: np.ndarray, sizes: np.ndarray, depth: int) -> list[Grams]:
     """By length from 1: a block's grams. vocab: symbols' hashes; seq: symbols by their place in vocab."""
-    trained = np.repeat(~outs, sizes)
     depth_at = np.arange(len(seq)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # symbols before this one in its text
     n = np.int64(len(vocab))
     first = np.zeros(len(vocab), np.int64)
     first[seq] = np.arange(len(seq))
-    out = [Grams(vocab, seq, first, np.ones(len(seq), bool), trained)]
+    out = [Grams(vocab, seq, first, None, len(seq))]
     for k in range(1, depth + 1):
-        last, valid = out[-1], depth_at >= k
-        at = np.flatnonzero(valid)
+        last, at = out[-1], np.flatnonzero(depth_at >= k)
         code, of, first = distinct(last.at[at - 1].astype(np.int64) * n + seq[at])
         hashes = _mix((last.key << np.uint64(12))[code // n] * np.uint64(0x9E3779B97F4A7C15) + vocab[code % n])
-        out.append(Grams(hashes, of, at[first], valid, trained))
+        out.append(Grams(hashes, of, at[first], at, len(seq)))
     return out
 
 
@@ -206,7 +211,7 @@ def _open(b: dict, depth: int) -> tuple[list[Grams], np.ndarray, np.ndarray]:
     """A block's row -> its grams, the sizes of its texts and which of them are held out."""
     sizes, outs = np.array(b["sizes"], np.int64), np.array(b["outs"], bool)
     seq = unpack(b["seq"], 4, int(sizes.sum())).astype(np.int64)
-    return grams(np.frombuffer(b["vocab"], np.uint64), seq, sizes, outs, depth), sizes, outs
+    return grams(np.frombuffer(b["vocab"], np.uint64), seq, sizes, depth), sizes, outs
 
 
 def _asked(block: int, length: int, g: Grams, buckets: int, count: np.ndarray, weight: np.ndarray | None = None, only: np.ndarray | None = None):
@@ -282,7 +287,9 @@ def score(docs: DataFrame, out, depth: int = DEPTH, gain: float = GAIN, strength
     def ask(batches):
         for batch in batches:
             for b in batch.to_pylist():
-                found = [r for k, g in enumerate(_open(b, depth)[0]) for r in _asked(b["block"], k, g, buckets, g.count)]
+                grams_, sizes, outs = _open(b, depth)
+                trained = np.repeat(~outs, sizes)
+                found = [r for k, g in enumerate(grams_) for r in _asked(b["block"], k, g, buckets, g.count(trained))]
                 yield from _rows(found, ASK).to_batches()
                 release()
 
@@ -299,15 +306,18 @@ def score(docs: DataFrame, out, depth: int = DEPTH, gain: float = GAIN, strength
         n = [_told(told, 1, k, len(x.key)) for k, x in enumerate(g)]
         again = []
         for k in range(1, depth + 1):
-            own, f = n[k][1], g[k].first
-            ctx, sym, shorter = g[k - 1].at[f - 1], g[0].at[f], g[k - 1].at[f]
-            p = n[k][0][own] / n[k - 1][0][ctx[own]]
-            q = n[0][0][sym[own]] / max(1, n_tokens) if k == 1 else n[k - 1][0][shorter[own]] / n[k - 2][0][g[k - 2].at[f[own] - 1]]
-            size = len(g[k - 1].key)
-            gained = np.bincount(ctx[own], n[k][0][own] * np.log(p / q), size)
+            own, f = np.flatnonzero(n[k][1]), g[k].first
+            ctx, size = g[k - 1].at[f - 1], len(g[k - 1].key)
+            count, of, c = n[k][0][own], f[own], ctx[own]
+            p = count / n[k - 1][0][c]
+            if k == 1:
+                q = n[0][0][g[0].at[of]] / max(1, n_tokens)
+            else:
+                q = n[k - 1][0][g[k - 1].at[of]] / n[k - 2][0][g[k - 2].at[of - 1]]
+            gained = np.bincount(c, count * np.log(p / q), size)
             is_context = np.zeros(size, bool)
             is_context[ctx] = True
-            again.append((is_context & (n[k - 1][0] > 0) & n[k - 1][2], np.bincount(ctx[own], minlength=size), gained))
+            again.append((is_context & (n[k - 1][0] > 0) & n[k - 1][2], np.bincount(c, minlength=size), gained))
         return g, sizes, outs, n, again
 
     def tested(g, again, told):
@@ -333,7 +343,7 @@ def score(docs: DataFrame, out, depth: int = DEPTH, gain: float = GAIN, strength
         b = left.to_pylist()[0]
         g, _, _, _, again = sums(b, told)
         _, passed, closed = tested(g, again, told)
-        out_ = _rows([r for k in range(depth - 1) for r in _asked(b["block"], k, g[k], buckets, np.zeros_like(g[k].count), closed[k], again[k][0] & ~passed[k])], ASK)
+        out_ = _rows([r for k in range(depth - 1) for r in _asked(b["block"], k, g[k], buckets, np.zeros(len(g[k].key), np.int64), closed[k], again[k][0] & ~passed[k])], ASK)
         release()
         return out_
 
